@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("decontaminate", "shard", "pack")
+MODULES = ("decontaminate", "shard", "pack", "quality_rules")
 
 
 def _merged(name: str) -> dict:
