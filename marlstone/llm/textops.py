@@ -74,6 +74,7 @@ class Words:
         base = np.concatenate(([1], 1 + np.cumsum(sizes + 1)))
         self.first = np.searchsorted(self.start, base).astype(np.int64)
         self._a = a
+        self._sums: np.ndarray | None = None
         self._hash: np.ndarray | None = None
 
     @property
@@ -88,14 +89,18 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self._a)
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self._a.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-            back = _powers(_BASE_INV, n)
-            size = (self.end - self.start).astype(np.uint64)
-            self._hash = mix((sums[self.end] - sums[self.start]) * back[self.start] + size)
+            self._hash = self.span_hash(self.start, self.end)
         return self._hash
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hash of the bytes from each start to its end."""
+        n = len(self._a)
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self._a.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=self._sums[1:])
+        back = _powers(_BASE_INV, n)
+        return mix((self._sums[end] - self._sums[start]) * back[start] + (end - start).astype(np.uint64) + np.uint64(seed << 32))
+
     def grams(self, n: int, seed: int = 0) -> np.ndarray:
         """Hash of the ``n`` words from each word on; only those within a text mean anything."""
         h = self.hash
