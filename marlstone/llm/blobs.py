@@ -32,9 +32,9 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def part_bits(docs: DataFrame, text_a_part: int = TEXT_A_PART) -> int:
-    """Bits of the hash that name its range: about ``text_a_part`` bytes of text a range, 16 ranges at least."""
+    """Bits of the hash that name its range: about ``text_a_part`` bytes of text a range, 64 ranges at least."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(4, int(np.ceil(np.log2(max(1, size / text_a_part)))))
+    return max(6, int(np.ceil(np.log2(max(1, size / text_a_part)))))
 
 
 def pack(kind: int, bits: int, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, short: bool) -> Iterator[tuple]:

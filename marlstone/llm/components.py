@@ -28,3 +28,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return labels
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def extended(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, label) after more (a, b) edges: only the labels that they connect are worked on."""
+    if labels is None:
+        return components(edges)
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    known = edges.join(own("a"), "a", "left").join(own("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    known = written(known, "new-edges")
+    merged = components(known.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    nodes = known.select(F.col("a").alias("node"), F.col("la").alias("label")).union(known.select("b", "lb")).union(labels).distinct()
+    to = merged.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return written(nodes.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")

@@ -13,11 +13,12 @@ often a shingle occurs is read from a table of hashed counts of fixed size.
 Two sets with a Jaccard similarity of 3/4 share at least k shingles in
 prefixes of n - ceil(3n/4) + k: no link is missed.
 
-Links are found in two rounds. First every list and key group is chained:
-each set is compared with the group's first set and with the one before it,
-so a group of any size costs two comparisons a member. Then only sets of the
-same group that the first round left in different components are compared.
-Every link is decided on the whole texts. Equal sets are one class from the
+Links are found in rounds. First, again and again while it pays, one set of
+each list or key group is compared with the others of the group that are not
+in its component yet: a group of any size costs one comparison a member. Then
+only sets of one group that are still in different components are compared.
+Pairs whose parity bits (see ``_odd``) differ too much cannot be links; every
+other pair is decided on the whole texts. Equal sets are one class from the
 start and are represented by their least doc_id.
 
 Defined cases: a null text, or one without words, has an empty set, links
@@ -33,11 +34,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.blobs import free_shuffles
-from marlstone.llm.components import components
+from marlstone.llm.components import extended
 from marlstone.llm.tables import table
 from marlstone.llm.textops import BLANK_LOWER, Words, as_bytes, mix, slices, tune
 from marlstone.session import width, written
@@ -46,6 +47,9 @@ SHINGLE = 5
 COUNT_BITS = 20
 CHUNK = 1 << 12
 MOST_LIGHT = 64
+#: Star rounds go on while at least one comparison in STAR_YIELD finds a link, MOST_TURNS at most.
+STAR_YIELD, MOST_TURNS = 8, 10
+ODD_BITS = 512
 
 
 def sets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,32 +76,51 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a, dtype=np.uint64).view(np.int64)
 
 
+def _odd(h: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
+    """ODD_BITS bits of each set: whether an odd number of its shingles falls into each of as many buckets.
+
+    Every bit in which two sets differ stands for a shingle that only one of them has.
+    """
+    m = len(bound) - 1
+    d = np.repeat(np.arange(m), np.diff(bound))
+    at = d * ODD_BITS + ((h >> np.uint64(20)) & np.uint64(ODD_BITS - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=m * ODD_BITS) & 1).astype(np.uint8)
+    return list(np.packbits(bits).view(np.int64).reshape(m, -1))
+
+
+def _may_link(nx: str, ny: str, ox: str, oy: str) -> Column:
+    """False only if the sets' similarity is below 3/4: a seventh of the sizes' sum bounds what just one of the two has."""
+    differ = sum((F.bit_count(F.col(ox)[i].bitwiseXOR(F.col(oy)[i])) for i in range(ODD_BITS // 64)), F.lit(0))
+    return 7 * differ <= F.col(nx) + F.col(ny)
+
+
 def _survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, s1, s2) of each document, and chunks of hashed shingle counts."""
+    """Rows of two kinds: (doc_id, n, s1, s2, odd) of each document, and chunks of hashed shingle counts."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        names = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
+        names = ["doc_id", "n", "s1", "s2", "odd", "chunk", "counts"]
         for batch in source:
             texts = as_bytes(batch.column(1))
-            ns, s1, s2 = [], [], []
+            ns, s1, s2, odd = [], [], [], []
             for lo, hi in slices(texts):
                 h, bound = sets_of(texts[lo:hi])
                 counts += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
                 ns.append(np.diff(bound))
+                odd += _odd(h, bound)
                 for out, salt in ((s1, 0x6A09E667), (s2, 0xBB67AE85)):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))))
                     out.append(_signed(sums[bound[1:]] - sums[bound[:-1]]))
             if ns:
                 n = np.concatenate(ns)
                 none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2)), *none], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2)), pa.array(odd, pa.list_(pa.int64())), *none], names=names)
         chunks = counts.reshape(-1, CHUNK)
         some = np.flatnonzero(chunks.any(axis=1))
-        none = [pa.nulls(len(some), pa.int64())] * 4
+        none = [pa.nulls(len(some), pa.int64())] * 4 + [pa.nulls(len(some), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, chunk int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, odd array<long>, chunk int, counts binary")
 
 
 def _levels(survey: DataFrame) -> tuple[np.ndarray, float]:
@@ -186,74 +209,43 @@ def _postings(docs: DataFrame, levels: np.ndarray, x: int) -> DataFrame:
 
 
 def _groups(postings: DataFrame) -> DataFrame:
-    """Members of groups of two or more different sets, each with the group's first set and the set before it.
+    """Entries of keys that two or more different sets share; equal sets count once, as their least doc_id.
 
     Streams over sorted entries and holds one batch, not one group.
     """
     dealt = postings.repartition(width(postings.sparkSession), F.col("key")).sortWithinPartitions("key", "n", "s1", "doc_id")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None  # the last row so far, as arrays of one
-        first = None  # the first row of its group: key, n, doc, lead
-        told = False  # whether the last row's group has had a row before it
-        behind = (0, False)  # the set before the last row, and whether to compare with it
-
-        def emit(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal carry, first, told, behind
-            key, n, s1, doc, lead = rows
-            # equal sets come together: only the least doc_id stays
-            same = np.zeros(len(key), dtype=bool)
-            same[1:] = (key[1:] == key[:-1]) & (n[1:] == n[:-1]) & (s1[1:] == s1[:-1])
-            key, n, s1, doc, lead = (v[~same] for v in (key, n, s1, doc, lead))
-            if not len(key):
-                return
-            m = len(key)
-            start = np.ones(m, dtype=bool)
-            start[1:] = key[1:] != key[:-1]
-            if carry is not None:
-                start[0] = not told
-            at = np.maximum.accumulate(np.where(start, np.arange(m), -1))
-            goes_on = at < 0
-            at = np.maximum(at, 0)
-            pn, pd, pl = n[at], doc[at], lead[at]
-            if goes_on.any():
-                pn, pd, pl = np.where(goes_on, first[1], pn), np.where(goes_on, first[2], pd), np.where(goes_on, first[3], pl)
-            follows = np.zeros(m, dtype=bool)
-            follows[1:] = key[1:] == key[:-1]
-            prev, prev_n, prev_lead = np.roll(doc, 1), np.roll(n, 1), np.roll(lead, 1)
-            pivot_ok = (pd != doc) & pl & (4 * pn >= 3 * n)
-            prev_ok = follows & prev_lead & (4 * prev_n >= 3 * n)
-            if carry is not None:  # the waiting row knows its own
-                prev[0], prev_ok[0] = behind
-            member = ~start | follows
-            member[:-1] |= key[1:] == key[:-1]
-            out = m if last else m - 1  # the last row waits: is it alone?
+        waiting: list[np.ndarray] | None = None  # the last row so far
+        joined = False  # whether a row before it has its key
+
+        def told(rows: list[np.ndarray], end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, joined
+            key, n, s1 = rows[0], rows[1], rows[2]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (s1[1:] != s1[:-1])
+            rows = [v[new] for v in rows]
+            key = rows[0]
+            same = key[1:] == key[:-1]
+            member = np.zeros(len(key), dtype=bool)
+            member[1:] |= same
+            member[:-1] |= same
+            member[0] |= joined
+            out = len(key) if end else len(key) - 1  # the last row waits for the next one
             if out:
                 mask = member[:out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[:out][mask]) for v in (key, n, doc, lead)]
-                    + [pa.array(v[:out][mask], pa.int64(), mask=~ok[:out][mask]) for v, ok in ((pd, pivot_ok), (prev, prev_ok))],
-                    names=["key", "n", "doc_id", "lead", "pivot", "prev"],
-                )
-            carry = [v[-1:] for v in (key, n, s1, doc, lead)]
-            told = bool(~start[-1])
-            if start[-1]:
-                first = (key[-1], n[-1], doc[-1], lead[-1])
-            else:
-                first = (key[-1], pn[-1], pd[-1], pl[-1])
-            behind = (prev[-1], prev_ok[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[k][:out][mask]) for k in (0, 1, 3, 4)], names=["key", "n", "doc_id", "lead"])
+            joined = bool(member[-1]) if len(key) == 1 else bool(same[-1])
+            waiting = [v[-1:] for v in rows]
 
         for batch in source:
             rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            if not len(rows[0]):
-                continue
-            if carry is not None:
-                rows = [np.concatenate((c, r)) for c, r in zip(carry, rows, strict=True)]
-            yield from emit(rows, last=False)
-        if carry is not None:
-            yield from emit(carry, last=True)
+            if len(rows[0]):
+                yield from told([np.concatenate((c, r)) for c, r in zip(waiting, rows, strict=True)] if waiting else rows, end=False)
+        if waiting:
+            yield from told(waiting, end=True)
 
-    return dealt.mapInArrow(run, "key long, n long, doc_id long, lead boolean, pivot long, prev long")
+    return dealt.mapInArrow(run, "key long, n long, doc_id long, lead boolean")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -285,6 +277,13 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
+def placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the label of their component."""
+    if labels is None:
+        return members.withColumn("label", F.col("doc_id"))
+    return members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -296,30 +295,40 @@ def join(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     survey = written(_survey(docs), "survey")
     levels, shared = _levels(survey)
-    sets = survey.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
+    sets = survey.where("chunk IS NULL").select("doc_id", "n", "s1", "s2", "odd")
     sizes = {r[0]: r[1] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}
     members = written(_groups(_postings(docs, levels, boundary(sizes, shared))), "members")
 
-    chained = members.where("pivot IS NOT NULL").select(*_pair("pivot", "doc_id")).union(members.where("prev IS NOT NULL").select(*_pair("prev", "doc_id")))
-    tested = written(_verified(docs, chained.distinct()), "tested")
-    labels = components(tested.where("linked").select("a", "b"))
-
-    # groups that still hold more than one component
-    placed = members.select("key", "n", "doc_id", "lead").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("key", "n", "doc_id", "lead", F.coalesce("label", "doc_id").alias("label")), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(open_keys, "key", "left_semi")
+    bits = lambda c: sets.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+    labels, tested = None, None
+    for turn in range(MOST_TURNS):
+        open_ = placed(members, labels)
+        # the same member leads in many groups, so that few different pairs are compared
+        piv = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), F.col("doc_id").alias("pd"), F.col("n").alias("pn"), F.col("label").alias("pl")))
+        pivots = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), piv.alias("p")).where("lo < hi").select("key", "p.pd", "p.pn", "p.pl")
+        star = open_.join(pivots, "key").where("label <> pl AND 4 * least(n, pn) >= 3 * greatest(n, pn)").select(*_pair("pd", "doc_id")).distinct()
+        star = star.join(bits("a"), "a").join(bits("b"), "b").where(_may_link("na", "nb", "oa", "ob")).select("a", "b")
+        found = written(_verified(docs, star if tested is None else star.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
+        n, linked = found.agg(F.count("*"), F.count(F.when(F.col("linked"), 1))).first()
+        tested = found if tested is None else tested.union(found)
+        if linked:
+            labels = extended(labels, found.where("linked").select("a", "b"))
+        if linked * STAR_YIELD < n or not n:
+            break
+    open_ = placed(members, labels)
+    open_ = written(open_.select("key", "doc_id", "lead", "label"), "placed")
+    open_keys = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = open_.join(open_keys, "key", "left_semi").join(bits("doc_id"), "doc_id").select("key", "doc_id", "lead", "label", F.col("ndoc_id").alias("n"), F.col("odoc_id").alias("odd"))
     x, y = open_.alias("x"), open_.alias("y")
     met = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & F.col("x.lead")
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))))
-        & (4 * F.col("x.n") >= 3 * F.col("y.n")),
+        & (4 * F.col("x.n") >= 3 * F.col("y.n")) & _may_link("x.n", "y.n", "x.odd", "y.odd"),
     )
     cross = met.select(*_pair("x.doc_id", "y.doc_id")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = written(_verified(docs, cross), "tested-more")
-    links = tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
-    labels = components(links)
+    labels = extended(labels, more.where("linked").select("a", "b"))
 
     classes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     named = classes.join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
