@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("decontaminate", "shard", "pack", "quality_rules", "quality_model", "toxicity", "language", "substring_dedup", "jaccard_join")
+MODULES = ("pii", "jaccard_join", "substring_dedup", "quality_rules", "toxicity", "quality_model", "decontaminate", "shard", "language", "pack")
 
 
 def _merged(name: str) -> dict:
