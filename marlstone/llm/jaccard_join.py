@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.blobs import free_shuffles
-from marlstone.llm.components import extended
+from marlstone.operators.graph import extended
 from marlstone.llm.tables import table
 from marlstone.llm.textops import BLANK_LOWER, Words, as_bytes, mix, slices, tune
 from marlstone.session import width, written
