@@ -13,10 +13,10 @@ often a shingle occurs is read from a table of hashed counts of fixed size.
 Two sets with a Jaccard similarity of 3/4 share at least k shingles in
 prefixes of n - ceil(3n/4) + k: no link is missed.
 
-Links are found in rounds. First, again and again while it pays, one set of
-each list or key group is compared with the others of the group that are not
-in its component yet: a group of any size costs one comparison a member. Then
-only sets of one group that are still in different components are compared.
+Links are found in rounds. First, again and again while it pays, a few sets of
+each list or key group are compared with the others of the group that are not
+in their component yet: a group of any size costs a few comparisons a member.
+Then only sets of one group that are still in different components are compared.
 Pairs whose parity bits (see ``_odd``) differ too much cannot be links; every
 other pair is decided on the whole texts. Equal sets are one class from the
 start and are represented by their least doc_id.
@@ -47,8 +47,8 @@ SHINGLE = 5
 COUNT_BITS = 20
 CHUNK = 1 << 12
 MOST_LIGHT = 64
-#: Star rounds go on while at least one comparison in STAR_YIELD finds a link, MOST_TURNS at most.
-STAR_YIELD, MOST_TURNS = 8, 10
+#: Star rounds go on while at least one comparison in STAR_YIELD finds a link, MOST_TURNS at most; each has PIVOTS leaders a group.
+STAR_YIELD, MOST_TURNS, PIVOTS = 8, 4, 4
 ODD_BITS = 512
 
 
@@ -284,6 +284,45 @@ def placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
+def _stars(members: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs (a, b) of the first ``pivots`` members of each key group with its others, where labels differ and sizes allow a link.
+
+    The order is one of all documents, so that the same ones lead in many
+    groups and few different pairs arise. Streams over sorted members and
+    holds one batch and the leaders of one group.
+    """
+    rank = F.xxhash64("doc_id", F.lit(turn)).alias("rank")
+    dealt = members.select("key", rank, "doc_id", "n", "label").repartition(width(members.sparkSession), F.col("key")).sortWithinPartitions("key", "rank", "doc_id")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the leaders of the group that may go on
+        for batch in source:
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4)]
+            if not len(rows[0]):
+                continue
+            key, doc, n, label = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            first = np.repeat(at, np.diff(np.append(at, len(key))))
+            place = np.arange(len(key)) - first
+            low, high = [], []
+            for k in range(pivots):
+                other = np.flatnonzero(place > k)
+                lead = first[other] + k
+                least, most = np.minimum(n[other], n[lead]), np.maximum(n[other], n[lead])
+                ok = (label[other] != label[lead]) & (4 * least >= 3 * most)
+                low.append(np.minimum(doc[other], doc[lead])[ok])
+                high.append(np.maximum(doc[other], doc[lead])[ok])
+            a, b = np.concatenate(low), np.concatenate(high)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], names=["a", "b"])
+            held = [v[at[-1] : at[-1] + pivots] for v in rows]
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -303,10 +342,7 @@ def join(docs: DataFrame) -> DataFrame:
     labels, tested = None, None
     for turn in range(MOST_TURNS):
         open_ = placed(members, labels)
-        # the same member leads in many groups, so that few different pairs are compared
-        piv = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), F.col("doc_id").alias("pd"), F.col("n").alias("pn"), F.col("label").alias("pl")))
-        pivots = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), piv.alias("p")).where("lo < hi").select("key", "p.pd", "p.pn", "p.pl")
-        star = open_.join(pivots, "key").where("label <> pl AND 4 * least(n, pn) >= 3 * greatest(n, pn)").select(*_pair("pd", "doc_id")).distinct()
+        star = _stars(open_, turn).distinct()
         star = star.join(bits("a"), "a").join(bits("b"), "b").where(_may_link("na", "nb", "oa", "ob")).select("a", "b")
         found = written(_verified(docs, star if tested is None else star.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
         n, linked = found.agg(F.count("*"), F.count(F.when(F.col("linked"), 1))).first()
