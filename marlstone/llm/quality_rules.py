@@ -31,45 +31,58 @@ BUCKETS = 8192
 TRUSTED_ROWS = 20_000
 THRESHOLD = -0.15
 _BLANKS = r"[\x20\x09-\x0D]+"
+_BLANK_CHARS = " \t\n\x0b\x0c\r"
 _SYMBOLS = r"[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, _BLANKS), lambda w: w != "")
+    """Words of a text that is not null; trimmed first, so that no empty piece is left to filter."""
+    return F.filter(F.split(F.btrim(text, F.lit(_BLANK_CHARS)), _BLANKS), lambda w: w != "")
+
+
+def _pairs(values: Column, apart: int) -> Column:
+    """Hashes of the pairs of values that are ``apart`` places from each other.
+
+    Both sides are cut to equal length; a slice is an array copy, once a text.
+    """
+    n = F.greatest(F.size(values) - apart, F.lit(0))
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(apart + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def hashed(a: DataFrame) -> DataFrame:
+    """``a`` with the hashes of its _words and of the words' ends."""
+    return a.withColumns(
+        {
+            "_hash": F.transform("_words", lambda w: F.xxhash64(w)),
+            "_ends": F.transform("_words", lambda w: F.xxhash64(F.right(w, F.lit(3)))),
+        }
+    )
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """docs with _words, _ends and the base counts.
+    """docs with _hash, _ends and the base counts.
 
     Each step is a projection of its own whose output is used more than once
-    further on, so that nothing is computed again inside a lambda.
+    further on, so that nothing is computed again inside a lambda. The hash of
+    a window of 8 words comes from pairs of pairs of pairs of word hashes.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.withColumn("_words", words_of(text))
+    a = hashed(docs.withColumn("_words", words_of(text)))
     a = a.withColumns(
         {
-            "_hash": F.transform("_words", lambda w: F.xxhash64(w)),
-            "_ends": F.transform("_words", lambda w: F.right(w, F.lit(3))),
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(_SYMBOLS)).cast("long"),
-            "_lines": F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, _BLANKS, "") != ""),
-        }
-    )
-    starts = F.greatest(F.size("_hash") - (WINDOW - 1), F.lit(0))
-    a = a.withColumns(
-        {
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.when(
-                starts > 1,
-                F.transform(F.sequence(F.lit(1), starts), lambda i: F.xxhash64(F.slice("_hash", i, F.lit(WINDOW)))),
-            ),
+            "_lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANK_CHARS)) != ""),
         }
     )
+    a = a.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    for name, of, apart in (("_two", "_hash", 1), ("_four", "_two", 2), ("_windows", "_four", 4)):
+        a = a.withColumn(name, _pairs(F.col(of), apart))
     a = a.withColumn("_repeats", F.size(F.array_distinct("_windows")) < F.size("_windows"))
     a = a.withColumn(
         "_sorted",
-        F.when(F.col("_repeats"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+        F.when(F.col("_repeats"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))),
     )
     size = F.size("_sorted")
     same = lambda k, j: F.element_at("_sorted", k)["h"] == F.element_at("_sorted", j)["h"]
@@ -80,7 +93,7 @@ def base(docs: DataFrame) -> DataFrame:
         ),
         lambda k: F.element_at("_sorted", k)["i"],
     )
-    a = a.withColumn("_at", F.when(F.col("_repeats"), F.array_sort(at)))
+    a = a.withColumn("_at", F.when(F.col("_repeats"), F.sort_array(at)))
     n = F.size("_at")
     covered = F.aggregate(
         F.zip_with(F.slice("_at", F.lit(1), n - 1), F.slice("_at", F.lit(2), n - 1), lambda x, y: F.least(F.lit(WINDOW), y - x)),
@@ -91,14 +104,13 @@ def base(docs: DataFrame) -> DataFrame:
     return a.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def grams_of(buckets: int) -> Column:
-    """Buckets of a text's grams, from _hash and _ends: its words, and the pairs of neighbouring words' ends."""
-    n = F.greatest(F.size("_ends") - 1, F.lit(0))
-    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    return F.concat(
-        F.transform("_hash", bucket),
-        F.zip_with(F.slice("_ends", F.lit(1), n), F.slice("_ends", F.lit(2), n), lambda x, y: bucket(F.xxhash64(x, y))),
-    )
+def grams() -> Column:
+    """Hashes of a text's grams, from _hash and _ends: its words, and the pairs of neighbouring words' ends."""
+    return F.concat("_hash", _pairs(F.col("_ends"), 1))
+
+
+def bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> list[float]:
@@ -112,12 +124,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, rows
         trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("_good", F.lit(1))
     )
-    read = docs.select("doc_id", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("_words"))
-    read = read.withColumns({"_hash": F.transform("_words", lambda w: F.xxhash64(w)), "_ends": F.transform("_words", lambda w: F.right(w, F.lit(3)))})
+    read = hashed(docs.select("doc_id", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("_words")))
     counts = (
         read.join(F.broadcast(target), "doc_id", "left")  # at most ``rows`` rows
-        .select("_good", F.explode(grams_of(buckets)).alias("b"))
-        .groupBy("b").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
+        .select("_good", F.explode(grams()).alias("gram"))
+        .groupBy(bucket(F.col("gram"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     )
     raw, good = [0] * buckets, [0] * buckets
     for r in counts.collect():
@@ -132,8 +143,8 @@ def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     """docs with the base counts, base_failed, score and kept (columns of docs stay)."""
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in log_ratios(docs, trusted, buckets, rows))), ",").cast("array<double>")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    a = base(docs.select(row, "text")).withColumn("_grams", grams_of(buckets))
-    total = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + F.element_at(ratios, b + 1))
+    a = base(docs.select(row, "text")).withColumn("_grams", grams())
+    total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.get(ratios, bucket(g, buckets)))
     a = a.withColumn("score", F.when(F.size("_grams") > 0, F.round(total / F.size("_grams"), 9)).otherwise(F.lit(0.0)))
     return a.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
