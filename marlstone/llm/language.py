@@ -6,10 +6,12 @@ the language's text: as long as the automaton has an edge the phrase goes on,
 else a new phrase begins at that character. The language that needs the
 fewest phrases for the document's length wins; ties go to the first name.
 
-Automata are stored as dense tables whose missing edges already lead on from
-the root with a mark that counts a phrase, so one gather per character and
-language parses many texts side by side. Every text is parsed whole, in
-segments of ``SEGMENT`` characters that each begin a phrase.
+Every letter that a sample holds is a symbol of its own, whatever its code
+point; letters that no sample holds share one, and a run of other characters
+counts as one blank. Many texts are parsed side by side, with one gather per
+character and language for the edge and one for the way on from the root.
+Every text is parsed whole, in segments of ``SEGMENT`` characters that each
+begin a phrase.
 
 Learns from at most ``chars`` characters a language, taken from whole
 documents, the first ``docs_each`` by a hash. Defined cases: a text that is
@@ -19,7 +21,6 @@ predicted like all; with no labelled language every document is ``und``.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ CHARS = 20_000
 DOCS_EACH = 24
 MOST_LANGUAGES = 64
 SEGMENT = 256
-_LIMIT = 0x3000
+_NEAR = 0x3000
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -84,72 +85,121 @@ def _spoken(cls: np.ndarray) -> np.ndarray:
     return out
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Letters:
+    """Classes of characters. 0: a letter that no sample has, 1: whatever is no letter, from 3 on: each learned letter."""
+
+    def __init__(self, texts: list[str]):
+        found = {_lower(cp) for t in texts for cp in np.unique(_points(t)).tolist() if chr(cp).isalpha()}
+        self.learned = np.array(sorted(found), dtype=np.uint32)
+        self.width = len(self.learned) + 3
+        self.near = self._look_up(np.arange(_NEAR, dtype=np.uint32))
+
+    def _look_up(self, points: np.ndarray) -> np.ndarray:
+        out = np.ones(len(points), dtype=np.int32)
+        letter = np.array([chr(p).isalpha() for p in points.tolist()], dtype=bool)
+        low = np.array([_lower(p) for p in points[letter].tolist()], dtype=np.uint32)
+        at = np.searchsorted(self.learned, low)
+        known = at < len(self.learned)
+        known[known] = self.learned[at[known]] == low[known]
+        out[letter] = np.where(known, at + 3, 0)
+        return out
+
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        """Frequent code points by a table, the others by their distinct values."""
+        out = self.near[np.minimum(points, _NEAR - 1)]
+        far = np.flatnonzero(points >= _NEAR)
+        if len(far):
+            distinct, which = np.unique(points[far], return_inverse=True)
+            out[far] = self._look_up(distinct)[which]
+        return out
+
+
+class Automaton:
+    """Suffix automaton of a language's sample in one table of its own letters.
+
+    A state is an offset of its own, and its edge for letter c lies in cell
+    state + c: the upper half of the cell names the state that owns it, the
+    lower half holds the next state. Cells are shared out by trial, so the
+    table grows with the edges and not with the letters.
+    """
+
+    def __init__(self, classes: np.ndarray, width: int):
+        own, text = np.unique(classes, return_inverse=True)
+        # learned letters and blanks from 1 on; 0 is whatever the sample has not; -1 stays -1
+        self.local = np.zeros(width + 1, dtype=np.int32)
+        self.local[own] = np.arange(1, len(own) + 1)
+        self.local[-1] = -1
+        edges = suffix_automaton((text[_spoken(classes)] + 1).tolist())
+        wide = len(own) + 1
+        size = 3 * sum(map(len, edges)) + 2 * wide
+        r = np.random.default_rng(1)
+        used = np.zeros(size + wide, dtype=bool)
+        taken, place = set(), [0] * len(edges)
+        tries: list[int] = []
+        for s in sorted(range(len(edges)), key=lambda s: (-len(edges[s]), s)):  # full states while there is room
+            mine = list(edges[s])
+            many = np.array(mine) if len(mine) > 8 else None
+            while True:
+                if not tries:
+                    tries = r.integers(0, size, 1 << 14).tolist()
+                at = tries.pop()
+                if at not in taken and not (used[at + many].any() if many is not None else any(used[at + c] for c in mine)):
+                    break
+            taken.add(at)
+            place[s] = at
+            for c in mine:
+                used[at + c] = True
+        self.table = np.full(size + wide, -1, dtype=np.int64)
+        for s, e in enumerate(edges):
+            for c, to in e.items():
+                self.table[place[s] + c] = place[s] << 32 | place[to]
+        self.root = place[0]
+        # where each letter leads as the first of a phrase
+        self.start = np.array([place[edges[0].get(c, 0)] for c in range(wide)], dtype=np.int64)
+
+    def phrases(self, codes: np.ndarray) -> np.ndarray:
+        """Phrases of each segment. codes: (steps, segments) of classes, longest segments first, -1 after a segment's end."""
+        lanes = codes.shape[1]
+        state = np.full(lanes, self.root, dtype=np.int64)
+        count = np.ones(lanes, dtype=np.int32)
+        alive = lanes
+        for step in range(codes.shape[0]):
+            c = self.local[codes[step, :alive]]
+            if c[alive - 1] < 0:
+                alive = int((c >= 0).sum())
+                c = c[:alive]
+            now = state[:alive]
+            cell = self.table[now + c]
+            new = (cell >> 32) != now
+            count[:alive] += new
+            state[:alive] = np.where(new, self.start[c], cell & 0xFFFFFFFF)
+        return count
+
+
 class Parser:
-    """Dense tables of all languages. A cell holds 2 * (row of the next state) + (a phrase begins)."""
+    """The letters of all samples and the automata of some or all languages."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], letters: Letters | None = None):
         self.languages = sorted(samples)
-        lowered = {k: v.lower() for k, v in samples.items()}
-        letters = sorted({c for v in lowered.values() for c in v if c.isalpha()})
-        code = {c: i + 3 for i, c in enumerate(letters)}
-        self.width = len(letters) + 3  # 0: a letter that no sample has, 1: whatever is no letter
-        cls = np.zeros(_LIMIT + 1, dtype=np.int32)
-        letter = np.zeros(_LIMIT + 1, dtype=bool)
-        for cp in range(_LIMIT):
-            ch = chr(cp)
-            letter[cp] = ch.isalpha()
-            cls[cp] = code.get(chr(_lower(cp)), 0) if letter[cp] else 1
-        self.cls, self.letter = cls, letter
-        tables, self.root = [], []
-        at = 0
-        for k in self.languages:
-            text = cls[np.minimum(np.frombuffer(lowered[k].encode("utf-32-le", "surrogatepass"), np.uint32), _LIMIT)]
-            edges = suffix_automaton(text[_spoken(text)].tolist())
-            t = np.full((len(edges), self.width), -1, dtype=np.int64)
-            for s, e in enumerate(edges):
-                for c, to in e.items():
-                    t[s, c] = 2 * (at + to * self.width)
-            start = np.where(t[0] >= 0, t[0], 2 * at) + 1
-            t = np.where(t >= 0, t, start[None, :])
-            tables.append(t.astype(np.int32).ravel())
-            self.root.append(at)
-            at += t.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def phrases(self, codes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """Phrases of each of ``n`` texts (rows) in each language. codes: (steps, segments), -1 after a segment's end."""
-        lanes = codes.shape[1]
-        out = np.zeros((n, len(self.languages)))
-        for k, root in enumerate(self.root):
-            state = np.full(lanes, root, dtype=np.int32)
-            count = np.ones(lanes, dtype=np.int32)
-            alive = lanes
-            for step in range(codes.shape[0]):
-                c = codes[step]
-                if c[alive - 1] < 0:  # segments come longest first
-                    alive = int((c[:alive] >= 0).sum())
-                cell = self.table[state[:alive] + c[:alive]]
-                count[:alive] += cell & 1
-                state[:alive] = cell >> 1
-            out[:, k] = np.bincount(doc, weights=count, minlength=n)
-        return out
+        self.letters = letters or Letters(list(samples.values()))
+        self.automata = [Automaton(self.letters.classes(_points(samples[k])), self.letters.width) for k in self.languages]
 
-    def judge(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
+    def needs(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases for a parsed character of each text (rows) in each language, and whether the text has a letter."""
         n = len(texts)
-        points = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
+        points = [_points(t.decode("utf-8", "replace")) if t else np.zeros(0, np.uint32) for t in texts]
         sizes = np.array([len(p) for p in points], dtype=np.int64)
-        total = int(sizes.sum())
-        if not total or not self.languages:
-            return ["und"] * n, np.zeros(n)
-        flat = np.concatenate(points)
-        flat_cls = self.cls[np.minimum(flat, _LIMIT)]
+        if not sizes.sum():
+            return np.zeros((n, len(self.automata))), np.zeros(n, dtype=bool)
+        flat = self.letters.classes(np.concatenate(points))
         owner = np.repeat(np.arange(n), sizes)
-        has = np.bincount(owner, weights=self.letter[np.minimum(flat, _LIMIT)], minlength=n) > 0
-        for d in np.flatnonzero(~has):  # letters beyond the table
-            has[d] = bool((points[d] >= _LIMIT).any()) and any(unicodedata.category(chr(x))[0] == "L" for x in np.unique(points[d]).tolist() if x < 0x110000)
-        said = _spoken(flat_cls)
-        flat_cls, owner = flat_cls[said], owner[said]
+        has = np.bincount(owner, weights=flat != 1, minlength=n) > 0
+        said = _spoken(flat)
+        flat, owner = flat[said], owner[said]
         sizes = np.bincount(owner, minlength=n)
         total = int(sizes.sum())
         first = np.concatenate(([0], np.cumsum(sizes)))
@@ -162,16 +212,26 @@ class Parser:
         seg_doc, seg_at, seg_len = seg_doc[order], seg_at[order], seg_len[order]
         steps = np.arange(int(seg_len[0]))
         index = np.minimum(seg_at[None, :] + steps[:, None], total - 1)
-        codes = np.where(steps[:, None] < seg_len[None, :], flat_cls[index], -1)
-        need = self.phrases(codes.astype(np.int32), seg_doc, n) / np.maximum(sizes, 1)[:, None]
-        best = need.argmin(axis=1)
-        least = need[np.arange(n), best]
-        rest = need.copy()
-        rest[np.arange(n), best] = np.inf
-        second = rest.min(axis=1)
-        score = np.where(np.isfinite(second), second / np.maximum(second + least, 1e-9), 1.0)
-        names = [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
-        return names, np.where(has, score, 0.0)
+        codes = np.where(steps[:, None] < seg_len[None, :], flat[index], -1).astype(np.int32)
+        out = np.zeros((n, len(self.automata)))
+        for k, one in enumerate(self.automata):
+            out[:, k] = np.bincount(seg_doc, weights=one.phrases(codes), minlength=n)
+        return out / np.maximum(sizes, 1)[:, None], has
+
+
+def judge(languages: list[str], need: np.ndarray, has: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    n = len(has)
+    if not n or not languages:
+        return ["und"] * n, np.zeros(n)
+    best = need.argmin(axis=1)
+    least = need[np.arange(n), best]
+    rest = need.copy()
+    rest[np.arange(n), best] = np.inf
+    second = rest.min(axis=1)
+    score = np.where(np.isfinite(second), second / np.maximum(second + least, 1e-9), 1.0)
+    names = [languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
+    return names, np.where(has, score, 0.0)
 
 
 def samples(docs: DataFrame, chars: int = CHARS, docs_each: int = DOCS_EACH) -> dict[str, str]:
@@ -206,7 +266,7 @@ def predict(docs: DataFrame, chars: int = CHARS, docs_each: int = DOCS_EACH) ->
             texts = as_bytes(batch.column(1))
             names, scores = [], []
             for lo, hi in slices(texts):
-                a, b = parser.judge(texts[lo:hi])
+                a, b = judge(parser.languages, *parser.needs(texts[lo:hi]))
                 names += a
                 scores.append(b)
             done = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())

@@ -228,3 +228,31 @@ def test_empty_tables(spark):
         pii.find(docs), shard.assign(docs), pack.pack(docs), quality_model.score(docs, lab), toxicity.score(docs, lab), language.predict(docs),
     ):
         assert out.count() == 0
+
+
+def test_language_of_letters_beyond_the_basic_table(spark):
+    r = random.Random(2)
+    words = {"aa": ["tik", "tok", "tak"], "ja": ["ひらがな", "カナ", "日本語"], "zh": ["中文字", "汉语", "今天"], "zz": ["𐐨𐐩𐐪", "𐐫𐐬", "𐐭𐐮𐐯"]}
+    rows = [(i, "。".join(r.choices(words[k], k=40)), k) for i, k in enumerate(list(words) * 20)] + [(80, "。、「」", "ja"), (81, "😀😀", "zh"), (82, "𐐀𐐁𐐂", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language.predict(docs).collect()}
+    assert [got[i] for i in range(80)] == [k for _, _, k in rows[:80]]
+    assert [got[i] for i in (80, 81, 82)] == ["und", "und", "zz"]  # punctuation, emoji, capitals of a script above U+FFFF
+
+
+def test_language_parse_with_many_letters():
+    r = random.Random(4)
+    sample = "".join(chr(0x4E00 + int(3000 * r.random() ** 2)) for _ in range(20_000))
+    parser = language.Parser({"han": sample})
+    assert parser.automata[0].table.nbytes < 8 << 20
+    edges = language.suffix_automaton([ord(c) for c in sample])
+    texts = [sample[k : k + 9] + chr(0x4E00 + r.randrange(3200)) + sample[7 * k : 7 * k + 5] for k in range(200)]
+    need, has = parser.needs([t.encode() for t in texts])
+    assert has.all()
+    for t, got in zip(texts, need[:, 0]):
+        phrases, s = 1, 0
+        for c in map(ord, t):
+            if c not in edges[s]:
+                phrases, s = phrases + 1, 0
+            s = edges[s].get(c, 0)
+        assert phrases == round(got * len(t))
