@@ -13,10 +13,14 @@ character and language for the edge and one for the way on from the root.
 Every text is parsed whole, in segments of ``SEGMENT`` characters that each
 begin a phrase.
 
-Learns from at most ``chars`` characters a language, taken from whole
-documents, the first ``docs_each`` by a hash. Defined cases: a text that is
-null or has no letter is ``und`` with score 0; documents without a label are
-predicted like all; with no labelled language every document is ``und``.
+Learns every language that labels a document with a letter outside the
+held-out third, from at most ``chars`` characters and ``docs_each`` documents
+each: texts of 64 to chars / 4 characters first, by a hash, then chars / 4
+characters of longer ones, then shorter ones. Languages are parsed in blocks
+of automata of at most ``block_bytes``, so their number is bounded by time
+alone. Defined cases: a text that is null or has no letter is ``und`` with
+score 0; documents without a label are predicted like all; with no labelled
+language every document is ``und``.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ from marlstone.llm.textops import as_bytes, slices, tune
 FOLDS = 3
 CHARS = 20_000
 DOCS_EACH = 24
-MOST_LANGUAGES = 64
+SHORTEST = 64
 SEGMENT = 256
+BLOCK_BYTES = 128 << 20
 _NEAR = 0x3000
 
 
@@ -235,42 +240,69 @@ def judge(languages: list[str], need: np.ndarray, has: np.ndarray) -> tuple[list
 
 
 def samples(docs: DataFrame, chars: int = CHARS, docs_each: int = DOCS_EACH) -> dict[str, str]:
-    """Labelled text of each language, of at most ``chars`` characters, from documents that are not held out.
+    """Labelled text of every language, of at most ``chars`` characters, from documents that are not held out.
 
-    Ids are chosen first, so that only chosen texts travel.
+    Texts of ``SHORTEST`` to chars // 4 characters come first, then longer ones, of
+    which the first chars // 4 characters with a letter on are taken, then shorter
+    ones. Ids are chosen first, so that only chosen texts travel, one a doc_id.
     """
-    known = docs.where((fold("doc_id", FOLDS) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    narrow = known.where(F.length("text").between(64, chars // 4)).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    # each partition keeps the few first of each language before anything is shuffled
-    few = narrow.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES)
-    salted = narrow.join(F.broadcast(few), "lang").withColumn("_s", F.pmod(F.shiftright("_h", 20), F.lit(64)))
-    local = salted.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_s").orderBy("_h", "doc_id"))).where(F.col("_r") <= docs_each)
-    chosen = local.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= docs_each)
-    got = known.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("lang").alias("_lang"), "_k")), "doc_id").collect()
+    most = chars // 4
+    known = docs.where((fold("doc_id", FOLDS) != 1) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    size = F.length("text")
+    later = F.when(size.between(SHORTEST, most), 0).when(size > most, 1).otherwise(2)
+    narrow = known.select("doc_id", "lang", later.alias("_later")).groupBy("lang", "doc_id").agg(F.min("_later").alias("_later"))
+    salted = narrow.withColumn("_h", F.xxhash64("doc_id")).withColumn("_s", F.pmod(F.shiftright("_h", 20), F.lit(64)))
+    # each partition keeps the few first of each language before these are shuffled
+    first = ("_later", "_h", "doc_id")
+    local = salted.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_s").orderBy(*first))).where(F.col("_r") <= docs_each)
+    chosen = local.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(*first))).where(F.col("_k") <= docs_each)
+    ids = chosen.select("doc_id", F.col("lang").alias("_lang"), "_k")
+    taken = F.when(size > most, F.regexp_extract("text", rf"(?s)^\P{{L}}*(\p{{L}}.{{0,{most - 1}}})", 1)).otherwise(F.col("text"))
+    rows = known.select("doc_id", "lang", later.alias("_later"), taken.alias("_text")).join(F.broadcast(ids.withColumnRenamed("_lang", "lang")), ["doc_id", "lang"])
+    got = rows.groupBy("lang", "_k").agg(F.min(F.struct("_later", "_text"))["_text"].alias("_text")).collect()
     out: dict[str, str] = {}
-    for r in sorted(got, key=lambda r: (r["_lang"], r["_k"], r["text"])):
-        have = out.get(r["_lang"], "")
-        if len(have) + len(r["text"]) + 1 <= chars or not have:
-            out[r["_lang"]] = have + " " + r["text"] if have else r["text"]
+    for r in sorted(got, key=lambda r: (r["lang"], r["_k"])):
+        have = out.get(r["lang"], "")
+        if len(have) + len(r["_text"]) + 1 <= chars or not have:
+            out[r["lang"]] = have + " " + r["_text"] if have else r["_text"]
     return out
 
 
-def predict(docs: DataFrame, chars: int = CHARS, docs_each: int = DOCS_EACH) -> DataFrame:
+def blocks(found: dict[str, str], block_bytes: int = BLOCK_BYTES) -> Iterator[Parser]:
+    """Parsers of some languages each, with about ``block_bytes`` of tables at most."""
+    letters = Letters(list(found.values()))
+    names, size = [], 0
+    for k in sorted(found):
+        need = 70 * len(found[k]) + 4 * letters.width  # fewer than 3 edges a character, 3 cells an edge, 8 bytes a cell
+        if names and size + need > block_bytes:
+            yield Parser({n: found[n] for n in names}, letters)
+            names, size = [], 0
+        names.append(k)
+        size += need
+    yield Parser({n: found[n] for n in names}, letters)
+
+
+def predict(docs: DataFrame, chars: int = CHARS, docs_each: int = DOCS_EACH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     tune(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(Parser(samples(docs, chars, docs_each)))
+    found = samples(docs, chars, docs_each)
+    languages = sorted(found)
+    sent = [docs.sparkSession.sparkContext.broadcast(p) for p in blocks(found, block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = sent.value
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            names, scores = [], []
-            for lo, hi in slices(texts):
-                a, b = judge(parser.languages, *parser.needs(texts[lo:hi]))
-                names += a
-                scores.append(b)
-            done = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), done], names=["doc_id", "lang_pred", "score"])
+            cuts = list(slices(texts))
+            needs = []
+            for one in sent:
+                parser = one.value
+                got = [parser.needs(texts[lo:hi]) for lo, hi in cuts]
+                needs.append(np.concatenate([g[0] for g in got]) if got else np.zeros((0, len(parser.languages))))
+                has = np.concatenate([g[1] for g in got]) if got else np.zeros(0, dtype=bool)
+                if len(sent) > 1 and one._path is not None:
+                    del parser, one._value  # the next block takes its place; this one is read again from the worker's disk
+            names, scores = judge(languages, np.concatenate(needs, axis=1), has)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (fold("doc_id", FOLDS) == 1).alias("held_out"), "lang_pred", "score")

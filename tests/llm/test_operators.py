@@ -256,3 +256,27 @@ def test_language_parse_with_many_letters():
                 phrases, s = phrases + 1, 0
             s = edges[s].get(c, 0)
         assert phrases == round(got * len(t))
+
+
+@pytest.mark.parametrize("block_bytes", [language.BLOCK_BYTES, 20_000])
+def test_language_keeps_every_language(spark, block_bytes):
+    """70 languages, one of short texts and one of long texts among them, in one block of automata and in several."""
+    r = random.Random(6)
+    rows = []
+    for k in range(70):
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)]
+        n = {0: 3, 1: 1500}.get(k, 30)
+        rows += [(len(rows) + i, " ".join(r.choices(words, k=n)), f"l{k:02}") for i in range(12 if k < 69 else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language.predict(docs, block_bytes=block_bytes).collect()}
+    wrong = [(i, got[i], k) for i, _, k in rows if got[i] != k]
+    assert not wrong
+
+
+def test_language_sample_takes_one_text_a_doc_id(spark):
+    docs = spark.createDataFrame([(7, "some words here " * 6, "aa")] * 50 + [(7, "tiny", "aa"), (5, "12 " * 3000 + "x" * 9000, "bb")], "doc_id long, text string, lang string")
+    docs = docs.union(spark.createDataFrame([(i, "few", "cc") for i in range(40)], docs.schema))
+    got = language.samples(docs)
+    assert set(got) >= {"cc"} and len(got["cc"]) <= 24 * 4
+    for k, want in (("aa", "some words here " * 6), ("bb", "x" * 5000)):
+        assert got.get(k, want) == want
