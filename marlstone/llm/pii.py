@@ -6,13 +6,15 @@ neighbouring tokens are chained, and tokens that repeat or resemble each other
 (equal without case, equal digits, or the same six first or last digits) are
 joined by skip edges, wherever in the document they stand. Tokens of base
 spans are observed; sum-product messages run over chains and skips until they
-settle, so one label holds for a thing throughout a document. A token that is
-no base span and is more likely some kind than none becomes a further span.
+settle, for as many rounds as there are tokens at least, so a witness is heard
+throughout a document. A token that is no base span and is more likely some
+kind than none becomes a further span.
 
 Weights are learned here by pseudo-likelihood: a softmax over a token's form
 and its neighbours' and twins' labels, from base spans of at most ``TRAIN_DOCS``
 documents of at most ``TRAIN_CHARS`` characters (the first by a hash).
-Repeated tokens are joined to their next occurrence only, so edges stay linear.
+Tokens are joined to the next of their like, and to the first observed one of
+each kind among their like, so edges stay linear.
 
 Defined cases: a null text counts as empty and has no spans; a text without
 tokens of interest has its base spans alone; base spans of different kinds may
@@ -39,7 +41,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: none
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 FEATURES = 512
-ROUNDS = 8
+SETTLED, SWINGS = 1e-4, 200
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,22 +122,37 @@ def _form(text: str, a: int, b: int) -> list[int]:
     return [crc32(n.encode()) % FEATURES for n in names]
 
 
-def skips(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs of tokens that repeat or resemble each other: each with the next of its like."""
+def _keys(core: str) -> list[tuple]:
+    """What a token has in common with those that repeat or resemble it."""
+    d = _NOT_DIGIT.sub("", core)
+    keys = [("same", core)]
+    if len(d) >= 6:
+        keys += [("digits", d), ("head", d[:6]), ("tail", d[-6:])]
+    if "@" in core:
+        keys.append(("name", core.split("@", 1)[0]))
+    return keys
+
+
+def skips(text: str, toks: list[tuple[int, int]], seen: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of tokens that repeat or resemble each other: each with the next of its like.
+
+    With ``seen``, also each unobserved token with the first observed one of each kind among its like.
+    """
     last: dict[tuple, int] = {}
+    witness: dict[tuple, dict[int, int]] = {}
+    alike = [_keys(text[a:b].casefold()) for a, b in toks]
     out = set()
-    for i, (a, b) in enumerate(toks):
-        core = text[a:b].casefold()
-        d = _NOT_DIGIT.sub("", core)
-        keys = [("same", core)]
-        if len(d) >= 6:
-            keys += [("digits", d), ("head", d[:6]), ("tail", d[-6:])]
-        if "@" in core:
-            keys.append(("name", core.split("@", 1)[0]))
+    for i, keys in enumerate(alike):
         for k in keys:
             if (j := last.get(k)) is not None:
                 out.add((j, i))
             last[k] = i
+            if seen is not None and seen[i]:
+                witness.setdefault(k, {}).setdefault(int(seen[i]), i)
+    if witness:
+        for i, keys in enumerate(alike):
+            if not seen[i]:
+                out.update((min(i, j), max(i, j)) for k in keys for j in witness.get(k, {}).values())
     return sorted(out)
 
 
@@ -169,7 +186,7 @@ class Field:
         """Marginals by loopy sum-product; ``chain`` and ``skip`` hold index pairs."""
         u = unary.copy()
         fixed = np.flatnonzero(seen > 0)
-        u[fixed] = -30.0
+        u[fixed] = -1e9  # beyond what any number of twins can say against it
         u[fixed, seen[fixed]] = 0.0
         ends = np.concatenate((chain, skip))
         if len(ends):
@@ -179,14 +196,15 @@ class Field:
             m = len(ends)
             back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
             msg = np.zeros((2 * m, LABELS))
-            for _ in range(ROUNDS):
+            # no path is longer than the number of tokens, so the bound only ends what swings for ever
+            for _ in range(len(u) + SWINGS):
                 total = u.copy()
                 np.add.at(total, dst, msg)
                 x = (total[src] - msg[back])[:, :, None] + pots
                 top = x.max(axis=1, keepdims=True)
                 new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0, :]
                 new -= new.max(axis=1, keepdims=True)
-                if np.abs(new - msg).max() < 1e-4:
+                if np.abs(new - msg).max() < SETTLED:
                     break
                 msg = 0.5 * (msg + new)
             np.add.at(u, dst, msg)
@@ -202,7 +220,7 @@ class Field:
         if (seen > 0).all():
             return []
         chain = np.array([(i, i + 1) for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] <= 2], dtype=np.int64).reshape(-1, 2)
-        skip = np.array(skips(text, toks), dtype=np.int64).reshape(-1, 2)
+        skip = np.array(skips(text, toks, seen), dtype=np.int64).reshape(-1, 2)
         p = self.beliefs(self.unary(text, toks), seen, chain, skip)
         best = p.argmax(axis=1)
         return [(toks[i][0], int(best[i]) - 1, toks[i][1]) for i in np.flatnonzero((seen == 0) & (best > 0)).tolist()]

@@ -280,3 +280,27 @@ def test_language_sample_takes_one_text_a_doc_id(spark):
     assert set(got) >= {"cc"} and len(got["cc"]) <= 24 * 4
     for k, want in (("aa", "some words here " * 6), ("bb", "x" * 5000)):
         assert got.get(k, want) == want
+
+
+def test_pii_witness_is_heard_by_all_its_twins():
+    field = pii.Field()
+    field.form[:, 0] = 0.1  # ten form features a token: 1.0 for none
+    field.skip = 3.0 * np.eye(pii.LABELS)
+    twins = [f"411111{k:010}" for k in range(200) if not pii.luhn(f"411111{k:010}")][:50]
+    for at in (0, 25, 50):
+        words = [*twins[:at], "4111111111111111", *twins[at:]]
+        text = " and so on and on ".join(words)
+        base = pii.base_spans(text)
+        assert len(base) == 1
+        assert len([k for _, k, _ in field.more_spans(text, base) if pii.KINDS[k] == "card"]) == 50
+
+
+def test_pii_messages_cross_a_long_chain():
+    field = pii.Field()
+    field.skip = 12.0 * np.eye(pii.LABELS)
+    n = 51
+    seen = np.zeros(n, dtype=np.int64)
+    seen[0] = 3
+    skip = np.array([(i, i + 1) for i in range(n - 1)])
+    p = field.beliefs(np.zeros((n, pii.LABELS)), seen, np.zeros((0, 2), np.int64), skip)
+    assert p[:, 3].min() > 0.9
