@@ -16,6 +16,9 @@ documents of at most ``TRAIN_CHARS`` characters (the first by a hash).
 Tokens are joined to the next of their like, and to the first observed one of
 each kind among their like, so edges stay linear.
 
+Texts without any base span are labelled too, by form and chains alone, so a
+number with the form of a card but a wrong check digit can become a span.
+
 Defined cases: a null text counts as empty and has no spans; a text without
 tokens of interest has its base spans alone; base spans of different kinds may
 overlap and all stay; repeated rows are treated alike; an empty table gives no
@@ -214,7 +217,7 @@ class Field:
 
     def more_spans(self, text: str, spans: list[Span]) -> list[Span]:
         toks = tokens(text)
-        if not toks or not spans:  # with nothing observed, no label has a witness
+        if not toks:
             return []
         seen = observed(toks, spans)
         if (seen > 0).all():
@@ -306,7 +309,7 @@ def _mapped(docs: DataFrame, field: Field, keep: list[str], fields: str, make: C
             cols: list[list] = [[] for _ in kinds]
             for t in batch.column(len(keep)).to_pylist():
                 base = base_spans(t) if t else []
-                for c, v in zip(cols, make(t, base, sent.value.more_spans(t, base) if base else []), strict=True):
+                for c, v in zip(cols, make(t, base, sent.value.more_spans(t, base) if t else []), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
@@ -333,7 +336,7 @@ def redact(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
 
     def make(t: str | None, base: list[Span], more: list[Span]) -> tuple:
-        return (_cleaned(t, sorted(base + more)) if t and base else t,)
+        return (_cleaned(t, sorted(base + more)) if base or more else t,)
 
     out = _mapped(docs.select(row, "text"), train(docs), ["_row"], "_new string", make, (pa.string(),))
     return out.select(*[F.col("_new").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -304,3 +304,15 @@ def test_pii_messages_cross_a_long_chain():
     skip = np.array([(i, i + 1) for i in range(n - 1)])
     p = field.beliefs(np.zeros((n, pii.LABELS)), seen, np.zeros((0, 2), np.int64), skip)
     assert p[:, 3].min() > 0.9
+
+
+def test_pii_field_judges_texts_without_base_spans(spark, monkeypatch):
+    cards = [str(n) for n in range(4111110000000001, 4111110000000400) if pii.luhn(str(n))]
+    field = pii.learn([f"pay {c} for {k} things" for k, c in enumerate(cards)])
+    monkeypatch.setattr(pii, "train", lambda docs: field)
+    wrong = "4111111111111112"
+    docs = frame(spark, [f"pay {wrong} now and {wrong} later", "room 12 at 9 o'clock", None])
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert (got[0].n_card, got[0].spans) == (0, "card:4:20,card:29:45") and (got[1].spans, got[2].spans) == ("", "")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out == {0: "pay [CARD] now and [CARD] later", 1: "room 12 at 9 o'clock", 2: None}
