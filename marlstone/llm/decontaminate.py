@@ -12,7 +12,9 @@ which add to the same per-document columns without any shuffle.
 
 Defined cases: a null text, or one without words, has no words and no hits; a
 null item text or one without words gives no window; items with equal windows
-are all reported; repeated document rows are judged one by one; an empty
+are all reported; items with a null id hit like any, and are reported as one
+null at the end of ``items``, counted but not in the digest, as in the SQL;
+repeated document rows are judged one by one; an empty
 benchmark gives no hits.
 """
 
@@ -38,17 +40,17 @@ _BITS = 20
 class GramSet:
     """Windows of benchmark items: hashes for the search, words for the proof."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
+        found: dict[int, dict[int, dict[bytes, set[str | None]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
         words = Words([t for _, t in items], ALNUM_LOWER)
         for k, (item, _) in enumerate(items):
             i, j = int(words.first[k]), int(words.first[k + 1])
             n = min(window, j - i)
-            if n and item is not None:
+            if n:
                 at = words_hash(words, n)
                 for s in range(i, j - n + 1):
                     found[n][int(at[s])][words.text(s, s + n)].add(item)
-        self.items = {n: {h: {w: tuple(sorted(x)) for w, x in by.items()} for h, by in hs.items()} for n, hs in found.items()}
+        self.items = {n: {h: {w: tuple(x) for w, x in by.items()} for h, by in hs.items()} for n, hs in found.items()}
         self.hashes = {n: np.array(sorted(hs), dtype=np.uint64) for n, hs in self.items.items()}
 
     def filters(self) -> dict[int, np.ndarray]:
@@ -64,10 +66,10 @@ def words_hash(words: Words, n: int) -> np.ndarray:
     return words.grams(n)
 
 
-def probe(words: Words, grams: GramSet, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, dict[int, set[str]]]:
+def probe(words: Words, grams: GramSet, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, dict[int, set[str | None]]]:
     """Which words are hit, and the items found in each text."""
     hit = np.zeros(int(words.first[-1]), dtype=bool)
-    items: dict[int, set[str]] = defaultdict(set)
+    items: dict[int, set[str | None]] = defaultdict(set)
     for n, hashes in grams.hashes.items():
         at = words.grams(n)
         maybe = np.flatnonzero(filters[n][(at & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
@@ -117,7 +119,7 @@ def _scan(df: DataFrame, grams: GramSet, last: bool) -> DataFrame:
                         one = one | np.frombuffer(old_hit[lo + k], dtype=bool)
                     n.append(j - i)
                     hits.append(int(one.sum()) if last else one.tobytes())
-                    found.append(sorted(items.get(k, set()) | set(old_items[lo + k] or ())))
+                    found.append(sorted(items.get(k, set()) | set(old_items[lo + k] or ()), key=lambda x: (x is None, x or "")))
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in spare]
             more = [pa.array(n, pa.int64()), pa.array(hits, pa.int64() if last else pa.binary()), pa.array(found, pa.list_(pa.string()))]
             names = [f.name for f in spare] + ["_n", "_n_hit" if last else "_hit", "_items"]

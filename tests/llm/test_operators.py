@@ -316,3 +316,14 @@ def test_pii_field_judges_texts_without_base_spans(spark, monkeypatch):
     assert (got[0].n_card, got[0].spans) == (0, "card:4:20,card:29:45") and (got[1].spans, got[2].spans) == ("", "")
     out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert out == {0: "pay [CARD] now and [CARD] later", 1: "room 12 at 9 o'clock", 2: None}
+
+
+def test_decontaminate_counts_items_without_an_id(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, item), (None, "only here"), (3, item)], "item_id long, text string")
+    docs = ["a " + item, "only here", "nothing"]
+    for part in (decontaminate.PART_BYTES, 40):
+        got = {r.doc_id: r for r in decontaminate.score(frame(spark, docs), bench, ["doc_id"], part).collect()}
+        assert [(got[i].n_hit, got[i]["items"], got[i].contaminated) for i in range(3)] == [(20, ["3", None], True), (2, [None], True), (0, [], False)]
+        judged = decontaminate.score(frame(spark, docs), bench, ["doc_id"], part).select("doc_id", decontaminate.digest("items").alias("d")).collect()
+        assert {r.doc_id: r.d for r in judged} == {i: hashlib.sha256(s.encode()).hexdigest() for i, s in enumerate(["3", "", ""])}
