@@ -34,26 +34,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.blobs import free_shuffles
 from marlstone.operators.graph import extended
+from marlstone.llm.shared_shingles import ODD_BITS, signed, survey
 from marlstone.llm.tables import table
-from marlstone.llm.textops import BLANK_LOWER, Words, as_bytes, mix, slices, tune
+from marlstone.llm.textops import BLANK_LOWER, Words, SLICE_BYTES, as_bytes, mix, runs, slices, tune
 from marlstone.session import width, written
 
 SHINGLE = 5
-COUNT_BITS = 20
-CHUNK = 1 << 12
-MOST_LIGHT = 64
 #: Star rounds go on while at least one comparison in STAR_YIELD finds a link, MOST_TURNS at most; each has PIVOTS leaders a group.
 STAR_YIELD, MOST_TURNS, PIVOTS = 8, 4, 4
-ODD_BITS = 512
+SCAN = 1 / 16
 
 
 def sets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes, bounds of each text's) of the texts' sets, in order of hash."""
+    """(shingle hashes, bounds of each text's) of the texts' sets, in order of hash.
+
+    A text longer than a slice is read in runs that overlap by ``SHINGLE - 1``
+    words, so that its working arrays stay as small as a slice's.
+    """
+    if len(texts) == 1 and texts[0] and len(texts[0]) > SLICE_BYTES:
+        h = np.unique(np.concatenate([_sets([r])[0] for r in runs(texts[0], BLANK_LOWER, SHINGLE)]))
+        return h, np.array([0, len(h)])
+    return _sets(texts)
+
+
+def _sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts, BLANK_LOWER)
     counts = words.counts
     at = words.starts(SHINGLE)
@@ -72,140 +82,71 @@ def sets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(d, np.arange(len(texts) + 1))
 
 
-def _signed(a: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(a, dtype=np.uint64).view(np.int64)
-
-
-def _odd(h: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
-    """ODD_BITS bits of each set: whether an odd number of its shingles falls into each of as many buckets.
-
-    Every bit in which two sets differ stands for a shingle that only one of them has.
-    """
-    m = len(bound) - 1
-    d = np.repeat(np.arange(m), np.diff(bound))
-    at = d * ODD_BITS + ((h >> np.uint64(20)) & np.uint64(ODD_BITS - 1)).astype(np.int64)
-    bits = (np.bincount(at, minlength=m * ODD_BITS) & 1).astype(np.uint8)
-    return list(np.packbits(bits).view(np.int64).reshape(m, -1))
-
-
 def _may_link(nx: str, ny: str, ox: str, oy: str) -> Column:
     """False only if the sets' similarity is below 3/4: a seventh of the sizes' sum bounds what just one of the two has."""
     differ = sum((F.bit_count(F.col(ox)[i].bitwiseXOR(F.col(oy)[i])) for i in range(ODD_BITS // 64)), F.lit(0))
     return 7 * differ <= F.col(nx) + F.col(ny)
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, s1, s2, odd) of each document, and chunks of hashed shingle counts."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        names = ["doc_id", "n", "s1", "s2", "odd", "chunk", "counts"]
-        for batch in source:
-            texts = as_bytes(batch.column(1))
-            ns, s1, s2, odd = [], [], [], []
-            for lo, hi in slices(texts):
-                h, bound = sets_of(texts[lo:hi])
-                counts += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
-                ns.append(np.diff(bound))
-                odd += _odd(h, bound)
-                for out, salt in ((s1, 0x6A09E667), (s2, 0xBB67AE85)):
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))))
-                    out.append(_signed(sums[bound[1:]] - sums[bound[:-1]]))
-            if ns:
-                n = np.concatenate(ns)
-                none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2)), pa.array(odd, pa.list_(pa.int64())), *none], names=names)
-        chunks = counts.reshape(-1, CHUNK)
-        some = np.flatnonzero(chunks.any(axis=1))
-        none = [pa.nulls(len(some), pa.int64())] * 4 + [pa.nulls(len(some), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, odd array<long>, chunk int, counts binary")
-
-
-def _levels(survey: DataFrame) -> tuple[np.ndarray, float]:
-    """(Level of each hashed count, on a log scale; sets that share a shingle beyond the mean load).
-
-    The driver gets 2**COUNT_BITS numbers, whatever the corpus.
-    """
+def boundary(survey: DataFrame) -> int:
+    """The largest light size: the one of least cost, among all sizes that occur.
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in source:
-            for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[c] = total.get(c, 0) + np.frombuffer(b, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
-
-    chunks = survey.where("chunk IS NOT NULL").select("chunk", "counts")
-    merged = chunks.repartition(width(survey.sparkSession), F.col("chunk")).mapInArrow(run, "chunk int, counts binary").collect()
-    counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    for r in merged:
-        counts[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(r[1], np.int64)
-    load = float((counts.astype(float) ** 2).sum() / max(1, counts.sum()) - counts.mean())
-    return np.minimum(np.log2(counts + 1) * 8, 255).astype(np.uint8), max(0.0, load)
-
-
-def boundary(sizes: dict[int, int], shared: float, most: int = MOST_LIGHT) -> int:
-    """The largest light size: the one of least cost.
-
-    ``sizes``: documents of each set size up to ``most`` (larger ones are
-    heavy whatever the boundary). A light set of n costs its pairs of the
-    prefix; a heavy one the entries of its prefix, each written and scanned
-    against ``shared`` others.
+    A light set costs the pairs of its prefix, a heavy one the entries of its
+    prefix, each written once and scanned against the sets that share it;
+    SCAN is the cost of a step of a scan, measured in entries written.
+    Shingles of one set alone cost nothing.
     """
-    keep = lambda n: n - -(-3 * n // 4)
-    light = lambda n: (keep(n) + 2) * (keep(n) + 1) / 2
-    heavy = lambda n: (keep(n) + 1) * (1 + min(shared, 50.0))
-    best, cost = 0, sum(c * heavy(n) for n, c in sizes.items())
-    least = cost
-    for x in range(1, most + 1):
-        cost += sizes.get(x, 0) * (light(x) - heavy(x))
-        if cost < least:
-            best, least = x, cost
-    return best
-
-
-def _postings(docs: DataFrame, levels: np.ndarray, x: int) -> DataFrame:
+    k = F.size("keys")
+    rest = F.col("n") - F.ceil(F.col("n") * 3 / 4)
+    scanned = F.greatest(F.least(k, rest + 1 - F.col("own")), F.lit(0)) + SCAN * F.col("load")
+    costs = survey.where("doc_id IS NOT NULL AND n > 1").groupBy("n").agg(F.sum(k * (k - 1) / 2).alias("light"), F.sum(scanned).alias("heavy"))
+    # one row a size of set
+    up = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    cost = F.sum("light").over(up) + F.coalesce(F.sum("heavy").over(down), F.lit(0.0))
+    none = costs.agg(F.lit(0).cast("long").alias("n"), F.coalesce(F.sum("heavy"), F.lit(0.0)).alias("cost"))
+    return costs.select("n", cost.alias("cost")).union(none).orderBy("cost", "n").first()[0]
+
+
+def _postings(survey: DataFrame, x: int) -> DataFrame:
     """(key, n, s1, doc_id, lead): keys of light sets and list entries of heavy ones.
 
     lead: the entry may find sets of this size or larger (for list entries: in the prefix for the smaller set of a pair).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(levels)
     near = -(-3 * (x + 1) // 4)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = sent.value
         for batch in source:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
-            for lo, hi in slices(texts):
-                h, bound = sets_of(texts[lo:hi])
-                n = np.diff(bound)
-                d = np.repeat(np.arange(hi - lo), n)
-                order = np.lexsort((h, levels[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], d))
-                h = h[order]
-                pos = np.arange(len(h)) - bound[d]
-                size = n[d]
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x6A09E667)))))
-                s1 = _signed(sums[bound[1:]] - sums[bound[:-1]])
-                rest = size - -(-3 * size // 4)
-                entry = np.flatnonzero((size >= near) & (size > 1) & (pos <= rest))
-                keys, owner = [mix(h[entry] ^ np.uint64(0xA5A5A5A5))], [d[entry]]
-                lead = [pos[entry] <= size[entry] - -(-6 * size[entry] // 7)]
-                for k in np.flatnonzero((n <= x) & (n > 1)).tolist():
-                    m = int(n[k] - -(-3 * int(n[k]) // 4) + 2)
-                    own = np.sort(h[bound[k] : bound[k] + m])
-                    i, j = np.triu_indices(len(own), 1)
-                    keys.append(mix(own[i] * np.uint64(0xD6E8FEB86659FD93) + own[j]))
-                    owner.append(np.full(len(i), k))
-                    lead.append(np.ones(len(i), dtype=bool))
-                own = np.concatenate(owner)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(np.concatenate(keys))), pa.array(n[own], pa.int64()), pa.array(s1[own]), pa.array(ids[lo:hi][own], pa.int64()), pa.array(np.concatenate(lead))],
-                        names=["key", "n", "s1", "doc_id", "lead"],
-                    )
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "key long, n long, s1 long, doc_id long, lead boolean")
+            ids, n, s1, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            lists = batch.column(4)
+            h = np.asarray(lists.flatten()).view(np.uint64)
+            bound = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists)))))
+            m = np.diff(bound)
+            d = np.repeat(np.arange(len(ids)), m)
+            pos = np.arange(len(h)) - bound[d] + own[d]
+            entry = np.flatnonzero((n[d] >= near) & (pos <= n[d] - -(-3 * n[d] // 4)))
+            keys, owner = [mix(h[entry] ^ np.uint64(0xA5A5A5A5))], [d[entry]]
+            lead = [pos[entry] <= n[d[entry]] - -(-6 * n[d[entry]] // 7)]
+            for size in np.unique(m[(n <= x) & (m > 1)]).tolist():
+                k = np.flatnonzero((n <= x) & (m == size))
+                i, j = np.triu_indices(size, 1)
+                step = max(1, (1 << 20) // len(i))
+                for at in range(0, len(k), step):
+                    some = k[at : at + step]
+                    sets = np.sort(h[bound[some][:, None] + np.arange(size)], axis=1)
+                    keys.append(mix(sets[:, i] * np.uint64(0xD6E8FEB86659FD93) + sets[:, j]).ravel())
+                    owner.append(np.repeat(some, len(i)))
+                    lead.append(np.ones(len(some) * len(i), dtype=bool))
+            key, own_of, leads = np.concatenate(keys), np.concatenate(owner), np.concatenate(lead)
+            for at in range(0, len(key), 1 << 18):
+                o = own_of[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(key[at : at + (1 << 18)])), pa.array(n[o]), pa.array(s1[o]), pa.array(ids[o]), pa.array(leads[at : at + (1 << 18)])],
+                    names=["key", "n", "s1", "doc_id", "lead"],
+                )
+
+    some = survey.where((F.col("n") > 1) & (F.size("keys") > 0) & F.col("doc_id").isNotNull())
+    return some.select("doc_id", "n", "s1", "own", "keys").mapInArrow(run, "key long, n long, s1 long, doc_id long, lead boolean")
 
 
 def _groups(postings: DataFrame) -> DataFrame:
@@ -332,11 +273,8 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     free_shuffles(spark)
-    survey = written(_survey(docs), "survey")
-    levels, shared = _levels(survey)
-    sets = survey.where("chunk IS NULL").select("doc_id", "n", "s1", "s2", "odd")
-    sizes = {r[0]: r[1] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}
-    members = written(_groups(_postings(docs, levels, boundary(sizes, shared))), "members")
+    sets = written(survey(docs, sets_of), "survey")
+    members = written(_groups(_postings(sets, boundary(sets))), "members")
 
     bits = lambda c: sets.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
     labels, tested = None, None
@@ -366,17 +304,40 @@ def join(docs: DataFrame) -> DataFrame:
     more = written(_verified(docs, cross), "tested-more")
     labels = extended(labels, more.where("linked").select("a", "b"))
 
-    classes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
-    named = classes.join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
-    return sets.join(named, ["s1", "s2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"),
+    return _named(sets, labels)
+
+
+#: Equal sets of more documents than this, or than one in MOST_HOT of all, are named by a broadcast: at most MOST_HOT classes.
+HOT_ROWS, MOST_HOT = 1000, 100_000
+
+
+def _named(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document with the label of its class of equal sets; a class of very many copies does not pass through one task."""
+    names = lambda label: ["doc_id", F.col("n").alias("n_shingles"), label.alias("component_id")]
+    some = sets.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "s1", "s2")
+    classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"))
+    named = written(classes.join(labels, "node", "left").select("s1", "s2", "n", "size", F.coalesce("label", "node").alias("label")), "classes")
+    rows = named.agg(F.sum("size")).first()[0] or 0
+    hot = F.col("size") > max(HOT_ROWS, rows // MOST_HOT)
+    small = F.broadcast(named.where(hot).select("s1", "s2", "n", F.col("label").alias("hot_label")))
+    cold = named.where(~hot).select("s1", "s2", "n", "label")
+    split = some.join(small, ["s1", "s2", "n"], "left")
+    return (
+        split.where("hot_label IS NOT NULL").select(*names(F.col("hot_label")))
+        .union(split.where("hot_label IS NULL").join(cold, ["s1", "s2", "n"]).select(*names(F.col("label"))))
+        .union(sets.where("doc_id IS NULL OR n = 0").select(*names(F.col("doc_id"))))
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The first document of each component, with all its columns; rows without a doc_id stay."""
+    """The first document of each component, with all its columns; rows without a doc_id stay.
+
+    Of rows that share that doc_id one stays: the one whose text has the least hash, ties to any of the equal texts.
+    """
     first = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    firsts = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
+    firsts = known.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
     return firsts.union(docs.where("doc_id IS NULL"))
 
 

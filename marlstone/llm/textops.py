@@ -127,6 +127,26 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def runs(text: bytes, table: bytes, n: int, most: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A long text cut at blanks into runs of about ``most`` bytes; each repeats the ``n - 1`` words before it,
+
+    so that every ``n`` words stand together in one run. A single longer word is not cut.
+    """
+    at, size = 0, len(text)
+    while at < size:
+        end = min(size, at + most)
+        while end < size and table[text[end]] != 32:
+            end += 1
+        begin = at
+        for _ in range(n - 1):  # back over one word and the blanks before it
+            while begin > 0 and table[text[begin - 1]] == 32:
+                begin -= 1
+            while begin > 0 and table[text[begin - 1]] != 32:
+                begin -= 1
+        yield text[begin:end]
+        at = end
+
+
 def slices(texts: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
     lo, size = 0, 0
