@@ -5,19 +5,21 @@ shingles are light: all pairs of shingles of a prefix are enumerated as keys.
 Larger sets are heavy: the shingles of a shorter prefix are inverted lists,
 which are scanned; light sets near the boundary also stand in the lists, so
 that a light and a heavy set can meet. The boundary ``x`` is the one of least
-cost: pairs to enumerate against list entries to write and to scan, from the
-counts of set sizes and of shingles.
+cost: pairs to enumerate against list entries to write and to scan, summed
+over all sets, for every size that occurs.
 
-Prefixes follow one order for the whole corpus, rare shingles first; how
-often a shingle occurs is read from a table of hashed counts of fixed size.
+Prefixes follow one order for the whole corpus, rare shingles first, from the
+number of documents of each shingle (see ``shared_shingles``). A shingle that
+no other document has takes its place in the prefix, but is never sent.
 Two sets with a Jaccard similarity of 3/4 share at least k shingles in
 prefixes of n - ceil(3n/4) + k: no link is missed.
 
 Links are found in rounds. First, again and again while it pays, a few sets of
 each list or key group are compared with the others of the group that are not
 in their component yet: a group of any size costs a few comparisons a member.
-Then only sets of one group that are still in different components are compared.
-Pairs whose parity bits (see ``_odd``) differ too much cannot be links; every
+Then only sets of a group that is still in different components are compared,
+by lists of single shingles whatever their size, each pair at the first
+shingle that both have. Pairs whose parity bits (see ``odd_bits``) differ too much cannot be links; every
 other pair is decided on the whole texts. Equal sets are one class from the
 start and are represented by their least doc_id.
 
@@ -49,6 +51,8 @@ SHINGLE = 5
 #: Star rounds go on while at least one comparison in STAR_YIELD finds a link, MOST_TURNS at most; each has PIVOTS leaders a group.
 STAR_YIELD, MOST_TURNS, PIVOTS = 8, 4, 4
 SCAN = 1 / 16
+#: Earlier keys that an entry of the last round carries, to meet a pair once: one that shares more of them may be met again.
+WINDOW = 64
 
 
 def sets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +268,13 @@ def _stars(members: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _entries(sets: DataFrame) -> DataFrame:
+    """List entries of sets of any size: key, the set's doc_id, label and n, the key's number i among its keys and its pos among all its shingles."""
+    listed = sets.select("doc_id", "label", "n", "own", F.posexplode("keys").alias("i", "key"))
+    pos = F.col("own") + F.col("i")
+    return listed.where(pos <= F.col("n") - F.ceil(F.col("n") * 3 / 4)).select("key", "doc_id", "label", "n", "i", pos.alias("pos")).distinct()
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -289,16 +300,20 @@ def join(docs: DataFrame) -> DataFrame:
             labels = extended(labels, found.where("linked").select("a", "b"))
         if linked * STAR_YIELD < n or not n:
             break
-    open_ = placed(members, labels)
-    open_ = written(open_.select("key", "doc_id", "lead", "label"), "placed")
-    open_keys = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = open_.join(open_keys, "key", "left_semi").join(bits("doc_id"), "doc_id").select("key", "doc_id", "lead", "label", F.col("ndoc_id").alias("n"), F.col("odoc_id").alias("odd"))
+    leaders = placed(members.select("doc_id").distinct(), labels).select("doc_id", "label")
+    entries = written(_entries(leaders.join(sets.where("doc_id IS NOT NULL"), "doc_id")), "entries")
+    open_keys = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = entries.join(open_keys, "key", "left_semi").join(sets.where("doc_id IS NOT NULL").select("doc_id", "odd", "keys").dropDuplicates(["doc_id"]), "doc_id")
+    open_ = open_.select("key", "doc_id", "label", "n", "pos", "odd", F.slice("keys", F.greatest(F.col("i") - WINDOW, F.lit(0)) + 1, F.least(F.col("i"), F.lit(WINDOW))).alias("before"))
     x, y = open_.alias("x"), open_.alias("y")
+    # the first shingle that a linked pair shares: what is left from it on can still hold all that the two need to share
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     met = x.join(
         y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & F.col("x.lead")
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))))
-        & (4 * F.col("x.n") >= 3 * F.col("y.n")) & _may_link("x.n", "y.n", "x.odd", "y.odd"),
+        & (7 * room >= 3 * (F.col("x.n") + F.col("y.n"))) & _may_link("x.n", "y.n", "x.odd", "y.odd")
+        & ~F.arrays_overlap("x.before", "y.before"),  # an earlier key of both has met them already
     )
     cross = met.select(*_pair("x.doc_id", "y.doc_id")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = written(_verified(docs, cross), "tested-more")
