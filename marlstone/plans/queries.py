@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
-from marlstone.operators import chunking, graph, taxonomy
+from marlstone.operators import chunking, graph, taxonomy, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,33 +45,80 @@ def page_slug(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", C.slugify(F.col("url")).alias("slug"))
 
 
-_TYPES = "(VALUES " + ", ".join(f"('{n}', {i}, [{', '.join(repr(k) for k in ks)}])" for i, (n, ks) in enumerate(taxonomy.LANGUAGE_TYPES)) + ") t(type, ord, keywords)"
-_SCORES = f"s AS (SELECT doc_id, source, type, ord, round(least(0.3, 0.05 * len(list_filter(keywords, lambda k: contains(lower(text), k)))), 4)::DOUBLE AS score FROM documents, {_TYPES})"
+def _sql_score(t: taxonomy.DocType) -> str:
+    """SQL of a type's score, from the taxonomy's words alone."""
+    has = lambda words: " + ".join(f"contains(lower(text), '{w}')::INT" for w in words) or "0"
+    fits = " OR ".join(f"regexp_full_match(name, '{taxonomy.glob_regex(p)[1:-1]}')" for p in t.patterns) or "false"
+    return f"round(least(1e0, CASE WHEN {fits} THEN 4e-1 ELSE 0e0 END + least(3e-1, 3e-1 * (({has(t.tokens)}) / {len(t.tokens)}e0)) + least(3e-1, 5e-2 * ({has(t.keywords)}))), 4)"
+
+
+_SCORES = (
+    "s AS (SELECT doc_id, source, u.type, u.ord, u.score FROM (SELECT doc_id, source, unnest(["
+    + ", ".join(f"{{type: '{t.name}', ord: {i}, score: {_sql_score(t)}}}" for i, t in enumerate(taxonomy.LANGUAGE_TYPES))
+    + "]) AS u FROM (SELECT *, doc_id::VARCHAR || '.txt' AS name FROM documents)))"
+)
 _BEST = f"WITH {_SCORES}, b AS (SELECT doc_id, source, CASE WHEN score > 0 THEN type ELSE 'general_document' END AS type, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1)"
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.match_scores(read(spark, d, "documents"), taxonomy.taxonomy(spark))
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    uri = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return read(spark, d, "documents").select("doc_id", "source", taxonomy.scores(F.col("text"), uri).alias("scores"))
+
+
+def best_types(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, type and score of the best type."""
+    return _scored(spark, d).select("doc_id", "source", taxonomy.best(F.col("scores")).alias("b")).select("doc_id", "source", "b.type", "b.score")
 
 
 @query(f"WITH {_SCORES} SELECT doc_id, type, score FROM s")
 def type_match_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).select("doc_id", "type", "score")
+    return _scored(spark, d).select("doc_id", F.inline("scores")).select("doc_id", "type", "score")
 
 
 @query(_BEST + " SELECT doc_id, type, score FROM b")
 def best_match(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.best_match(_scores(spark, d)).select("doc_id", "type", "score")
+    return best_types(spark, d).select("doc_id", "type", "score")
 
 
 @query(f"WITH {_SCORES} SELECT doc_id, type, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, type) AS place FROM s QUALIFY place <= 4")
 def alternatives_top3(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.ranked(_scores(spark, d))
+    """The stub classifier's answer (place 1) and its three alternatives."""
+    return _scored(spark, d).select("doc_id", F.posexplode(F.slice(taxonomy.ranked(F.col("scores")), 1, 4)).alias("i", "s")).select("doc_id", "s.type", (-F.col("s.less")).alias("score"), (F.col("i") + 1).alias("place"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Scores beside the answer of a made-up classifier, which is often wrong."""
+    names = F.array(*[F.lit(t.name) for t in taxonomy.LANGUAGE_TYPES])
+    return _scored(spark, d).withColumns({"predicted": F.get(names, (F.col("doc_id") % 4).cast("int")), "given": (F.col("doc_id") % 11) / 10.0})
+
+
+_ANSWERS = f"""WITH {_SCORES}, p AS (SELECT doc_id, ['english', 'french_text', 'german_text', 'spanish'][doc_id % 4 + 1] AS predicted, (doc_id % 11) / 10e0 AS given FROM documents),
+h AS (SELECT s.*, predicted, given, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS place FROM s JOIN p USING (doc_id))"""
+
+
+@query(_ANSWERS + """, g AS (SELECT doc_id, predicted, given, max(score) AS top, max(CASE WHEN place = 1 THEN CASE WHEN score > 0 THEN type ELSE 'general_document' END END) AS best, max(CASE WHEN place = 2 THEN score END) AS nxt, max(CASE WHEN type = predicted THEN score END) AS own FROM h GROUP BY ALL),
+k AS (SELECT *, greatest(0e0, top - own) AS gap FROM g),
+r AS (SELECT *, top >= 5e-2 AND own < 5e-2 AND gap >= 25e-2 AS novel, predicted <> best AND gap >= 25e-2 AS apart, top > 0 AND nxt > 0 AND top - nxt < 1e-1 AND given < 55e-2 + 15e-2 AS tied FROM k),
+c AS (SELECT *, CASE WHEN novel OR apart THEN greatest(0e0, given - gap) ELSE given END AS adjusted FROM r)
+SELECT doc_id, predicted, round(least(1e0, adjusted), 6) AS confidence, CASE WHEN novel THEN 'NOVEL_PATTERN' WHEN apart OR tied THEN 'TIE_BETWEEN_TYPES' WHEN adjusted < 55e-2 THEN 'LOW_CONFIDENCE' END AS reason,
+       round(own, 6) AS header_match_score, round(top, 6) AS keyword_density, round(1 - 1 / (1 + (top > 0)::INT + (nxt > 0)::INT)::DOUBLE, 6) AS structural_complexity, round(1 - gap, 6) AS heuristic_agreement FROM c""")
+def adjudicate(spark: SparkSession, d: str) -> DataFrame:
+    found = taxonomy.adjudicate(F.col("scores"), F.col("predicted"), F.col("given"))
+    return _answers(spark, d).select("doc_id", "predicted", *[(c if n == "reason" else F.round(c, 6)).alias(n) for n, c in found.items()])
+
+
+@query(_ANSWERS + """, c AS (SELECT doc_id, type, score FROM h WHERE score > 0 AND type <> predicted UNION ALL SELECT DISTINCT doc_id, 'spanish', given FROM h WHERE predicted <> 'spanish'),
+t AS (SELECT doc_id, type, max(score) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY max(score) DESC, type) AS place FROM c GROUP BY doc_id, type)
+SELECT doc_id, type, score, place FROM t WHERE place <= 3""")
+def alternatives_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier names Spanish as its alternative; the merge keeps the greater of its and our score."""
+    given = F.array(F.struct(F.lit("spanish").alias("type"), F.col("given").alias("confidence")))
+    return _answers(spark, d).select("doc_id", F.posexplode(taxonomy.merged_alternatives(F.col("scores"), F.col("predicted"), given)).alias("i", "s")).select("doc_id", "s.type", (-F.col("s.less")).alias("score"), (F.col("i") + 1).alias("place"))
 
 
 @query(_BEST + " SELECT source AS tenant, type, count(*) AS n, CASE WHEN count(*) <= 10 THEN '1-10' WHEN count(*) <= 100 THEN '11-100' WHEN count(*) <= 1000 THEN '101-1000' WHEN count(*) <= 10000 THEN '1001-10000' ELSE '10000+' END AS bucket FROM b GROUP BY ALL")
 def doc_type_distribution(spark: SparkSession, d: str) -> DataFrame:
-    n = taxonomy.best_match(_scores(spark, d)).groupBy(F.col("source").alias("tenant"), "type").agg(F.count("*").alias("n"))
+    n = best_types(spark, d).groupBy(F.col("source").alias("tenant"), "type").agg(F.count("*").alias("n"))
     return n.withColumn("bucket", C.bucketize(F.col("n")))
 
 
@@ -85,15 +132,9 @@ _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY place <= 8")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set (every twentieth vector) against all vectors."""
-    e = read(spark, d, "embeddings").withColumn("norm", C.norm(F.col("embedding")))
-    q, x = e.where(F.col("vec_id") % 20 == 0).alias("a"), e.alias("b")
-    s = q.join(x, F.col("a.vec_id") != F.col("b.vec_id")).select(
-        F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"),
-        F.round(C.cosine(F.col("a.embedding"), F.col("b.embedding"), F.col("a.norm"), F.col("b.norm")), 6).alias("score"),
-    )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return s.withColumn("place", place).where("place <= 8")
+    """The stated query set (every twentieth vector) against all vectors, in blocks of queries."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.top_k(e.where(F.col("vec_id") % 20 == 0), e, 8)
 
 
 @query("SELECT label, pos, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY label, pos")
@@ -126,12 +167,21 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return _centroids(spark, d).select("label").join(found, F.col("label") == F.col("label_"), "left").select("label", F.coalesce("community", "label").alias("community"))
 
 
-@query(r"""SELECT source, string_agg(tok, '_' ORDER BY n DESC, tok) AS label FROM (SELECT source, tok, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, tok) AS place FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]+')) AS tok FROM documents) WHERE length(tok) > 2 GROUP BY source, tok) WHERE place <= 2 GROUP BY source""")
+_STOP = ("the", "and", "for", "that", "with", "this", "from", "are", "was", "not", "but", "have", "has", "had", "its", "will", "can", "our", "you", "all")
+
+
+@query(f"""WITH t AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]+')) AS tok FROM documents),
+n AS (SELECT source, tok, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, tok) AS place FROM t WHERE length(tok) > 2 AND tok NOT IN {_STOP} GROUP BY source, tok),
+l AS (SELECT source, string_agg(tok, '_' ORDER BY place) AS tail FROM n WHERE place <= 2 GROUP BY source)
+SELECT s.source, 'cluster_' || coalesce(tail, s.source) AS label FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN l ON l.source = s.source""")
 def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
-    tok = read(spark, d, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9]+)"))).alias("tok")).where(F.length("tok") > 2)
+    """The two most frequent words of each source that are no stop words; its name where it has none."""
+    docs = read(spark, d, "documents")
+    tok = docs.select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9]+)"))).alias("tok")).where((F.length("tok") > 2) & ~F.col("tok").isin(*_STOP))
     n = tok.groupBy("source", "tok").agg(F.count("*").alias("n"))
     top = n.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "tok"))).where("place <= 2")
-    return top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "tok"))), lambda s: s["tok"]), "_").alias("label"))
+    named = top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "tok"))), lambda s: s["tok"]), "_").alias("tail"))
+    return docs.select("source").distinct().join(named, "source", "left").select("source", F.concat(F.lit("cluster_"), F.coalesce("tail", "source")).alias("label"))
 
 
 _GROUPS = "SELECT event_type AS kind, user_id % 7 AS domain, count(DISTINCT user_id) AS tenants, count(*) AS observations, round(avg(greatest(0, least(1, value / 100))), 6) AS confidence FROM events GROUP BY ALL"

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.stub_embedding import stub_embedding
-from marlstone.operators import taxonomy
-from marlstone.plans.queries import _BEST, _scores, query, read
+from marlstone.plans.queries import _BEST, best_types, query, read
 
 SINCE = "2024-01-10 00:00:00"
 TOKENS = ("de", "a", "wiki")
@@ -25,7 +24,7 @@ def json_sum(spark: SparkSession, d: str) -> DataFrame:
 @query(_BEST + " SELECT source, type, count(DISTINCT doc_id) AS n, row_number() OVER (PARTITION BY source ORDER BY count(DISTINCT doc_id) DESC, type) AS place FROM b GROUP BY source, type QUALIFY place <= 5")
 def doc_type_top5(spark: SparkSession, d: str) -> DataFrame:
     """The five most frequent document types of each source."""
-    n = taxonomy.best_match(_scores(spark, d)).select("source", "type", "doc_id").distinct().groupBy("source", "type").agg(F.count("*").alias("n"))
+    n = best_types(spark, d).select("source", "type", "doc_id").distinct().groupBy("source", "type").agg(F.count("*").alias("n"))
     return n.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "type"))).where("place <= 5")
 
 
