@@ -16,7 +16,8 @@ COUNT_BUCKET_LAST = "10000+"
 
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    normal = lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+    return pd.Series([normal(t) for t in s], dtype=object)
 
 
 def normalize_text(text: Column, nfc: bool = True) -> Column:

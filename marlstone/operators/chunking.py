@@ -1,61 +1,113 @@
-"""Recursive text splitting with overlap."""
+"""Splitting texts into overlapping chunks, for prose and for code.
+
+A text is cut after the coarsest separator that occurs in it, and what is too
+long after the next finer one; pieces are gathered into chunks that each begin
+with the tail of the one before. Everything is kept as bounds in the text:
+chunks are slices of it.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.columns import normalize_text
+
 # fixed values: separators from coarse to fine; an empty one means fixed slices
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+# fixed values: sizes and overlaps of chunks, and what marks a text as code
+PROSE, CODE = (1500, 150), (2000, 200)
+CODE_SUFFIXES = (
+    "py", "pyi", "js", "jsx", "ts", "tsx", "go", "rs", "java", "kt", "rb", "c", "h", "cc", "cpp", "hpp", "cs", "swift", "php", "sh", "bash", "zsh", "sql",
+)
 SCHEMA = "doc_id long, position int, text string, start_char int, end_char int, chunk_hash string"
 
 
-def pieces(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters, cut after the coarsest separator that occurs."""
-    if len(text) <= size:
-        return [text] if text else []
-    sep = next((s for s in separators if s == "" or s in text), "")
-    if not sep:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    parts = text.split(sep)
-    parts = [p + sep for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
-    finer = separators[separators.index(sep) + 1 :]
-    return [x for p in parts for x in pieces(p, size, finer)]
-
-
-def chunks_of(text: str, size: int = 1500, overlap: int = 150) -> list[tuple[str, int, int]]:
-    """(chunk, start, end): pieces packed up to ``size``, each chunk led by the tail of the one before."""
-    packed, current = [], ""
-    for piece in pieces(text, size):
-        if current and len(current) + len(piece) > size:
-            packed.append(current)
-            current = current[-overlap:] if overlap and len(current) > overlap else ""
-        current += piece
-    if current:
-        packed.append(current)
-    out, cursor = [], 0
-    for c in packed:
-        start = text.find(c, cursor)
-        start = text.find(c) if start < 0 else start
-        end = start + len(c)
-        out.append((c, start, end))
-        cursor = max(start + 1, end - overlap)
-    return out
-
-
-def chunk(docs: DataFrame, size: int = 1500, overlap: int = 150) -> DataFrame:
+@dataclass(frozen=True)
+class Chunk:
+    start: int
+    end: int
+
+
+def bounds(text: str, size: int) -> Iterator[int]:
+    """Ends of the pieces of a text, each piece of ``size`` characters at most."""
+    open_ = [(0, len(text), 0)]  # spans that are left, the next one last; the separators before the number are used up
+    while open_:
+        a, b, level = open_.pop()
+        if b - a <= size:
+            if b > a:
+                yield b
+            continue
+        while SEPARATORS[level] and text.find(SEPARATORS[level], a, b) < 0:
+            level += 1
+        sep = SEPARATORS[level]
+        if not sep:
+            yield from (min(b, x + size) for x in range(a, b, size))
+            continue
+        cuts, at = [a], text.find(sep, a, b)
+        while at >= 0:
+            cuts.append(at + len(sep))
+            at = text.find(sep, cuts[-1], b)
+        if cuts[-1] < b:
+            cuts.append(b)
+        open_ += [(x, y, level + 1) for x, y in zip(reversed(cuts[:-1]), reversed(cuts[1:]), strict=True)]
+
+
+def chunks_of(text: str, size: int = PROSE[0], overlap: int = PROSE[1]) -> list[Chunk]:
+    """Chunks as bounds, where they stand; one that equals an earlier passage is told at the first place from
+
+    the overlap with the chunk before on, which is what a search for its text would find.
+    """
+    spans, start, end = [], 0, 0
+    for stop in bounds(text, size):
+        if end > start and stop - start > size:
+            spans.append((start, end))
+            start = end - overlap if 0 < overlap < end - start else end
+        end = stop
+    if end > start:
+        spans.append((start, end))
+    told: list[Chunk] = []
+    for a, b in spans:
+        low = max(told[-1].start + 1, told[-1].end - overlap) if told else 0
+        at = text.find(text[a:b], low, b) if low < a else a
+        told.append(Chunk(at, at + b - a) if at >= 0 else Chunk(a, b))
+    return told
+
+
+def is_code(uri: Column, mime: Column) -> Column:
+    """Whether the suffix or the type names a programming language."""
+    suffix = F.lower(F.regexp_extract(F.coalesce(uri, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.lower(F.coalesce(mime, F.lit("")))
+    return suffix.isin(*CODE_SUFFIXES) | F.rlike(kind, F.lit("^(text|application)/x-.*(python|script|java|c|rust|go|ruby|sh)"))
+
+
+def chunk(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], normalize: bool = True) -> DataFrame:
+    """doc_id, position, text, start_char, end_char and chunk_hash of every chunk.
+
+    Texts are normalised first; a null text, or one of blanks alone, has no chunks.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (c, a, b) in enumerate(chunks_of(t or "", size, overlap)):
-                    for col, v in zip(cols, (d, k, c, a, b, hashlib.sha256(c.encode()).hexdigest()), strict=True):
+                for k, c in enumerate(chunks_of(t, size, overlap)):
+                    own = t[c.start : c.end]
+                    for col, v in zip(cols, (d, k, own, c.start, c.end, hashlib.sha256(own.encode()).hexdigest()), strict=True):
                         col.append(v)
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").where(F.col("text") != "").mapInArrow(run, SCHEMA)
+    text = normalize_text(F.col("text")) if normalize else F.col("text")
+    return docs.select("doc_id", text.alias("text")).where(F.rlike("text", F.lit(r"\S"))).mapInArrow(run, SCHEMA)
+
+
+def chunk_by_kind(docs: DataFrame) -> DataFrame:
+    """Chunks of documents with uri and mime, with splitter: code in longer chunks than prose."""
+    code = is_code(F.col("uri"), F.col("mime"))
+    told = lambda df, of, name: chunk(df, *of).withColumn("splitter", F.lit(name))
+    return told(docs.where(~code), PROSE, "text").union(told(docs.where(code), CODE, "code_fallback"))

@@ -127,6 +127,26 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(read(spark, d, "documents"))
 
 
+@query(r"""SELECT doc_id, true AS sound, CASE WHEN length(t) <= 1500 THEN 1 END AS n_chunks, CASE WHEN length(t) <= 1500 THEN sha256(t) END AS only_hash
+FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents) WHERE regexp_matches(t, '\S')""")
+def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: whether each chunk is the slice that its bounds name, no longer than allowed, and they leave no gap; a short text is one chunk."""
+    docs = read(spark, d, "documents").select("doc_id", C.normalize_text(F.col("text")).alias("t"))
+    c = chunking.chunk(read(spark, d, "documents"))
+    after = F.lag("end_char", 1, 0).over(Window.partitionBy("doc_id").orderBy("position"))
+    c = c.withColumn("joined", F.col("start_char") <= after).join(docs, "doc_id")
+    sound = (F.substring("t", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("text")) & (F.length("text") <= 1500 + 150) & F.col("joined")
+    one = F.length("t") <= 1500
+    return c.groupBy("doc_id").agg(F.bool_and(sound).alias("sound"), F.when(F.bool_and(one), F.count("*")).alias("n_chunks"), F.when(F.bool_and(one), F.min("chunk_hash")).alias("only_hash"))
+
+
+@query()
+def chunks_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh document counts as a Python file."""
+    uri = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".py").otherwise(".txt"))
+    return chunking.chunk_by_kind(read(spark, d, "documents").withColumns({"uri": uri, "mime": F.lit(None).cast("string")}))
+
+
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 

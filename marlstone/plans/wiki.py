@@ -7,13 +7,14 @@ is a chunk of its leaf.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
 from marlstone.operators import pages as P
 from marlstone.operators import tree, vectors
-from marlstone.plans.queries import _BEST, best_types, query, read
+from marlstone.plans.queries import _BEST, _centroids, best_types, query, read
 from marlstone.session import written
 
 NOW = "2024-02-01 00:00:00"
@@ -127,8 +128,6 @@ _COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], c.c), 9)"
 @query(f"""WITH c AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label)
 SELECT e.label AS node, vec_id, row_number() OVER (PARTITION BY e.label ORDER BY {_COS} DESC, vec_id) AS place, round({_COS}, 6) AS score FROM embeddings e JOIN c ON c.label = e.label QUALIFY place <= 10""")
 def page_chunk_rank(spark: SparkSession, d: str) -> DataFrame:
-    from marlstone.plans.queries import _centroids
-
     e = read(spark, d, "embeddings").select(F.col("label").alias("node"), "vec_id", F.col("vec_id").alias("position"), F.sha2(F.col("vec_id").cast("string"), 256).alias("chunk"), "embedding")
     ranked = P.ranked_chunks(e, _centroids(spark, d).select(F.col("label").alias("node"), F.col("c").alias("centroid")))
     return ranked.select("node", "vec_id", "place", F.round("score", 6).alias("score"))
@@ -183,8 +182,6 @@ def page_groups(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, cid::INT AS cluster, round(list_distance(embedding::DOUBLE[], c::DOUBLE[]) ** 2, 4) AS distance FROM embeddings, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], c::DOUBLE[]), cid) = 1""")
 def kmeans_assign_step(spark: SparkSession, d: str) -> DataFrame:
     """One assignment: the first eight vectors are the centroids."""
-    import numpy as np
-
     e = read(spark, d, "embeddings")
     first = np.array([r.embedding for r in e.where("vec_id < 8").orderBy("vec_id").select("embedding").collect()], dtype=np.float64)
     return vectors.nearest(e, first).withColumn("distance", F.round("distance", 4))

@@ -29,11 +29,13 @@ def local_session(app: str = "marlstone", cores: str = "*", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of this machine is used only where the setting is absent, which
-    is right for local mode and wrong on a cluster.
+    In local mode a folder of this machine stands in where the setting is
+    absent; on a cluster its absence is an error.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")

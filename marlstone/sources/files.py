@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 # MIME types by file suffix.
 MIME_TYPES = {
-    ".csv": "text/csv", ".eml": "message/rfc822", ".htm": "text/html", ".html": "text/html",
-    ".json": "application/json", ".md": "text/markdown", ".pdf": "application/pdf", ".txt": "text/plain", ".xml": "application/xml",
+    ".csv": "text/csv", ".doc": "application/msword", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".eml": "message/rfc822", ".htm": "text/html", ".html": "text/html", ".json": "application/json", ".md": "text/markdown",
+    ".msg": "application/vnd.ms-outlook", ".pdf": "application/pdf", ".txt": "text/plain", ".xls": "application/vnd.ms-excel",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", ".yaml": "application/yaml", ".yml": "application/yaml",
 }
 
 OBSERVATION = "event_id STRING, tenant STRING, kind STRING, observed_at TIMESTAMP, payload STRING"
@@ -40,7 +42,7 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """scan_folder's uri with the SHA-256 of the bytes and the text (UTF-8, bad bytes replaced)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("uri"), F.sha2("content", 256).alias("file_hash"), F.decode(F.col("content"), "UTF-8").alias("text"))
+    return files.select(F.col("path").alias("uri"), F.sha2("content", 256).alias("file_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def write_observations(rows: DataFrame, path: str) -> None:

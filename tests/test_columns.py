@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
@@ -33,13 +36,50 @@ def test_cosine_of_zero(spark):
     assert abs(one(spark, C.cosine(ones, ones)) - 1) < 1e-12
 
 
-def test_chunks_slice_back():
-    text = "A first paragraph.\n\n" + "word " * 900 + "\n" + "x" * 5000
-    found = chunking.chunks_of(text, 400, 40)
-    assert all(text[a:b] == c and len(c) <= 440 for c, a, b in found)
+def plain_chunks(text, size, overlap):
+    """The observable rule, on strings: cut, gather, look each chunk up from the overlap on."""
+
+    def cut(t, seps):
+        if len(t) <= size:
+            return [t] if t else []
+        sep = next((s for s in seps if s == "" or s in t), "")
+        if not sep:
+            return [t[i : i + size] for i in range(0, len(t), size)]
+        parts = t.split(sep)
+        parts = [p + sep for p in parts[:-1]] + [parts[-1]] * bool(parts[-1])
+        return [x for p in parts for x in cut(p, seps[seps.index(sep) + 1 :])]
+
+    gathered, now = [], ""
+    for p in cut(text, chunking.SEPARATORS):
+        if now and len(now) + len(p) > size:
+            gathered.append(now)
+            now = now[-overlap:] if 0 < overlap < len(now) else ""
+        now += p
+    out, low = [], 0
+    for c in gathered + [now] * bool(now):
+        at = text.find(c, low)
+        at = at if at >= 0 else text.find(c)
+        out.append((c, at, at + len(c)))
+        low = max(at + 1, at + len(c) - overlap)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chunks_slice_back(seed):
+    r = random.Random(seed)
+    text = "A first paragraph.\n\n" + "word " * 90 + "\n" + "x" * 500
+    text += "".join(r.choice(["ab ", "ab. ", "c\n", "\n\n", "dd", "ab ab ", "y" * 70]) for _ in range(300))
+    for size, overlap in ((400, 40), (60, 20), (50, 0), (30, 29)):
+        found = chunking.chunks_of(text, size, overlap)
+        assert [(text[c.start : c.end], c.start, c.end) for c in found] == plain_chunks(text, size, overlap)
     assert chunking.chunks_of("") == []
 
 
+def test_chunks_are_of_normalised_text(spark):
+    docs = spark.createDataFrame([(1, "a \r\n\r\n\r\n\r\nb"), (2, " \n "), (3, None), (4, "")], "doc_id long, text string")
+    assert [(r.doc_id, r.text) for r in chunking.chunk(docs).collect()] == [(1, "a\n\nb")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
