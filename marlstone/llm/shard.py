@@ -38,7 +38,13 @@ class Shard:
 
 
 def tree(n: int, regions: int = 2, racks: int = 2, base: int = 8) -> tuple[Shard, ...]:
-    """``base`` shards spread over regions and racks; each later one in a region of its own."""
+    """``base`` shards spread over regions and racks; each later one in a region of its own.
+
+    From ``base`` on, one more shard takes rows only into itself. A service
+    that starts with fewer shards names that number and keeps it.
+    """
+    if n < base:
+        raise ValueError(f"a tree of {n} shards starts with {n} at most, not {base}")
     per = max(1, base // (regions * racks))
     out = []
     for s in range(n):
@@ -80,8 +86,12 @@ def place(shards: tuple[Shard, ...], key: Column) -> Column:
     return F.substring(out, 2, 10).cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 8, buckets: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
+def assign(docs: DataFrame, shards: int = 8, buckets: int | None = None, base: int = 8) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
+
+    base: the number of shards at the start (see ``tree``).
+    """
+    base = min(base, shards)
     n = buckets or max(16, width(docs.sparkSession))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -89,8 +99,8 @@ def assign(docs: DataFrame, shards: int = 8, buckets: int | None = None) -> Data
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        place(tree(shards), key).alias("shard"),
-        place(tree(shards + 1), key).alias("grown_shard"),
+        place(tree(shards, base=base), key).alias("shard"),
+        place(tree(shards + 1, base=base), key).alias("grown_shard"),
         F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("bucket"),
     )
     counts = rows.groupBy("shard", "bucket").count()
