@@ -101,8 +101,10 @@ def labelled(
             cols = [pa.array([x[k].astype(np.int32).tobytes() for x in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "y", "idx", "n"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "_y", "text")
-    got = joined.mapInArrow(run, "doc_id long, y int, idx binary, n binary").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # one row an id, so that repeated rows stay on the executors
+    joined = joined.groupBy("doc_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = joined.mapInArrow(run, "doc_id long, y int, idx binary, n binary").toPandas().sort_values("doc_id", kind="stable")
     x = [(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32)) for i, n in zip(got["idx"], got["n"], strict=True)]
     return x, got["y"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64)
 

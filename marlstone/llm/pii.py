@@ -278,7 +278,8 @@ def learn(texts: list[str], rounds: int = 150, rate: float = 0.5, l2: float = 1e
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field:
     ids = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= chars)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars).collect()
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars)
+    got = some.groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # one text an id
     return learn([r["text"] for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))])
 
 
