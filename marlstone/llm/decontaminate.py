@@ -7,8 +7,9 @@ all its windows are looked up in the set, and every hit is compared word by
 word, so that no hash collision reaches the result.
 
 The set is sent to the executors only in parts of at most ``part_bytes`` of
-benchmark text. A larger benchmark takes several parts, one scan stage each,
-which add to the same per-document columns without any shuffle.
+benchmark text. A larger benchmark takes several parts, one scan each, which
+add to the same per-document columns; what a scan has found is written before
+the next one, so that one part is alive at a time. Nothing is shuffled.
 
 Defined cases: a null text, or one without words, has no words and no hits; a
 null item text or one without words gives no window; items with equal windows
@@ -31,27 +32,41 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.tables import table
 from marlstone.llm.textops import ALNUM_LOWER, Words, as_bytes, slices, tune
+from marlstone.session import written
 
 WINDOW = 13
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 _BITS = 20
 
 
 class GramSet:
-    """Windows of benchmark items: hashes for the search, words for the proof."""
+    """Windows of benchmark items: sorted hashes for the search, and where each stands for the proof.
+
+    Built by one pass a window length; a window takes 16 bytes beside its text.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
-        found: dict[int, dict[int, dict[bytes, set[str | None]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        words = Words([t for _, t in items], ALNUM_LOWER)
-        for k, (item, _) in enumerate(items):
-            i, j = int(words.first[k]), int(words.first[k + 1])
-            n = min(window, j - i)
-            if n:
-                at = words_hash(words, n)
-                for s in range(i, j - n + 1):
-                    found[n][int(at[s])][words.text(s, s + n)].add(item)
-        self.items = {n: {h: {w: tuple(x) for w, x in by.items()} for h, by in hs.items()} for n, hs in found.items()}
-        self.hashes = {n: np.array(sorted(hs), dtype=np.uint64) for n, hs in self.items.items()}
+        self.names = [name for name, _ in items]
+        self.words = Words([t for _, t in items], ALNUM_LOWER)
+        first, counts = self.words.first, self.words.counts
+        lengths = np.minimum(window, counts)
+        self.hashes: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
+        self.owner: dict[int, np.ndarray] = {}
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == n)
+            many = counts[own] - n + 1
+            owner = np.repeat(own, many)
+            at = first[owner] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            h = words_hash(self.words, n)[at]
+            order = np.argsort(h, kind="stable")
+            self.hashes[n], self.at[n], self.owner[n] = h[order], at[order].astype(np.int32), owner[order].astype(np.int32)
+        self.words.forget()
+
+    def owners(self, n: int, h: np.uint64, text: bytes) -> set[str | None]:
+        """Items that hold the window, compared word by word."""
+        lo, hi = np.searchsorted(self.hashes[n], h, side="left"), np.searchsorted(self.hashes[n], h, side="right")
+        return {self.names[o] for a, o in zip(self.at[n][lo:hi].tolist(), self.owner[n][lo:hi].tolist(), strict=True) if self.words.text(a, a + n) == text}
 
     def filters(self) -> dict[int, np.ndarray]:
         """For each window length, a table of the hashes' low bits."""
@@ -77,7 +92,7 @@ def probe(words: Words, grams: GramSet, filters: dict[int, np.ndarray]) -> tuple
         docs = np.searchsorted(words.first, maybe, side="right") - 1
         inside = maybe + n <= words.first[docs + 1]
         for s, d in zip(maybe[inside].tolist(), docs[inside].tolist(), strict=True):
-            if owners := grams.items[n][int(at[s])].get(words.text(s, s + n)):
+            if owners := grams.owners(n, at[s], words.text(s, s + n)):
                 hit[s : s + n] = True
                 items[d].update(owners)
     return hit, items
@@ -138,7 +153,7 @@ def score(docs: DataFrame, benchmark: DataFrame, keep: list[str], part_bytes: in
     parts = _parts(benchmark, part_bytes)
     part = next(parts)
     for after in parts:
-        out = _scan(out, part, last=False)
+        out = written(_scan(out, part, last=False), "hits")  # one part at a time is alive in a task
         part = after
     out = _scan(out, part, last=True)
     return out.select(
@@ -183,7 +198,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_B
                         cut.append(t)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
-        out = out.mapInArrow(run, "doc_id long, text string")
+        out = written(out.mapInArrow(run, "doc_id long, text string"), "cut")
     return out
 
 

@@ -116,6 +116,10 @@ class Words:
         left = np.repeat(self.first[1:], self.counts) - np.arange(self.first[-1])
         return np.flatnonzero(left >= n)
 
+    def forget(self) -> None:
+        """Drop what hashing needs, before the words are kept or sent."""
+        self._a, self._sums, self._hash = np.zeros(0, np.uint8), None, None
+
     def text(self, i: int, j: int) -> bytes:
         """Words ``i`` to ``j`` (exclusive), joined by one space."""
         return b" ".join([self.buf[a:b] for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True)])
