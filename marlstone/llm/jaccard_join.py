@@ -96,13 +96,13 @@ def boundary(survey: DataFrame) -> int:
     """The largest light size: the one of least cost, among all sizes that occur.
 
     A light set costs the pairs of its prefix, a heavy one the entries of its
-    prefix, each written once and scanned against the sets that share it;
-    SCAN is the cost of a step of a scan, measured in entries written.
-    Shingles of one set alone cost nothing.
+    prefix, each written once and scanned: a list is scanned against PIVOTS
+    leaders, whatever its length, and SCAN is the cost of such a step in
+    entries written. Shingles of one set alone cost nothing.
     """
     k = F.size("keys")
     rest = F.col("n") - F.ceil(F.col("n") * 3 / 4)
-    scanned = F.greatest(F.least(k, rest + 1 - F.col("own")), F.lit(0)) + SCAN * F.col("load")
+    scanned = F.greatest(F.least(k, rest + 1 - F.col("own")), F.lit(0)) * (1 + SCAN * PIVOTS)
     costs = survey.where("doc_id IS NOT NULL AND n > 1").groupBy("n").agg(F.sum(k * (k - 1) / 2).alias("light"), F.sum(scanned).alias("heavy"))
     # one row a size of set
     up = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)

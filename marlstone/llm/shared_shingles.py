@@ -39,7 +39,7 @@ TEXT_A_PART = 16 << 20
 
 _SENT = "to int, kind int, slice long, h binary, at binary, more binary"
 _ENTRIES, _DOCUMENTS, _OFTEN = range(3)
-SURVEY = "doc_id long, n long, s1 long, s2 long, odd array<long>, own long, keys array<long>, load double"
+SURVEY = "doc_id long, n long, s1 long, s2 long, odd array<long>, own long, keys array<long>"
 
 SetsOf = Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]]
 
@@ -206,14 +206,13 @@ def _gathered(rows: DataFrame) -> DataFrame:
         alone = n - m
         place = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m) + alone[at]
         prefix = n - -(-3 * n // 4)
-        load = np.bincount(at, weights=np.where(place <= prefix[at], np.exp2(level / 8.0), 0.0), minlength=len(ids)).astype(float)
         inside = place < prefix[at] + 2
         key, m = key[inside], np.bincount(at[inside], minlength=len(ids))
         ends = np.concatenate(([0], np.cumsum(m)))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(key)))
         odd = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(own[3:].T).reshape(-1)), ODD_BITS // 64).cast(pa.list_(pa.int64()))
-        arrays = [pa.array(ids, mask=own[0] == 0), pa.array(n), pa.array(own[1]), pa.array(own[2]), odd, pa.array(alone), lists, pa.array(load)]
-        out = pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "s1", "s2", "odd", "own", "keys", "load"])
+        arrays = [pa.array(ids, mask=own[0] == 0), pa.array(n), pa.array(own[1]), pa.array(own[2]), odd, pa.array(alone), lists]
+        out = pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "s1", "s2", "odd", "own", "keys"])
         for i in range(0, out.num_rows, 4096):
             yield out.slice(i, 4096)
 
@@ -235,9 +234,8 @@ def _gathered(rows: DataFrame) -> DataFrame:
 def survey(docs: DataFrame, sets_of: SetsOf) -> DataFrame:
     """One row a document: doc_id, n (size of its set), s1 and s2 (sums over the set), odd (see ``odd_bits``),
 
-    own (its shingles that no other document has, first in the order), keys (the others within the first
-    n - ceil(3n/4) + 2 of the order, in order) and load (documents that share those within one place less).
-    Documents without doc_id have no keys.
+    own (its shingles that no other document has, first in the order) and keys (the others within the first
+    n - ceil(3n/4) + 2 of the order, in order). Documents without doc_id have no keys.
     """
     bits = part_bits(docs, TEXT_A_PART)
     return _gathered(_counted(_dealt(docs, sets_of, bits)))
