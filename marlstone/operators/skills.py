@@ -75,3 +75,49 @@ def triaged(messages: DataFrame, text: Column, confidence: Column, asked: Column
     action = R.forbidden_action(text)
     why = F.when(action.isNotNull(), "forbidden_action").when(asked, "requested").when(confidence < SURE, "low_confidence")
     return messages.withColumns({"redacted": R.redact(text), "action": action, "why": why, "decision": F.when(why.isNotNull(), "escalate").otherwise("resolve")})
+
+
+# fixed values: parts of a skill's text
+BODY = (
+    "## When to apply\n\nApply when ingesting documents in the %s domain that produce a %s signature.\n\n## Recurring shape\n\n%s\n\n## Operational guidance\n\n"
+    "This pattern was observed across %d distinct tenants with a bucketed mean confidence of %.2f.\n"
+    "Future ingestions in this domain should treat the recurring shape above as a default expectation and prompt the classifier to confirm.\n"
+)
+NO_SHAPE = "- (no shape examples)"
+# fixed values: numbers that a skill's text may hold
+ALLOWED_NUMBERS = r"^(?:0|1-10|11-50|51-200|201-1000|1001-10000|1000\+|10000\+|3-10|11-100|101-1000|200\+|0(?:\.\d{1,4})?|1(?:\.0{1,4})?)$"
+LONGEST_TEXT, LONGEST_TOKEN = 64_000, 240
+
+
+def skill_body(domain: Column, kind: Column, shapes: Column, tenants: Column, mean: Column) -> Column:
+    """The text of a skill, from its group's fields alone."""
+    listed = F.array_join(F.transform(shapes, lambda s: F.concat(F.lit("- `"), s, F.lit("`"))), "\n")
+    return F.format_string(BODY, domain, kind, F.when(F.size(shapes) > 0, listed).otherwise(NO_SHAPE), tenants.cast("long"), mean.cast("double"))
+
+
+def _prose(text: Column) -> Column:
+    """Markdown without fence lines, and outside fences without heads, bullets and backticks: parts between fence lines lie outside and inside in turn."""
+    parts = F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^[^\S\n]*```[^\n]*\n?")
+
+    def plain(part: Column) -> Column:
+        for noise in (r"(?m)^[^\S\n]*#{1,6}[^\S\n]*", r"(?m)^[^\S\n]*[-*+][^\S\n]+", "`"):
+            part = F.regexp_replace(part, noise, "")
+        return part
+
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 0, plain(part)).otherwise(part)), "")
+
+
+def skill_text_fault(text: Column) -> Column:
+    """Why a skill's text may not be kept: length, forbidden words, personal data (phone before SSN here), raw numbers, long tokens; null if it may."""
+    prose = _prose(text)
+    tokens = F.filter(F.split(F.regexp_replace(prose, r'[,;:()\[\]{}<>"]', " "), r"(?U)\s+"), lambda t: t != "")
+    bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,;:!?]+|[.,;:!?]+$", ""))
+    word = F.transform(bare, lambda t: F.regexp_replace(F.lower(t), "^[_-]+|[_-]+$", ""))
+    forbidden = F.exists(word, lambda w: w.isin(*R.FORBIDDEN_KEYS) | F.rlike(w, F.lit("^(?:" + "|".join(R.FORBIDDEN_BEGINNINGS) + ")")))
+    has = lambda p: F.rlike(prose, F.lit(p))
+    raw = F.exists(bare, lambda t: F.rlike(t, F.lit(r"(?U)\d")) & ~F.rlike(t, F.lit(ALLOWED_NUMBERS)))
+    return (
+        F.when(F.coalesce(~F.rlike(text, F.lit(r"(?U)\S")) | (F.length(text) > LONGEST_TEXT), F.lit(True)), "SCHEMA_VALIDATION_FAILED").when(forbidden, "FORBIDDEN_FIELD_NAME")
+        .when(has(R.FOUND_EMAIL), "NER_HIT_EMAIL").when(has(R.FOUND_PHONE), "NER_HIT_PHONE").when(has(R.FOUND_SSN), "NER_HIT_SSN").when(has(R.FOUND_URL), "NER_HIT_URL")
+        .when(raw, "RAW_NUMERIC").when(F.exists(tokens, lambda t: F.length(t) > LONGEST_TOKEN), "STRING_TOO_LONG")
+    )

@@ -110,8 +110,11 @@ def sig_pipeline_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PHONE = r"\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4}(?:\D|$)"
-_DETECT = rf"""CASE WHEN regexp_matches(text, '(?i)[\p{{L}}0-9._%+\-]+@[\p{{L}}0-9.\-]+\.\p{{L}}{{2,}}') THEN 'NER_HIT_EMAIL' WHEN regexp_matches(text, '(^|\D)\d{{3}}[-\s]\d{{2}}[-\s]\d{{4}}(\D|$)') THEN 'NER_HIT_SSN'
-WHEN regexp_matches(text, '{_PHONE}') THEN 'NER_HIT_PHONE' WHEN regexp_matches(text, '(?i)(https?://|www\.)\S|\b[\p{{L}}0-9\-]+\.(com|org|net|io|co|gov|edu|us|uk|de|fr|jp|cn|au|info)\b') THEN 'NER_HIT_URL' END"""
+_IS = {
+    "EMAIL": r"regexp_matches(text, '(?i)[\p{L}0-9._%+\-]+@[\p{L}0-9.\-]+\.\p{L}{2,}')", "SSN": r"regexp_matches(text, '(^|\D)\d{3}[-\s]\d{2}[-\s]\d{4}(\D|$)')", "PHONE": f"regexp_matches(text, '{_PHONE}')",
+    "URL": r"regexp_matches(text, '(?i)(https?://|www\.)\S|\b[\p{L}0-9\-]+\.(com|org|net|io|co|gov|edu|us|uk|de|fr|jp|cn|au|info)\b')",
+}
+_DETECT = "CASE " + " ".join(f"WHEN {c} THEN 'NER_HIT_{k}'" for k, c in _IS.items()) + " END"
 
 
 @query(f"SELECT doc_id, {_DETECT} AS reason FROM documents")
@@ -253,3 +256,47 @@ def skill_rank(spark: SparkSession, d: str) -> DataFrame:
     t = _events(spark, d).groupBy("user_id").agg(F.collect_set("event_type").alias("vocab")).withColumns({"types": F.array().cast("array<string>"), "kinds": F.array(F.lit("query-pattern")), "domain": F.lit("AEC")})
     s = (K.Skill("one", "query-pattern", "AEC", "uses view and click"), K.Skill("two", "naming-convention", "AEC", "uses purchase only"), K.Skill("three", "ontology-shape", "AEC", "none of them"))
     return K.ranked_skills(t, s).select("user_id", "skill", F.round("score", 6).alias("score"), "place")
+
+
+_KINDS = tuple(signatures.SKILL_KINDS)
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_orderkey % 8 AS k, lower(o_orderpriority[3:]) AS t, lower(o_orderstatus) AS s, (o_orderkey % 11) / 10e0 AS c FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN 'ontology-shape' WHEN 1 THEN 'naming-convention' WHEN 2 THEN 'ingestion-pattern' WHEN 3 THEN 'relationship-schema' WHEN 4 THEN 'procedure-pattern' WHEN 5 THEN 'query-pattern' WHEN 6 THEN 'classifier-strategy' ELSE 'ingestion-pattern' END AS skill_kind,
+round(CASE WHEN k IN (0, 4, 5) THEN 1e0 WHEN k IN (1, 2, 6) THEN c WHEN k = 3 THEN (c + 5e-1) / 2 ELSE 1e0 - greatest(c, 25e-2) END, 6) AS confidence,
+CASE k WHEN 0 THEN 'onto::nodes=1-10' WHEN 1 THEN 'naming::' || t WHEN 2 THEN 'dtd::1-10' WHEN 3 THEN 'rel::' || CASE WHEN s = t THEN s ELSE least(s, t) || '+' || greatest(s, t) END WHEN 4 THEN 'proc::' || s || '+' || t WHEN 5 THEN 'query::' || s WHEN 6 THEN 'unc::' || least(s || '~' || t, t || '~' || s) || '+' || greatest(s || '~' || t, t || '~' || s) ELSE 'pipe::' || s || '/' || t END AS shape FROM p""")
+def signature_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as signatures of all kinds: status and priority are their names, the key's last digits their figures."""
+    o = read(spark, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 3, 100).alias("t"), F.lower("o_orderstatus").alias("s"), ((F.col("o_orderkey") % 11) / 10.0).alias("c"))
+    t, s, c = F.lower("t"), F.col("s"), F.col("c")
+    bucket = F.lit("1-10")
+    fields = {
+        "kind": F.get(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % 8).cast("int")), "adherence_rate": c, "classifier_confidence_p10": c, "overall_confidence_p10": c,
+        "classification_failure_rate": c, "ontology_assignment_failure_rate": F.lit(0.25), "template": t, "shape_template": s, "node_count_bucket": bucket, "total_documents_bucket": bucket,
+        "chunker_strategy": s, "embedding_provider_family": t, "states": F.array(s, t),
+        "edges": F.array(*[F.struct(r.alias("relation"), x.alias("confidence_p50")) for r, x in ((t, c), (s, F.lit(0.5)))]),
+        "uncertain_pairs": F.array(*[F.struct(x.alias("type_a"), y.alias("type_b")) for x, y in ((t, s), (s, t))]),
+    }
+    p = o.select("o_orderkey", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("p"))
+    return p.select("o_orderkey", signatures.skill_kind(F.col("p.kind")).alias("skill_kind"), F.round(signatures.confidence(F.col("p")), 6).alias("confidence"), signatures.fingerprint(F.col("p")).alias("shape"))
+
+
+@query("""WITH g AS (SELECT event_type, count(DISTINCT user_id) AS tenants, round(avg(event_id % 4), 2) / 4 AS mean FROM events GROUP BY event_type)
+SELECT event_type, sha256('## When to apply' || chr(10) || chr(10) || 'Apply when ingesting documents in the AEC domain that produce a ' || event_type || ' signature.' || chr(10) || chr(10) || '## Recurring shape' || chr(10) || chr(10)
+|| CASE WHEN event_type = 'click' THEN '- (no shape examples)' ELSE '- `naming::' || event_type || '`' || chr(10) || '- `onto::nodes=1-10`' END || chr(10) || chr(10) || '## Operational guidance' || chr(10) || chr(10)
+|| 'This pattern was observed across ' || tenants || ' distinct tenants with a bucketed mean confidence of 0.50.' || chr(10) || 'Future ingestions in this domain should treat the recurring shape above as a default expectation and prompt the classifier to confirm.' || chr(10)) AS body_sha256 FROM g""")
+def skill_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as groups of signatures."""
+    g = _events(spark, d).groupBy("event_type").agg(F.countDistinct("user_id").alias("tenants"))
+    shapes = F.when(F.col("event_type") == "click", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("naming::"), F.col("event_type")), F.lit("onto::nodes=1-10")))
+    return g.select("event_type", F.sha2(K.skill_body(F.lit("AEC"), F.col("event_type"), shapes, F.col("tenants"), F.lit(0.5)), 256).alias("body_sha256"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, text, string_split(regexp_replace(text, '[,;:()\[\]{{}}<>"`\s]+', ' ', 'g'), ' ') AS w FROM documents),
+b AS (SELECT *, list_filter(list_transform(w, lambda x: trim(x, '.,;:!?')), lambda x: regexp_matches(x, '\d')) AS n, list_transform(w, lambda x: trim(trim(lower(x), '.,;:!?'), '_-')) AS f FROM w)
+SELECT doc_id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '\S') OR length(text) > 64000 THEN 'SCHEMA_VALIDATION_FAILED' WHEN list_has_any(f, {list(R.FORBIDDEN_KEYS)}) OR len(list_filter(f, lambda x: regexp_matches(x, '^(measurement_|dim_)'))) > 0 THEN 'FORBIDDEN_FIELD_NAME'
+WHEN {_IS["EMAIL"]} THEN 'NER_HIT_EMAIL' WHEN {_IS["PHONE"]} THEN 'NER_HIT_PHONE' WHEN {_IS["SSN"]} THEN 'NER_HIT_SSN' WHEN {_IS["URL"]} THEN 'NER_HIT_URL'
+WHEN len(list_filter(n, lambda x: NOT regexp_full_match(x, '0|1-10|11-50|51-200|201-1000|1001-10000|1000\+|10000\+|3-10|11-100|101-1000|200\+|0(\.\d{{1,4}})?|1(\.0{{1,4}})?'))) > 0 THEN 'RAW_NUMERIC' WHEN len(list_filter(w, lambda x: length(x) > 240)) > 0 THEN 'STRING_TOO_LONG' END AS fault FROM b""")
+def skill_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as texts of skills."""
+    return read(spark, d, "documents").select("doc_id", K.skill_text_fault(F.col("text")).alias("fault"))

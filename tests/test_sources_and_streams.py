@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules as R
-from marlstone.operators import chains, pages, skills, stores, taxonomy, tree, vectors
+from marlstone.operators import chains, pages, signatures, skills, stores, taxonomy, tree, vectors
 from marlstone.plans import governance, queries, wiki
 from marlstone.sources import files, parsers
 from marlstone.streaming import feeds
@@ -167,3 +167,26 @@ def test_wiki_ids(spark):
     """Ids of nodes are unique within a tenant."""
     walked = wiki._tree(spark, SMALL)[0]
     assert walked.count() == walked.select("tenant", "id").distinct().count()
+
+
+def test_skill_texts(spark):
+    cases = [
+        ("## When\n- use `naming::<phase>` in 11-50 or 0.75 of cases\n", None), ("", "SCHEMA_VALIDATION_FAILED"), (" \n", "SCHEMA_VALIDATION_FAILED"), (None, "SCHEMA_VALIDATION_FAILED"),
+        ("x" * 64001, "SCHEMA_VALIDATION_FAILED"), ("- `Email`: none", "FORBIDDEN_FIELD_NAME"), ("a dim_width here", "FORBIDDEN_FIELD_NAME"), ("ask a@b.org or 555-123-4567", "NER_HIT_EMAIL"),
+        ("call 555-123-4567, 123-45-6789", "NER_HIT_PHONE"), ("id 123-45-6789", "NER_HIT_SSN"), ("see www.x.y", "NER_HIT_URL"), ("### 7 cases", "RAW_NUMERIC"), ("```\n# 42\n```\n", "RAW_NUMERIC"),
+        ("y" * 241, "STRING_TOO_LONG"), ("555\n```py\n123-4567\n```", "NER_HIT_PHONE"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i INT, t STRING").select("i", skills.skill_text_fault(F.col("t")).alias("f"))
+    assert {r.i: r.f for r in df.collect()} == {i: f for i, (_, f) in enumerate(cases)}
+
+
+def test_signature_payloads(spark):
+    texts = [
+        '{"kind": "relationship_schema", "edges": [{"relation": "b", "confidence_p50": 0.5}, {"relation": "a"}, {"relation": "b", "confidence_p50": 1.0}]}', '{"kind": "relationship_schema", "edges": []}',
+        '{"kind": "ingestion_pipeline_metrics", "classification_failure_rate": 0.25}', '{"kind": "procedure_pattern", "states": ["i", "h", "g", "f", "e", "d", "c", "b", "a"]}', '{"kind": "unheard"}', "{}",
+    ]
+    p = spark.createDataFrame([(t,) for t in texts], "t STRING").select(F.from_json("t", signatures.PAYLOAD).alias("p"))
+    got = [tuple(r) for r in p.select(signatures.skill_kind(F.col("p.kind")), signatures.confidence(F.col("p")), signatures.fingerprint(F.col("p"))).collect()]
+    assert got == [
+        ("relationship-schema", 0.75, "rel::a+b"), ("relationship-schema", 0.0, "rel::"), ("ingestion-pattern", 0.0, "pipe::/"), ("procedure-pattern", 1.0, "proc::i+h+g+f+e+d+c+b"), (None, 0.0, ""), (None, 0.0, ""),
+    ]
