@@ -21,7 +21,7 @@ def one(spark, column):
 @pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "events", "conversations", "pages", "benchmark", "embeddings", "lineitem"):
+    for t in ("documents", "events", "conversations", "pages", "benchmark", "embeddings", "lineitem", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     cur = con.execute(queries.ORACLE[name])
     names = [c[0] for c in cur.description]
