@@ -26,8 +26,9 @@ start and are represented by their least doc_id.
 Defined cases: a null text, or one without words, has an empty set, links
 with nothing and is its own component; a text of fewer than 5 words has one
 shingle, the whole; a null doc_id is linked with nothing and has a null
-component; repeated rows of a doc_id are one set; an empty table gives no
-rows.
+component; rows that share a doc_id are one document, which links where any
+of its texts does, each different text being compared once; n_shingles is the
+row's own; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -194,8 +195,11 @@ def _groups(postings: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with linked: whether their sets' similarity is 3/4 or more."""
-    one = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    """pairs (a, b) with linked: whether their sets' similarity is 3/4 or more.
+
+    ``docs``: one row for each text of a doc_id (see ``_texts``).
+    """
+    one = docs.select("doc_id", "text")
     joined = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -270,29 +274,45 @@ def _stars(members: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
 
 def _entries(sets: DataFrame) -> DataFrame:
     """List entries of sets of any size: key, the set's doc_id, label and n, the key's number i among its keys and its pos among all its shingles."""
-    listed = sets.select("doc_id", "label", "n", "own", F.posexplode("keys").alias("i", "key"))
+    listed = sets.select("doc_id", "label", "n", "s1", "own", F.posexplode("keys").alias("i", "key"))
     pos = F.col("own") + F.col("i")
-    return listed.where(pos <= F.col("n") - F.ceil(F.col("n") * 3 / 4)).select("key", "doc_id", "label", "n", "i", pos.alias("pos")).distinct()
+    return listed.where(pos <= F.col("n") - F.ceil(F.col("n") * 3 / 4)).select("key", "doc_id", "label", "n", "s1", "i", pos.alias("pos"))
 
 
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _texts(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(docs, sets, whether ids repeat) with one row for each different text, or set, of a doc_id.
+
+    Where ids repeat, every pair of two of them would otherwise be compared
+    once for each pair of their rows. Ids are counted first, which is cheap,
+    so that a corpus of unique ids does not shuffle its texts for this.
+    """
+    known, known_sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text"), sets.where("doc_id IS NOT NULL")
+    if known_sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        return known, known_sets, False
+    one = known_sets.groupBy("doc_id", "n", "s1", "s2").agg(*[F.first(c).alias(c) for c in ("odd", "own", "keys")])
+    return written(known.distinct(), "texts"), written(one.select(*sets.columns), "sets"), True
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     tune(spark)
     free_shuffles(spark)
-    sets = written(survey(docs, sets_of), "survey")
+    every = written(survey(docs, sets_of), "survey")
+    docs, sets, several = _texts(docs, every)
     members = written(_groups(_postings(sets, boundary(sets))), "members")
 
-    bits = lambda c: sets.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+    bits = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
     labels, tested = None, None
     for turn in range(MOST_TURNS):
         open_ = placed(members, labels)
         star = _stars(open_, turn).distinct()
         star = star.join(bits("a"), "a").join(bits("b"), "b").where(_may_link("na", "nb", "oa", "ob")).select("a", "b")
+        star = star.distinct() if several else star
         found = written(_verified(docs, star if tested is None else star.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
         n, linked = found.agg(F.count("*"), F.count(F.when(F.col("linked"), 1))).first()
         tested = found if tested is None else tested.union(found)
@@ -301,9 +321,9 @@ def join(docs: DataFrame) -> DataFrame:
         if linked * STAR_YIELD < n or not n:
             break
     leaders = placed(members.select("doc_id").distinct(), labels).select("doc_id", "label")
-    entries = written(_entries(leaders.join(sets.where("doc_id IS NOT NULL"), "doc_id")), "entries")
+    entries = written(_entries(leaders.join(sets, "doc_id")), "entries")
     open_keys = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = entries.join(open_keys, "key", "left_semi").join(sets.where("doc_id IS NOT NULL").select("doc_id", "odd", "keys").dropDuplicates(["doc_id"]), "doc_id")
+    open_ = entries.join(open_keys, "key", "left_semi").join(sets.select("doc_id", "n", "s1", "odd", "keys"), ["doc_id", "n", "s1"])
     open_ = open_.select("key", "doc_id", "label", "n", "pos", "odd", F.slice("keys", F.greatest(F.col("i") - WINDOW, F.lit(0)) + 1, F.least(F.col("i"), F.lit(WINDOW))).alias("before"))
     x, y = open_.alias("x"), open_.alias("y")
     # the first shingle that a linked pair shares: what is left from it on can still hold all that the two need to share
@@ -319,7 +339,7 @@ def join(docs: DataFrame) -> DataFrame:
     more = written(_verified(docs, cross), "tested-more")
     labels = extended(labels, more.where("linked").select("a", "b"))
 
-    return _named(sets, labels)
+    return _named(every, labels)
 
 
 #: Equal sets of more documents than this, or than one in MOST_HOT of all, are named by a broadcast: at most MOST_HOT classes.

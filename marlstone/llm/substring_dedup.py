@@ -15,8 +15,9 @@ bits beside the bits of their range.
 
 Defined cases: a null text has no words; a text of fewer than 13 words loses
 nothing; a null doc_id has no order, so its row neither loses words nor makes
-others lose any; rows that share a doc_id are one document and do not remove
-each other; an empty table gives no rows.
+others lose any; rows that share a doc_id do not remove words of each other,
+and each loses what its own text repeats of smaller ids; equal rows fare
+alike; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,15 +39,16 @@ WINDOW = 13
 BLOCK = 7
 
 
-def _packed(bits: int, short: bool, most: bool, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows for (hash, doc, pos, in table) arrays, gathered to about a million entries."""
+def _packed(bits: int, short: bool, most: bool, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows for (hash, doc, key, pos, in table) arrays, gathered to about a million entries."""
     held: list[tuple] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h, doc, pos, ref = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, doc, key, pos, ref = (np.concatenate(x) for x in zip(*held, strict=True))
         th, td = blobs.table_entries(h[ref], doc[ref], most)
-        rows = [*blobs.pack(0, bits, th, td, np.zeros(len(th), np.uint32), short)] + [*blobs.pack(1, bits, h, doc, pos, short)]
+        none = np.zeros(len(th), np.int64)
+        rows = [*blobs.pack(0, bits, th, td, none, none, short)] + [*blobs.pack(1, bits, h, doc, key, pos, short)]
         yield from blobs.batches(rows)
 
     for x in found:
@@ -61,12 +63,12 @@ def _packed(bits: int, short: bool, most: bool, found: Iterator[tuple[np.ndarray
 
 
 def anchors(docs: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, pos): windows of BLOCK words that are a block of another document."""
+    """(doc_id, key, pos): windows of BLOCK words that are a block of another document."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for batch in source:
-                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
+                ids, keys, texts = *(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), as_bytes(batch.column(2))
                 for lo, hi in slices(texts):
                     words = Words(texts[lo:hi], BLANK)
                     at = words.starts(BLOCK)
@@ -74,22 +76,22 @@ def anchors(docs: DataFrame, bits: int) -> DataFrame:
                     long_enough = words.counts[doc] >= WINDOW
                     at, doc = at[long_enough], doc[long_enough]
                     pos = (at - words.first[doc]).astype(np.uint32)
-                    yield words.grams(BLOCK)[at], ids[lo:hi][doc], pos, pos % BLOCK == 0
+                    yield words.grams(BLOCK)[at], ids[lo:hi][doc], keys[lo:hi][doc], pos, pos % BLOCK == 0
 
         yield from _packed(bits, True, True, found())
 
-    rows = docs.where(blobs.known()).select("doc_id", "text").mapInArrow(run, blobs.SCHEMA)
+    rows = docs.where(blobs.known()).select("doc_id", blobs.text_key(), "text").mapInArrow(run, blobs.SCHEMA)
     return blobs.exchange(rows, True, lambda found, least, greatest, doc: found & ((least != doc) | (greatest != doc)), most=True)
 
 
 def repeats(docs: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, pos): starts of windows that start in a document with a smaller doc_id too."""
+    """(doc_id, key, pos): starts of windows that start in a document with a smaller doc_id too."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for batch in source:
-                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
-                packed = batch.column(2).to_pylist()
+                ids, keys, texts = *(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), as_bytes(batch.column(2))
+                packed = batch.column(3).to_pylist()
                 for lo, hi in slices(texts):
                     words = Words(texts[lo:hi], BLANK)
                     wanted = np.zeros(int(words.first[-1]) + 1, dtype=np.int32)
@@ -102,11 +104,11 @@ def repeats(docs: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
                     at = words.starts(WINDOW)
                     at = at[np.cumsum(wanted)[at] > 0] if len(at) else at
                     doc = words.doc[at] if len(at) else at
-                    yield words.grams(WINDOW, seed=1)[at], ids[lo:hi][doc], (at - words.first[doc]).astype(np.uint32), np.ones(len(at), dtype=bool)
+                    yield words.grams(WINDOW, seed=1)[at], ids[lo:hi][doc], keys[lo:hi][doc], (at - words.first[doc]).astype(np.uint32), np.ones(len(at), dtype=bool)
 
         yield from _packed(bits, False, False, found())
 
-    rows = docs.where(blobs.known()).select("doc_id", "text").join(hits, "doc_id").select("doc_id", "text", "pos").mapInArrow(run, blobs.SCHEMA)
+    rows = docs.where(blobs.known()).select("doc_id", blobs.text_key(), "text").join(hits, ["doc_id", "key"]).select("doc_id", "key", "text", "pos").mapInArrow(run, blobs.SCHEMA)
     return blobs.exchange(rows, False, lambda found, least, greatest, doc: found & (least < doc), most=False)
 
 
@@ -116,9 +118,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     tune(spark)
     blobs.free_shuffles(spark)
     bits = blobs.part_bits(docs)
-    hits = written(blobs.by_document(anchors(docs, bits)), "anchor-hits")
-    starts = written(blobs.by_document(repeats(docs, hits, bits)), "repeat-starts")
-    rows = docs.select("doc_id", "text").join(starts, "doc_id", "left").select("doc_id", "text", "pos")
+    hits = written(blobs.by_row(anchors(docs, bits)), "anchor-hits")
+    starts = written(blobs.by_row(repeats(docs, hits, bits)), "repeat-starts")
+    rows = docs.select("doc_id", blobs.text_key(), "text").join(starts, ["doc_id", "key"], "left").select("doc_id", "text", "pos")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:

@@ -377,3 +377,44 @@ def test_decontaminate_counts_items_without_an_id(spark):
         assert [(got[i].n_hit, got[i]["items"], got[i].contaminated) for i in range(3)] == [(20, ["3", None], True), (2, [None], True), (0, [], False)]
         judged = decontaminate.score(frame(spark, docs), bench, ["doc_id"], part).select("doc_id", decontaminate.digest("items").alias("d")).collect()
         assert {r.doc_id: r.d for r in judged} == {i: hashlib.sha256(s.encode()).hexdigest() for i, s in enumerate(["3", "", ""])}
+
+
+def plain_dedup(rows):
+    """n_removed of each (doc_id, text) row, by sets of whole windows."""
+    first = {}
+    for i, t in rows:
+        w = WORDS.findall(t or "")
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for i, t in rows:
+        w = WORDS.findall(t or "")
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_substring_dedup_of_shared_ids(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, words("a", 30)), (2, words("a", 30) + " more"), (2, words("b", 40)), (2, words("b", 40)), (3, words("c", 5) + " " + words("b", 40)), (3, words("a", 13)), (4, None), (4, "")]
+    got = substring_dedup.dedup(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_dedup(rows)
+
+
+def test_jaccard_join_of_shared_ids(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    near = [*base[:30], "changed", *base[31:]]
+    other = [f"x{k}" for k in range(60)]
+    rows = [(1, base)] * 12 + [(2, near)] * 12 + [(3, other)] + [(2, [*other[:59], "end"])] * 2 + [(5, ["lone"])]
+    compared = []
+    plain = jaccard_join._verified
+
+    def counted(docs, pairs):
+        compared.append(pairs.count())
+        return plain(docs, pairs)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    got = jaccard_join.join(frame(spark, [" ".join(w) for _, w in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, 5 if i == 5 else 1) for i, _ in rows)
+    assert sum(compared) <= 3  # pairs of ids, whatever the number of rows
