@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("pii", "jaccard_join", "substring_dedup", "quality_rules", "toxicity", "quality_model", "decontaminate", "shard", "language", "pack")
+MODULES = ("pii", "jaccard_join", "substring_dedup", "quality_rules", "toxicity", "quality_model", "decontaminate", "shard", "language", "pack", "filter_audit", "source_divergence", "url_filters")
 
 
 def _merged(name: str) -> dict:
