@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from marlstone.functions import columns as C
 from marlstone.operators import tree
 
-TOP_CHUNKS, SNIPPET, EXCERPT = 10, 240, 200
+TOP_CHUNKS, SNIPPET, EXCERPT, TOP_TYPES = 10, 240, 200, 5
+# fixed values: the sentences of a summary, and the parts of a body
+TOPIC, BUILT_FROM, HEAD = "This page summarises the topic '%s'.", "It was built from %s source chunks across %s distinct documents.", "Representative excerpt: %s."
+CLOSING = (
+    "The chunks under this node share a common theme as identified by the ontology inducer; readers can drill into individual citations via the search tool. "
+    "This summary is generated deterministically by the test stub writer and reflects the shape of the production LLM output without calling the network. Content fingerprint: %s."
+)
+NO_TOPICS = "_No related topics._"
+_EDGES = r"(?U)^\s+|\s+$"
 
 
 def ranked_chunks(chunks: DataFrame, centroids: DataFrame, most: int = TOP_CHUNKS) -> DataFrame:
@@ -30,46 +40,99 @@ def title(label: Column) -> Column:
 
 
 def snippet(text: Column, most: int = SNIPPET) -> Column:
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 3)), F.lit("..."))).otherwise(flat)
+    """A text on one line, cut to ``most`` characters."""
+    flat = F.replace(F.regexp_replace(text, _EDGES, ""), F.lit("\n"), F.lit(" "))
+    return F.when(F.length(flat) > most, F.concat(F.regexp_replace(F.left(flat, F.lit(most - 3)), r"(?U)\s+$", ""), F.lit("..."))).otherwise(flat)
 
 
-def build(walked: DataFrame, held: DataFrame, chunks: DataFrame, now: Column, least: int = 2) -> DataFrame:
+@F.pandas_udf(StringType())
+def quoted(text: pd.Series) -> pd.Series:
+    """The first line of a text, cut and written as a quoted literal. One text a page."""
+    return text.map(lambda t: repr(((t or "").strip().splitlines() or [""])[0][:EXCERPT]))
+
+
+def predominant(full: DataFrame, types: DataFrame, most: int = TOP_TYPES) -> DataFrame:
+    """tenant, id and doc_types: the most frequent types of a node's different documents, ties in order of the alphabet.
+
+    full: tenant, id, document. types: document, type.
+    """
+    one = types.groupBy("document").agg(F.min("type").alias("type"))
+    n = full.select("tenant", "id", "document").distinct().join(one, "document").groupBy("tenant", "id", "type").agg(F.count("*").alias("n"))
+    top = n.withColumn("place", F.row_number().over(Window.partitionBy("tenant", "id").orderBy(F.desc("n"), "type"))).where(F.col("place") <= most)
+    return top.groupBy("tenant", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "type"))), lambda s: s["type"]).alias("doc_types"))
+
+
+def _said(sentence: str, *values: Column) -> Column:
+    return F.format_string(sentence, *values)
+
+
+def build(walked: DataFrame, held: DataFrame, chunks: DataFrame, now: Column, least: int = 2, centroids: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
     """A page for each node of ``least`` chunks or more, those handed up to it included.
 
-    held: tenant, id, chunk (see ``tree.rollup``). chunks: tenant, chunk, position, source, text; of several
-    with one hash the last stands for all.
+    held: tenant, id, chunk (see ``tree.rollup``). chunks: tenant, chunk, position, source, text, and embedding and
+    document where centroids and types are given; of several with one hash the last stands for all. centroids: tenant,
+    id, centroid. types: document, type. Chunks rank by falling cosine to the node's centroid, then position, then
+    hash; a node without a centroid keeps the order of positions. Ranks are found without the texts, which join the
+    first ten of a node only.
     """
-    one = chunks.groupBy("tenant", "chunk").agg(F.max_by(F.struct("position", "source", "text"), F.struct("position", "source")).alias("c")).select("tenant", "chunk", "c.*")
-    full = held.join(one, ["tenant", "chunk"])
-    place = F.row_number().over(Window.partitionBy("tenant", "id").orderBy("position", "chunk"))
-    top = full.withColumn("place", place)
-    node = top.groupBy("tenant", "id").agg(
-        F.count("*").alias("n_chunks"), F.countDistinct("source").alias("source_uri_count"),
-        F.array_sort(F.collect_list(F.when(F.col("place") <= TOP_CHUNKS, F.struct("place", "chunk", "source", snippet(F.col("text")).alias("snippet"))))).alias("top"),
-    ).where(F.col("n_chunks") >= least)
-    page = node.join(walked.select("tenant", "id", "label", "path"), ["tenant", "id"])
-    hashes = F.array_join(F.transform("top", lambda t: t["chunk"]), "|")
-    summary = F.concat(
-        F.lit("Topic '"), F.col("label"), F.lit("': "), F.col("n_chunks").cast("string"), F.lit(" chunks of "), F.col("source_uri_count").cast("string"),
-        F.lit(" documents. Fingerprint "), F.substring(F.sha2(hashes, 256), 1, 16), F.lit("."),
+    vector = F.col("embedding").cast("array<double>") if centroids is not None else F.lit(None).cast("array<double>")
+    document = F.col("document") if types is not None else F.lit(None).cast("string")
+    light = chunks.select("tenant", "chunk", "position", "source", document.alias("document"), vector.alias("embedding"))
+    one = light.groupBy("tenant", "chunk").agg(F.max_by(F.struct("position", "source", "document", "embedding"), F.struct("position", "source")).alias("c")).select("tenant", "chunk", "c.*")
+    full = held.select("tenant", "id", "chunk").join(one, ["tenant", "chunk"])
+    if centroids is None:
+        scored = full.withColumn("score", F.lit(0.0))
+    else:
+        like = F.when(F.size("centroid") == F.size("embedding"), F.round(C.cosine(F.col("embedding"), F.col("centroid")), 9))
+        scored = full.join(centroids.select("tenant", "id", "centroid"), ["tenant", "id"], "left").withColumn("score", F.coalesce(like, F.lit(0.0)))
+    scored = scored.select("tenant", "id", "chunk", "position", "source", "score")
+    place = F.row_number().over(Window.partitionBy("tenant", "id").orderBy(F.desc("score"), "position", "chunk"))
+    top = scored.withColumn("place", place).where(F.col("place") <= TOP_CHUNKS)
+    wanted = chunks.join(top.select("tenant", "chunk").distinct(), ["tenant", "chunk"], "left_semi")
+    texts = wanted.groupBy("tenant", "chunk").agg(F.max_by("text", F.struct("position", "source")).alias("text"))
+    top = top.join(texts, ["tenant", "chunk"])
+    first = F.max(F.when(F.col("place") == 1, F.col("text"))).alias("first")
+    shown = F.array_sort(F.collect_list(F.struct("place", "chunk", "source", snippet(F.col("text")).alias("snippet"))))  # TOP_CHUNKS at most
+    tops = top.groupBy("tenant", "id").agg(first, shown.alias("top"), F.countDistinct("source").alias("top_sources"))
+    counts = full.groupBy("tenant", "id").agg(F.count("*").alias("n_chunks"), F.countDistinct("source").alias("source_uri_count")).where(F.col("n_chunks") >= least)
+    page = counts.join(tops, ["tenant", "id"]).join(walked.select("tenant", "id", "label"), ["tenant", "id"])
+    page = page.join(predominant(full, types), ["tenant", "id"], "left") if types is not None else page.withColumn("doc_types", F.lit(None).cast("array<string>"))
+    page = page.withColumn("doc_types", F.coalesce("doc_types", F.array().cast("array<string>")))
+    page = tree.with_kin(page, walked)
+    label_of = lambda c: F.transform(c, lambda s: s["label"])
+    page = page.withColumn("topics", F.array_distinct(F.filter(F.concat(label_of("children"), label_of("siblings")), lambda x: x != "")))
+    mark = F.substring(F.sha2(F.array_join(F.transform("top", lambda t: t["chunk"]), "|"), 256), 1, 16)
+    summary = F.concat_ws(
+        " ", _said(TOPIC, F.col("label")), _said(BUILT_FROM, F.size("top").cast("string"), F.col("top_sources").cast("string")),
+        _said(HEAD, quoted(F.col("first"))), _said(CLOSING, mark),
+    )
+    page = page.withColumn("summary", summary)
+    documents = F.transform("top", lambda t: F.concat(t["place"].cast("string"), F.lit(". ["), t["source"], F.lit("]("), t["source"], F.lit(")\n   > "), t["snippet"]))
+    topics = F.when(F.size("topics") > 0, F.array_join(F.transform("topics", lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(F.lit(NO_TOPICS))
+    facts = F.concat_ws(
+        "\n", F.concat(F.lit("- Source documents: "), F.col("source_uri_count").cast("string")), F.concat(F.lit("- Total chunks: "), F.col("n_chunks").cast("string")),
+        F.concat(F.lit("- Last updated: "), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")),
+        F.when(F.size("doc_types") > 0, F.concat(F.lit("- Predominant document types: "), F.array_join("doc_types", ", "))),
     )
-    lines = F.array_join(F.transform("top", lambda t: F.concat(F.lit("- "), t["snippet"], F.lit(" ("), t["source"], F.lit(")"))), "\n")
-    body = F.concat_ws("\n\n", F.concat(F.lit("# "), title(F.col("label"))), summary, F.concat(F.lit("## Excerpts\n"), lines), F.concat(F.lit("## Path\n"), F.array_join("path", " / ")))
+    parts = (("Overview", F.col("summary")), ("Key documents", F.array_join(documents, "\n")), ("Related topics", topics), ("Metadata", facts))
+    body = F.concat(F.concat_ws("\n\n", *[F.concat(F.lit(f"## {name}\n\n"), text) for name, text in parts]), F.lit("\n"))
+    name = title(F.col("label"))
     return page.select(
-        "tenant", C.page_id(F.col("tenant"), F.col("id")).alias("page_id"), F.col("id").alias("node"), title(F.col("label")).alias("title"),
-        C.slugify(title(F.col("label"))).alias("slug"), summary.alias("summary"), body.alias("body"), "n_chunks", "source_uri_count",
-        now.alias("updated_at"), F.lit(False).alias("is_stale"), F.lit(1).alias("version"),
+        "tenant", C.page_id(F.col("tenant"), F.col("id")).alias("page_id"), F.col("id").alias("node"), name.alias("title"), C.slugify(name).alias("slug"), "summary", body.alias("body"),
+        "n_chunks", "source_uri_count", "doc_types", now.alias("updated_at"), F.lit(False).alias("is_stale"), F.lit(1).alias("version"),
     )
 
 
 def with_related(pages: DataFrame, walked: DataFrame) -> DataFrame:
     """pages with related: page ids of the node's parent, siblings and children that have pages, in that order."""
     made = pages.select("tenant", F.col("node").alias("id"))
-    rel = tree.related(walked, made).withColumn("page", C.page_id(F.col("tenant"), F.col("other")))
-    first = rel.groupBy("tenant", F.col("id").alias("node"), "page").agg(F.min(F.struct("rank", "other_place")).alias("o"))
-    lists = first.groupBy("tenant", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "page"))), lambda s: s["page"]).alias("related"))
-    return pages.join(lists, ["tenant", "node"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+    kin = tree.with_kin(made, walked, made)
+    up = made.select("tenant", F.col("id").alias("parent_id"), F.array("id").alias("up"))
+    kin = kin.join(up, ["tenant", "parent_id"], "left")
+    ids = lambda c: F.transform(c, lambda s: s["id"])
+    others = F.concat(F.coalesce("up", F.array().cast("array<string>")), ids("siblings"), ids("children"))
+    lists = kin.select("tenant", F.col("id").alias("node"), F.array_distinct(F.transform(others, lambda x: C.page_id(F.col("tenant"), x))).alias("related"))
+    return pages.join(lists, ["tenant", "node"])
 
 
 def upserted(store: DataFrame, pages: DataFrame) -> DataFrame:

@@ -92,17 +92,34 @@ def merged(new: DataFrame, old: DataFrame) -> DataFrame:
     return to.join(up, ["tenant", "parent_id"], "left").select("tenant", "id", "stable_id", "stable_parent_id")
 
 
+def child_lists(walked: DataFrame) -> DataFrame:
+    """tenant, parent and kids: one list a parent, in tree order, of struct<place, id, label>."""
+    kid = F.struct("place", "id", "label")
+    return walked.where("parent_id IS NOT NULL").groupBy("tenant", F.col("parent_id").alias("parent")).agg(F.array_sort(F.collect_list(kid)).alias("kids"))
+
+
+def with_kin(nodes: DataFrame, walked: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """nodes (tenant, id) with parent_id, siblings and children: the lists of ``child_lists``, the node itself left out.
+
+    ``listed``: (tenant, id) of the nodes that the lists may hold; all of them without it. A list is made once a parent
+    and joined to its children by key: no pair of siblings is made on the way.
+    """
+    some = walked if listed is None else walked.join(listed.select("tenant", "id").distinct(), ["tenant", "id"], "left_semi")
+    lists = child_lists(some)
+    own = nodes.join(walked.select("tenant", "id", "parent_id"), ["tenant", "id"])
+    above = lists.select("tenant", F.col("parent").alias("parent_id"), F.col("kids").alias("siblings"))
+    below = lists.select("tenant", F.col("parent").alias("id"), F.col("kids").alias("children"))
+    none = F.array().cast("array<struct<place: int, id: string, label: string>>")
+    met = own.join(above, ["tenant", "parent_id"], "left").join(below, ["tenant", "id"], "left")
+    return met.withColumns({"siblings": F.filter(F.coalesce("siblings", none), lambda s: s["id"] != F.col("id")), "children": F.coalesce("children", none)})
+
+
 def related(walked: DataFrame, made: DataFrame) -> DataFrame:
     """tenant, id, other and rank: parent (0), siblings (1) and children (2) among the ``made`` nodes, in tree order."""
-    n = walked.select("tenant", "id", "parent_id", "place")
-    other = walked.join(made.select("tenant", "id").distinct(), ["tenant", "id"], "left_semi").select("tenant", F.col("id").alias("other"), F.col("parent_id").alias("other_parent"), F.col("place").alias("other_place"))
-    a, o = n.alias("a"), other.alias("o")
-    same = F.col("a.tenant") == F.col("o.tenant")
-    pick = lambda df, rank: df.select("a.tenant", "a.id", "o.other", F.lit(rank).alias("rank"), "o.other_place")
-    parent = pick(a.join(o, same & (F.col("a.parent_id") == F.col("o.other"))), 0)
-    siblings = pick(a.join(o, same & (F.col("a.parent_id") == F.col("o.other_parent")) & (F.col("a.id") != F.col("o.other"))), 1)
-    children = pick(a.join(o, same & (F.col("a.id") == F.col("o.other_parent"))), 2)
-    return parent.union(siblings).union(children)
+    kin = with_kin(walked.select("tenant", "id"), walked, made)
+    up = kin.join(made.select("tenant", F.col("id").alias("parent_id")).distinct(), ["tenant", "parent_id"], "left_semi").select("tenant", "id", F.col("parent_id").alias("other"), F.lit(0).alias("rank"))
+    lists = lambda name, rank: kin.select("tenant", "id", F.explode(name).alias("s")).select("tenant", "id", F.col("s.id").alias("other"), F.lit(rank).alias("rank"))
+    return up.union(lists("siblings", 1)).union(lists("children", 2))
 
 
 def best_root(labels: DataFrame, roots: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,46 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK)
     return reduce(DataFrame.union, found).withColumn("place", place).where(F.col("place") <= k)
 
 
+def means(rows: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
+    """The keys and centroid: the mean of the embeddings of each key; rows without one are left out.
+
+    Tasks send sums and counts of the keys that they meet, ``most`` at a time. Vectors of different lengths under one key are an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if sums:
+                cols = [pa.array([k[i] for k in sums], kinds[i]) for i in range(len(keys))]
+                n = pa.array([v[1] for v in sums.values()], pa.int64())
+                total = pa.array([v[0] for v in sums.values()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*cols, n, total], names=[*keys, "n", "total"])
+                sums.clear()
+
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(len(keys))]
+            owners = zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True)
+            vec = batch.column(len(keys))
+            values, at = np.asarray(vec.flatten(), dtype=np.float64), np.concatenate(([0], np.cumsum(pc.list_value_length(vec).to_numpy())))
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(owners):
+                places.setdefault(key, []).append(i)
+            for key, own in places.items():
+                total = sum((values[at[i] : at[i + 1]] for i in own), np.float64(0))
+                have = sums.get(key)
+                sums[key] = [have[0] + total, have[1] + len(own)] if have else [total, len(own)]
+            if len(sums) > most:
+                yield from told()
+        yield from told()
+
+    some = rows.where("embedding IS NOT NULL").select(*keys, F.col("embedding").cast("array<double>").alias("embedding"))
+    kinds_ = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.select(*keys).schema)
+    parts = some.mapInArrow(run, f"{kinds_}, n long, total array<double>").select(*keys, "n", F.posexplode("total").alias("i", "x"))
+    each = parts.groupBy(*keys, "i").agg((F.sum("x") / F.sum("n")).alias("m"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
 def pick_k(n: int, wanted: int | None = None) -> int:
     """Number of clusters for ``n`` rows: the wanted one, or the root of half the rows, two at least."""
     if n <= 1:

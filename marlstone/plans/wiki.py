@@ -134,11 +134,11 @@ def page_chunk_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def built(spark: SparkSession, d: str) -> DataFrame:
-    """All pages of all tenants, with their related pages."""
+    """All pages of all tenants' trees of length bands, with their related pages."""
     walked, held, texts = _tree(spark, d)
     walked = written(walked, "walked")
     pages = written(P.build(walked, tree.rollup(walked, held), texts, F.lit(NOW).cast("timestamp_ntz")), "pages")
-    return P.with_related(pages, walked)
+    return P.with_related(pages, walked).join(walked.select("tenant", F.col("id").alias("node"), F.array_join("path", "/").alias("path")), ["tenant", "node"])
 
 
 @query(f"""WITH {_H}, one AS (SELECT tenant, chunk, count(*) AS copies, max(doc_id) AS doc_id FROM d GROUP BY ALL),
@@ -146,14 +146,7 @@ p AS (SELECT tenant, path, count(*) AS n_chunks, count(DISTINCT doc_id) AS sourc
 w AS (SELECT p.*, depth, up FROM p JOIN n USING (tenant, path))
 SELECT tenant, path, n_chunks, source_uri_count, 1 AS version, (SELECT count(*) FROM w b WHERE a.tenant = b.tenant AND a.path <> b.path AND (a.up = b.path OR a.up = b.up OR a.path = b.up)) AS n_related FROM w a""")
 def page_build(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.split("body", "\n")
-    path = F.regexp_replace(F.element_at(lines, -1), " / ", "/")
-    return built(spark, d).select("tenant", path.alias("path"), "n_chunks", "source_uri_count", "version", F.size("related").cast("long").alias("n_related"))
-
-
-@query()
-def page_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return built(spark, d)
+    return built(spark, d).select("tenant", "path", "n_chunks", "source_uri_count", "version", F.size("related").cast("long").alias("n_related"))
 
 
 @query(f"""WITH {_H} SELECT tenant, path, tenant IN ('de') OR (tenant = 'fr' AND split_part(path, '/', 2) = '') AS is_stale FROM h GROUP BY tenant, path HAVING count(*) >= 2""")
