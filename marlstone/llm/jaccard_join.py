@@ -339,7 +339,16 @@ def join(docs: DataFrame) -> DataFrame:
     more = written(_verified(docs, cross), "tested-more")
     labels = extended(labels, more.where("linked").select("a", "b"))
 
-    return _named(every, labels)
+    return _named(every, extended(labels, _own_classes(sets)) if several else labels)
+
+
+def _own_classes(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that hold the different texts of one doc_id together: the id and the first id of each text's class."""
+    some = sets.where("n > 0")
+    several = some.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
+    classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
+    of = some.join(several, "doc_id", "left_semi").select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).where("node <> doc_id")
+    return of.select(*_pair("doc_id", "node")).distinct()
 
 
 #: Equal sets of more documents than this, or than one in MOST_HOT of all, are named by a broadcast: at most MOST_HOT classes.
@@ -369,7 +378,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows that share that doc_id one stays: the one whose text has the least hash, ties to any of the equal texts.
     """
-    first = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = join(docs).groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id = least").select("doc_id")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
     firsts = known.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")

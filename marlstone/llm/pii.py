@@ -19,9 +19,14 @@ each kind among their like, so edges stay linear.
 Texts without any base span are labelled too, by form and chains alone, so a
 number with the form of a card but a wrong check digit can become a span.
 
+Messages that still change after as many rounds as there are tokens and
+``SWINGS`` more swing for ever: a token that hears one becomes no further span.
+
 Defined cases: a null text counts as empty and has no spans; a text without
 tokens of interest has its base spans alone; base spans of different kinds may
-overlap and all stay; repeated rows are treated alike; an empty table gives no
+overlap and all stay; a token that is as likely some kind as none, or as two
+kinds, takes none, or the first kind listed; repeated rows are treated alike;
+extra columns stay as they are, whatever their names; an empty table gives no
 rows and trains nothing.
 """
 
@@ -200,6 +205,7 @@ class Field:
             back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
             msg = np.zeros((2 * m, LABELS))
             # no path is longer than the number of tokens, so the bound only ends what swings for ever
+            swing = np.zeros(2 * m, dtype=bool)
             for _ in range(len(u) + SWINGS):
                 total = u.copy()
                 np.add.at(total, dst, msg)
@@ -207,10 +213,15 @@ class Field:
                 top = x.max(axis=1, keepdims=True)
                 new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0, :]
                 new -= new.max(axis=1, keepdims=True)
-                if np.abs(new - msg).max() < SETTLED:
+                swing = np.abs(new - msg).max(axis=1) >= SETTLED
+                if not swing.any():
                     break
                 msg = 0.5 * (msg + new)
             np.add.at(u, dst, msg)
+            unsure = np.unique(dst[swing])
+            unsure = unsure[seen[unsure] == 0]
+            u[unsure] = -1e9
+            u[unsure, 0] = 0.0
         u -= u.max(axis=1, keepdims=True)
         p = np.exp(u)
         return p / p.sum(axis=1, keepdims=True)

@@ -89,9 +89,8 @@ def place(shards: tuple[Shard, ...], key: Column) -> Column:
 def assign(docs: DataFrame, shards: int = 8, buckets: int | None = None, base: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
 
-    base: the number of shards at the start (see ``tree``).
+    base: the number of shards at the start (see ``tree``); a corpus that began with fewer names it, here and at every growth.
     """
-    base = min(base, shards)
     n = buckets or max(16, width(docs.sparkSession))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -8,10 +8,14 @@ shared by all thresholds: P(grade > k) = sigmoid(w.x - t_k), with t_1 <= t_2
 severity is the sum of those probabilities.
 
 Learns from at most ``rows`` labelled documents whose crc32(doc_id) mod 5 is
-not 0, the first by a hash; scores every document. Defined cases: a null or
-empty text has no features and gets the thresholds alone; without labelled
-rows of both kinds every document is clean; a null doc_id is scored like any;
-an empty table gives no rows.
+not 0, the first by a hash, in the shares of toxic and clean ones that the
+labels have; scores every document. A feature of fewer than ``support`` of
+these documents has no weight: too few have it to tell by it. Defined cases: a
+null or empty text has no features and gets the thresholds alone; without
+labelled rows of both kinds every document is clean; a null doc_id is scored
+like any; rows that share a doc_id are scored each by its own text, and one of
+them teaches; a probability of just 1/2 is toxic; an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -60,10 +64,10 @@ def log_odds(x: list[Sparse], y: np.ndarray, dims: int) -> tuple[np.ndarray, np.
     return np.log((p + 0.5) / (n + 1)) - np.log((q + 0.5) / (m + 1)), p + q
 
 
-def grades_of(x: list[Sparse], y: np.ndarray, dims: int) -> np.ndarray:
+def grades_of(x: list[Sparse], y: np.ndarray, dims: int, support: int = SUPPORT) -> np.ndarray:
     """Grades from 0 to 3: thirds of toxic documents by their density of telling words."""
     odds, seen = log_odds(x, y, dims)
-    telling = (odds > np.log(4)) & (seen >= SUPPORT)
+    telling = (odds > np.log(4)) & (seen >= support)
     density = np.array([(c * telling[i]).sum() / max(1, c.sum()) for i, c in x])
     out = np.zeros(len(y), dtype=np.int64)
     own = density[y > 0]
@@ -72,14 +76,14 @@ def grades_of(x: list[Sparse], y: np.ndarray, dims: int) -> np.ndarray:
     return out
 
 
-def fit(x: list[Sparse], y: np.ndarray, dims: int, rounds: int = 300, rate: float = 0.1, l2: float = 2e-4) -> Ordinal:
+def fit(x: list[Sparse], y: np.ndarray, dims: int, support: int = SUPPORT, rounds: int = 300, rate: float = 0.1, l2: float = 2e-4) -> Ordinal:
     if len(set(y.tolist())) < 2:
         return Ordinal(np.zeros(dims), np.full(GRADES, 30.0))
     odds, seen = log_odds(x, y, dims)
-    keep = np.flatnonzero((seen >= SUPPORT) & (np.abs(odds) > 0.7))
+    keep = np.flatnonzero((seen >= support) & (np.abs(odds) > 0.7))
     place = np.full(dims, -1)
     place[keep] = np.arange(len(keep))
-    grade = grades_of(x, y, dims)
+    grade = grades_of(x, y, dims, support)
     rows, cols, vals = [], [], []
     for r, (idx, c) in enumerate(x):
         at = place[idx]
@@ -116,14 +120,14 @@ def fit(x: list[Sparse], y: np.ndarray, dims: int, rounds: int = 300, rate: floa
     return Ordinal(weights, np.concatenate(([t[0]], t[0] + np.cumsum(np.exp(t[1:])))))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS, support: int = SUPPORT) -> Ordinal:
     x, y, _ = labelled(docs, labels, "toxic", rows, stem_features, bits, fold("doc_id", FOLDS) != 0)
-    return fit(x, y, 1 << bits)
+    return fit(x, y, 1 << bits, support)
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS, support: int = SUPPORT) -> DataFrame:
     """doc_id, held_out, expected_severity (0 to 3), p_toxic, grade and toxic of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows, bits))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows, bits, support))
     out = mapped(
         docs, lambda found: sent.value(found), lambda texts, b: stem_features(texts, b, sent.value.used), bits, ["expected_severity", "p_toxic", "grade"],
     )
