@@ -31,7 +31,7 @@ from marlstone.llm.blobs import part_bits
 from marlstone.llm.textops import as_bytes, mix, slices
 from marlstone.session import width
 
-SLICE_ENTRIES = 1 << 20
+SLICE_ENTRIES = 1 << 19
 ALL = (1 << 16) - 1  # in place of a document's number: all documents of the slice that have the hash
 OFTEN = 8
 ODD_BITS = 512

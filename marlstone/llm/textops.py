@@ -3,7 +3,8 @@
 Words are found on UTF-8 bytes, many documents at once: one ``translate``,
 one separator scan, and a polynomial prefix sum that hashes all words of a
 slice with a few numpy passes. Slices bound the memory of a task whatever the
-size of an Arrow batch.
+size of an Arrow batch; a text longer than a slice is one slice, unless it is
+read in ``runs``.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-SLICE_BYTES = 2 << 20
-BATCH_ROWS = 1024
+SLICE_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 _BLANK = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _BLANK_LOWER = bytes(b + 32 if 65 <= b <= 90 else _BLANK[b] for b in range(256))
@@ -31,8 +32,9 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: texts are long, and Python workers are not large."""
+    """Small Arrow batches, in rows and in bytes: texts are long, and neither Python workers nor Arrow's buffers are large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
