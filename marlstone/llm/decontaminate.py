@@ -149,7 +149,8 @@ def score(docs: DataFrame, benchmark: DataFrame, keep: list[str], part_bytes: in
     contaminated: the hit words are a twentieth of all words, or more.
     """
     tune(docs.sparkSession)
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    # one struct, so that no name of the caller's meets one of ours
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col("text").alias("_text"))
     parts = _parts(benchmark, part_bytes)
     part = next(parts)
     for after in parts:
@@ -157,7 +158,7 @@ def score(docs: DataFrame, benchmark: DataFrame, keep: list[str], part_bytes: in
         part = after
     out = _scan(out, part, last=True)
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col("_keep")[c].alias(c) for c in keep],
         F.col("_n").alias("n_words"),
         F.col("_n_hit").alias("n_hit"),
         F.col("_items").alias("items"),

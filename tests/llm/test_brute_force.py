@@ -230,3 +230,14 @@ def test_pipeline_applies_its_stages_in_turn(spark):
         docs = stage(spark, docs, sf)
     key = lambda x: (x.doc_id, x.piece, x.n_words, x.bin_id, x.bin_offset)
     assert sorted(map(key, corpus_pipeline.run(spark, sf).collect())) == sorted(map(key, docs.collect()))
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    from marlstone.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6, "h", "i", "t")], "doc_id long, text string, _n long, _n_hit long, _hit string, _items string, _text string")
+    bench = spark.createDataFrame([(1, "b c"), (2, "q")], "item_id long, text string")
+    keep = ["doc_id", "_n", "_n_hit", "_hit", "_items", "_text"]
+    for part_bytes in (1 << 20, 1):  # in one part and in several
+        got = decontaminate.score(docs, bench, keep, part_bytes).first()
+        assert tuple(got[:6]) == (1, 5, 6, "h", "i", "t") and (got.n_words, got.n_hit, got["items"]) == (4, 2, ["1"])
