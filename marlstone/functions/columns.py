@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -20,9 +21,20 @@ def _nfc(s: pd.Series) -> pd.Series:
     return pd.Series([normal(t) for t in s], dtype=object)
 
 
+def normalized(text: str) -> str:
+    """``normalize_text`` of one text, for work that is in Python already."""
+    t = text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    t = re.sub("[ \t]+\n", "\n", re.sub("\r\n?", "\n", t))
+    return re.sub("\n{3,}", "\n\n", t)
+
+
 def normalize_text(text: Column, nfc: bool = True) -> Column:
-    """NFC, line ends as LF, no blanks before a line end, at most two line ends in a row."""
-    t = _nfc(text) if nfc else text
+    """NFC, line ends as LF, no blanks before a line end, at most two line ends in a row.
+
+    Only texts beyond ASCII go to Python; all others are in NFC as they are.
+    """
+    beyond = F.rlike(text, F.lit(r"[^\x00-\x7F]"))
+    t = F.coalesce(_nfc(F.when(beyond, text)), text) if nfc else text
     t = F.regexp_replace(t, "\r\n?", "\n")
     t = F.regexp_replace(t, "[ \t]+\n", "\n")
     return F.regexp_replace(t, "\n{3,}", "\n\n")

@@ -112,34 +112,6 @@ def detect(text: Column) -> Column:
     return F.when(has(UUID), F.lit(None).cast("string")).when(has(FOUND_EMAIL), "NER_HIT_EMAIL").when(has(FOUND_SSN), "NER_HIT_SSN").when(has(FOUND_PHONE), "NER_HIT_PHONE").when(has(FOUND_URL), "NER_HIT_URL")
 
 
-def forbidden_key(json: Column) -> Column:
-    """The first key, at any depth in the order of the text, that an observation may not have; null without one."""
-    keys = F.transform(F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)), lambda k: F.lower(k))
-    bad = lambda k: k.isin(*FORBIDDEN_KEYS) | reduce(lambda a, b: a | b, (F.startswith(k, F.lit(p)) for p in FORBIDDEN_BEGINNINGS))
-    return F.get(F.filter(keys, bad), F.lit(0))
-
-
-def numeric_fault(json: Column) -> Column:
-    """The first ``"key": number`` pair that breaks the policy of numeric leaves; null without one.
-
-    Counts within ``kind_distribution`` are let by if they are whole and small.
-    """
-    number = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-    inner = r'"kind_distribution"\s*:\s*\{[^{}]*\}'
-    pairs = lambda s: F.regexp_extract_all(s, F.lit(rf'("(?:[^"\\]|\\.)*"\s*:\s*{number})'), F.lit(1))
-    key = lambda p: F.regexp_extract(p, r'^"((?:[^"\\]|\\.)*)"', 1)
-    value = lambda p: F.regexp_extract(p, rf"({number})$", 1)
-    whole = lambda p: F.rlike(value(p), F.lit("^-?[0-9]+$"))
-    x = lambda p: value(p).cast("double")
-    small = lambda p: (x(p) >= 0) & (x(p) < COUNT_MOST)
-    fine = lambda p: (
-        F.when(key(p).isin(*RATIO_LEAVES), x(p).between(0, 1)).when(key(p).isin(*REAL_LEAVES), small(p)).when(key(p).isin(*COUNT_LEAVES), small(p) & whole(p)).otherwise(key(p) == "embedding_dim")
-    )
-    outer = F.filter(pairs(F.regexp_replace(json, inner, "")), lambda p: ~fine(p))
-    kinds = F.filter(pairs(F.array_join(F.regexp_extract_all(json, F.lit(f"({inner})"), F.lit(1)), "")), lambda p: ~(small(p) & whole(p)))
-    return F.coalesce(F.get(F.transform(outer, key), F.lit(0)), F.get(F.transform(kinds, key), F.lit(0)))
-
-
 def forbidden_action(intent: Column) -> Column:
     """Name of the first forbidden action whose name or word stands in the intent; null without one."""
     low, out = F.lower(intent), F.lit(None).cast("string")
@@ -188,22 +160,27 @@ def spent(reported: Column, estimated: Column) -> Column:
 
 
 def spend_decision(day: Column, week: Column, month: Column, caps: tuple[float, float, float] = (20.0, 100.0, 350.0)) -> Column:
-    """Which cap is reached, the day's first; ``ok`` without one."""
-    return F.when(day >= caps[0], "daily_cap").when(week >= caps[1], "weekly_cap").when(month >= caps[2], "monthly_cap").otherwise("ok")
+    """Which cap is reached, the day's first; ``under_caps`` without one. Sums come unrounded."""
+    return F.when(day >= caps[0], "daily_cap_hit").when(week >= caps[1], "weekly_cap_hit").when(month >= caps[2], "monthly_cap_hit").otherwise("under_caps")
 
 
 def merge_gate(c: dict[str, Column], files: int = 15, lines: int = 500, branch: str = "^agent/[A-Za-z0-9._-]+$") -> Column:
-    """The first gate that holds a change back, or ``merge``.
+    """The first gate that holds a change back, or ``merge``; a change waits for its running checks before a failed one blocks it.
 
-    c: head_ref, title, body, files, lines, critical, checks, pending and failed (counts of check runs).
+    c: head_ref, title, body, files, lines, critical, checks, pending and failed (counts of check runs, see ``run_state``).
     """
     marked = F.rlike(F.concat_ws(" ", c["title"], c["body"]), F.lit(r"(?i)\[needs-review\]"))
     return (
         F.when(~F.rlike(c["head_ref"], F.lit(branch)), "head_ref_not_agent").when(marked, "needs_review").when(c["files"] > files, "too_many_files").when(c["lines"] > lines, "too_many_lines")
-        .when(c["critical"] > 0, "privacy_critical_path").when(c["checks"] == 0, "no_checks").when(c["failed"] > 0, "block_failed_checks").when(c["pending"] > 0, "wait").otherwise("merge")
+        .when(c["critical"] > 0, "privacy_critical_path").when(c["checks"] == 0, "no_checks").when(c["pending"] > 0, "wait").when(c["failed"] > 0, "block_failed_checks").otherwise("merge")
     )
 
 
+def run_state(status: Column, conclusion: Column) -> Column:
+    """pending, passed or failed: a run that has ended well, neutrally or was skipped has passed."""
+    return F.when(status.isin("queued", "in_progress", "pending"), "pending").when(conclusion.isin("success", "neutral", "skipped"), "passed").otherwise("failed")
+
+
 def tenant_gate(action_known: Column, authed: Column, caller: Column, target: Column, destructive: Column, verified: Column) -> Column:
     return (
         F.when(~action_known, "deny_unknown").when(caller.isNull() | target.isNull(), "deny_missing").when(~authed, "deny_unauthenticated")

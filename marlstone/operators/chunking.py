@@ -11,12 +11,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.columns import normalize_text
+from marlstone.functions.columns import normalized
 
 # fixed values: separators from coarse to fine; an empty one means fixed slices
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -79,22 +80,30 @@ def chunks_of(text: str, size: int = PROSE[0], overlap: int = PROSE[1]) -> list[
     return told
 
 
+# fixed values: parts of a type that name a programming language
+CODE_MARKS = ("python", "typescript", "javascript", "go", "rust", "java", "kotlin", "ruby", "c++", "csharp", "swift", "php", "shellscript", "sql")
+
+
 def is_code(uri: Column, mime: Column) -> Column:
-    """Whether the suffix or the type names a programming language."""
+    """Whether the suffix, or a type of ``text/x-`` or ``application/x-``, names a programming language."""
     suffix = F.lower(F.regexp_extract(F.coalesce(uri, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     kind = F.lower(F.coalesce(mime, F.lit("")))
-    return suffix.isin(*CODE_SUFFIXES) | F.rlike(kind, F.lit("^(text|application)/x-.*(python|script|java|c|rust|go|ruby|sh)"))
+    marked = reduce(lambda a, b: a | b, (kind.contains(m) for m in CODE_MARKS))
+    return suffix.isin(*CODE_SUFFIXES) | ((kind.startswith("text/x-") | kind.startswith("application/x-")) & marked)
 
 
 def chunk(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], normalize: bool = True) -> DataFrame:
     """doc_id, position, text, start_char, end_char and chunk_hash of every chunk.
 
-    Texts are normalised first; a null text, or one of blanks alone, has no chunks.
+    Texts are normalised first, in the same pass; a null text, or one of blanks alone, has no chunks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if t is None or not t.strip(" \t\n\x0b\f\r"):
+                    continue
+                t = normalized(t) if normalize else t
                 for k, c in enumerate(chunks_of(t, size, overlap)):
                     own = t[c.start : c.end]
                     for col, v in zip(cols, (d, k, own, c.start, c.end, hashlib.sha256(own.encode()).hexdigest()), strict=True):
@@ -102,8 +111,7 @@ def chunk(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], normal
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    text = normalize_text(F.col("text")) if normalize else F.col("text")
-    return docs.select("doc_id", text.alias("text")).where(F.rlike("text", F.lit(r"\S"))).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def chunk_by_kind(docs: DataFrame) -> DataFrame:

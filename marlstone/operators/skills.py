@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules as R
+from marlstone.functions.columns import clamp01
+from marlstone.operators import signatures
 
 # fixed values: weights of a skill's score
 BASE, VOCAB, TYPES, KIND = 0.30, 0.35, 0.25, 0.10
@@ -70,11 +72,63 @@ def collected(raw: DataFrame, opted_out: Column, failed: Column, checks: dict[st
     return raw.withColumns({"outcome": outcome, "reason": F.when(~opted_out & ~failed, reason)})
 
 
-def triaged(messages: DataFrame, text: Column, confidence: Column, asked: Column) -> DataFrame:
-    """messages with redacted, action, decision and why: a forbidden action, a wish for a person or a low confidence escalates."""
-    action = R.forbidden_action(text)
-    why = F.when(action.isNotNull(), "forbidden_action").when(asked, "requested").when(confidence < SURE, "low_confidence")
-    return messages.withColumns({"redacted": R.redact(text), "action": action, "why": why, "decision": F.when(why.isNotNull(), "escalate").otherwise("resolve")})
+# fixed values: replies where the model failed, and where an action was denied
+FAILED = "Something went wrong on our side. I've passed this to a teammate who will follow up."
+DENIED = "I can't help with that - that's outside what I'm allowed to look up for this account."
+
+
+def triaged(messages: DataFrame) -> DataFrame:
+    """messages with decision (resolved or escalated), reason, severity and reply of the agent's answer.
+
+    messages: reply, confidence, escalate, given_reason and given_severity (of the model, or null), error (null: none)
+    and calls, an array of struct<name, args, allowed>, the model's tool calls with the gate's verdict. A call is
+    forbidden by its name or else by its arguments, never by what the customer wrote; of several the last counts.
+    A forbidden call escalates with a refusal before the reply, then a wish of the model or a low confidence
+    escalates (the model's own reason first, then the confidence), and a denied call, which is not escalated,
+    is answered by a fixed sentence that repeats nothing.
+    """
+    judged = F.transform("calls", lambda c: F.coalesce(R.forbidden_action(c["name"]), R.forbidden_action(c["args"])))
+    bad = F.filter(judged, lambda a: a.isNotNull() & (R.severity(a) != "low"))
+    action = F.get(bad, F.size(bad) - 1)
+    denied = F.exists(F.zip_with("calls", judged, lambda c, a: a.isNull() & ~c["allowed"]), lambda x: x)
+    failed, low, wished = F.col("error").isNotNull(), F.col("confidence") < SURE, F.col("escalate")
+    told = F.coalesce(F.when(F.col("given_reason") != "", F.col("given_reason")), F.when(low, "low confidence").otherwise("agent requested"))
+    reason = F.when(failed, F.concat(F.lit("LLM error: "), "error")).when(action.isNotNull(), F.concat(F.lit("forbidden action attempted: "), action)).when(wished | low, told)
+    grade = F.when(failed, "medium").when(action.isNotNull(), R.severity(action)).when(wished | low, F.coalesce(F.when(F.col("given_severity") != "", F.col("given_severity")), F.lit("low")))
+    reply = F.when(failed, FAILED).when(action.isNotNull(), R.safe_refusal(F.col("reply"))).when(wished | low, F.col("reply")).when(denied, DENIED).otherwise(F.col("reply"))
+    return messages.withColumns({"decision": F.when(reason.isNotNull(), "escalated").otherwise("resolved"), "reason": reason, "severity": grade, "reply": reply})
+
+
+# fixed values: tenants, observations and mean confidence that a group must reach; how many shapes and ids it names
+THRESHOLDS, MOST_SHAPES, MOST_IDS = (3, 25, 0.65), 16, 10_000
+
+
+def groups(observations: DataFrame, by_domain: dict[str, tuple[int, int, float]] | None = None, default: tuple[int, int, float] = THRESHOLDS) -> DataFrame:
+    """A row for each (domain, kind): tenants, observations, mean_confidence, shapes, observation_ids and crossing.
+
+    observations: domain, tenant, observation (its id), seq (its place in the store) and payload, a struct of
+    ``signatures.PAYLOAD``; kinds that feed no skill are left out. shapes: the first different ones, as they came;
+    observation_ids: the first, as they came, ``MOST_IDS`` at most. crossing: whether the group reaches the
+    thresholds of its domain, or else the default. What is kept of a group is cut before it is gathered.
+    """
+    kind = signatures.skill_kind(F.col("payload.kind"))
+    rows = observations.select("domain", kind.alias("kind"), "tenant", "observation", "seq", signatures.confidence(F.col("payload")).alias("sure"), signatures.fingerprint(F.col("payload")).alias("shape")).where("kind IS NOT NULL")
+    key = ["domain", "kind"]
+
+    def first(df: DataFrame, what: str, most: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("seq", what))
+        some = df.withColumn("place", place).where(F.col("place") <= most)
+        return some.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", what))), lambda x: x[what]).alias("ids" if what == "observation" else "shapes"))
+
+    seen = rows.where("shape <> ''").groupBy(*key, "shape").agg(F.min("seq").alias("seq"))
+    sums = rows.groupBy(*key).agg(F.countDistinct("tenant").alias("tenants"), F.count("*").alias("observations"), F.avg("sure").alias("mean"))
+    told = sums.join(first(seen, "shape", MOST_SHAPES), key, "left").join(first(rows.select(*key, "seq", "observation"), "observation", MOST_IDS), key, "left")
+    limits = [F.lit(x) for x in default]
+    for domain, own in (by_domain or {}).items():
+        limits = [F.when(F.col("domain") == domain, x).otherwise(y) for x, y in zip(own, limits, strict=True)]
+    mean = clamp01(F.col("mean"))
+    crossing = (F.col("tenants") >= limits[0]) & (F.col("observations") >= limits[1]) & (mean >= limits[2])
+    return told.select(*key, "tenants", "observations", mean.alias("mean_confidence"), F.coalesce("shapes", F.array().cast("array<string>")).alias("shapes"), F.col("ids").alias("observation_ids"), crossing.alias("crossing"))
 
 
 # fixed values: parts of a skill's text

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules as R
-from marlstone.operators import chains, signatures
+from marlstone.operators import chains, envelopes, signatures
 from marlstone.operators import skills as K
 from marlstone.plans.queries import query, read
 
@@ -139,15 +139,22 @@ def redact_pii(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'value' WHEN event_id % 4 = 1 THEN 'dim_x' END AS bad_key FROM events")
 def forbidden_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The events' JSON, nested in an envelope that has a forbidden key in half of the rows."""
-    key = F.when(F.col("event_id") % 4 == 0, "Value").when(F.col("event_id") % 4 == 1, "dim_x").otherwise("kind")
-    return _events(spark, d).select("event_id", R.forbidden_key(F.concat(F.lit('{"payload": {"'), key, F.lit('": '), "props", F.lit("}}"))).alias("bad_key"))
+    """The events' JSON in lists in an envelope that has a forbidden key in half of the rows, now and then in escapes."""
+    key = F.when(F.col("event_id") % 8 == 0, "V\\u0061lue").when(F.col("event_id") % 4 == 0, "Value").when(F.col("event_id") % 4 == 1, "dim_x").otherwise("kind")
+    e = _events(spark, d).select("event_id", F.concat(F.lit('{"payload": [{"'), key, F.lit('": '), "props", F.lit('}], "a": "\\"value\\": 1"}')).alias("json"))
+    return e.select("event_id").join(envelopes.first_hits(envelopes.key_hits(envelopes.walk(e, ["event_id"], "json"), ["event_id"]), ["event_id"], "key"), "event_id", "left").select("event_id", F.col("key").alias("bad_key"))
 
 
-@query("SELECT event_id, CASE WHEN value > 1 AND event_id % 3 = 0 THEN 'adherence_rate' WHEN event_id % 3 = 1 THEN 'k' END AS bad_leaf FROM events")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN CASE WHEN value > 1 THEN 'adherence_rate' END WHEN 1 THEN 'k' WHEN 3 THEN 'states' WHEN 4 THEN CASE WHEN event_id >= 1000 THEN 'entity' END WHEN 5 THEN CASE WHEN value > 1 THEN 'adherence_rate' END END AS bad_leaf FROM events""")
 def numeric_policy(spark: SparkSession, d: str) -> DataFrame:
-    third = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"adherence_rate": '), F.format_string("%.2f", "value"))).when(F.col("event_id") % 3 == 1, F.lit('"k": 3')).otherwise(F.lit('"depth": 7, "embedding_dim": 1024'))
-    return _events(spark, d).select("event_id", R.numeric_fault(F.concat(F.lit('{"kind_distribution": {"topic": 3}, '), third, F.lit("}"))).alias("bad_leaf"))
+    """Numbers of the events under names that may and may not hold them, in objects and in lists."""
+    v = F.format_string("%.2f", "value")
+    told = [
+        F.concat(F.lit('"adherence_rate": '), v), F.lit('"k": 3'), F.lit('"depth": 7, "embedding_dim": 1024, "flag": true'), F.concat(F.lit('"states": [[], ['), v, F.lit("]]")),
+        F.concat(F.lit('"kind_distribution": {"topic": 3, "entity": '), F.col("event_id").cast("string"), F.lit("}")), F.concat(F.lit('"edges": [{"adherence_rate": [0.5, '), v, F.lit("]}]")),
+    ]
+    e = _events(spark, d).select("event_id", F.concat(F.lit("{"), F.get(F.array(*told), (F.col("event_id") % 6).cast("int")), F.lit("}")).alias("json"))
+    return e.select("event_id").join(envelopes.first_hits(envelopes.numeric_hits(envelopes.walk(e, ["event_id"], "json"), ["event_id"]), ["event_id"], "leaf"), "event_id", "left").select("event_id", F.col("leaf").alias("bad_leaf"))
 
 
 @query("""WITH t AS (SELECT DISTINCT conv_id, turn, substr(lower(text), i, 3) AS g FROM (SELECT conv_id, turn, text, unnest(range(1, length(text) - 1)) AS i FROM conversations)), c AS (SELECT DISTINCT substr(lower(text), i, 3) AS g FROM (SELECT text, unnest(range(1, length(text) - 1)) AS i FROM benchmark)),
@@ -175,12 +182,26 @@ def forbidden_actions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", R.forbidden_action(F.col("html")).alias("action"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, CASE {_RULES} END AS action, (doc_id % 10) / 10e0 AS confidence, contains(lower(text), 'human') AS asked FROM documents)
-SELECT doc_id, action, CASE WHEN action IS NOT NULL OR asked OR confidence < 7e-1 THEN 'escalate' ELSE 'resolve' END AS decision, CASE WHEN action IS NOT NULL THEN 'forbidden_action' WHEN asked THEN 'requested' WHEN confidence < 7e-1 THEN 'low_confidence' END AS why FROM a""")
+@query("""WITH m AS (SELECT conv_id, turn, text, (conv_id * 7 + turn) % 10 AS c, conv_id % 6 AS k, turn % 2 = 1 AS odd FROM conversations),
+r AS (SELECT *, CASE WHEN c = 9 AND k = 5 THEN 'LLM error: Timeout' WHEN k = 1 THEN 'forbidden action attempted: ' || CASE WHEN odd THEN 'delete_data' ELSE 'issue_refund' END WHEN k = 2 THEN 'forbidden action attempted: delete_data'
+  WHEN c < 7 OR k = 3 THEN CASE WHEN odd AND k = 3 THEN 'vip customer' WHEN c < 7 THEN 'low confidence' ELSE 'agent requested' END END AS reason FROM m)
+SELECT conv_id, turn, CASE WHEN reason IS NULL THEN 'resolved' ELSE 'escalated' END AS decision, reason, CASE WHEN c = 9 AND k = 5 THEN 'medium' WHEN k = 1 THEN CASE WHEN odd THEN 'high' ELSE 'medium' END WHEN k = 2 THEN 'high' WHEN reason IS NOT NULL THEN CASE WHEN odd AND k = 3 THEN 'high' ELSE 'low' END END AS severity,
+  CASE WHEN c = 9 AND k = 5 THEN 'Something went wrong on our side. I''ve passed this to a teammate who will follow up.' WHEN k IN (1, 2) THEN 'I''m not able to do that myself, so I''m passing this to a teammate who will follow up. ' || 'Done: ' || turn WHEN reason IS NULL AND k = 4 THEN 'I can''t help with that - that''s outside what I''m allowed to look up for this account.' ELSE 'Done: ' || turn END AS reply FROM r""")
 def triage(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as messages; doc_id stands for the model's confidence."""
-    t = read(spark, d, "documents")
-    return K.triaged(t, F.col("text"), (F.col("doc_id") % 10) / 10.0, F.contains(F.lower("text"), F.lit("human"))).select("doc_id", "action", "decision", "why")
+    """Turns as messages, with answers and tool calls made from their ids: forbidden by name or argument, denied, allowed, or none.
+
+    The customer's own text stands in no call, so "delete" in it escalates nothing.
+    """
+    k, odd = F.col("conv_id") % 6, F.col("turn") % 2 == 1
+    call = lambda name, args, ok=True: F.struct(F.lit(name).alias("name"), F.lit(args).alias("args"), F.lit(ok).alias("allowed"))
+    by_name = F.when(odd, F.array(call("issue_refund", "{}"), call("account_DELETE", "{}"))).otherwise(F.array(call("delete_rows", "{}"), call("get_plan", "{}"), call("do", '{"then": "Refund it"}')))
+    calls = F.when(k == 1, by_name).when(k == 2, F.array(call("run", "purge=all"))).when(k == 4, F.array(call("get_plan", "{}"), call("get_plan", '{"of": "b"}', False))).when(k == 5, F.array(call("get_plan", "{}"))).otherwise(F.array().cast("array<struct<name:string,args:string,allowed:boolean>>"))
+    c = (F.col("conv_id") * 7 + F.col("turn")) % 10
+    m = read(spark, d, "conversations").select(
+        "conv_id", "turn", calls.alias("calls"), F.concat(F.lit("Done: "), F.col("turn").cast("string")).alias("reply"), (c / 10.0).alias("confidence"), (k == 3).alias("escalate"),
+        F.when(odd & (k == 3), "vip customer").alias("given_reason"), F.when(odd & (k == 3), "high").alias("given_severity"), F.when((c == 9) & (k == 5), "Timeout").alias("error"),
+    )
+    return K.triaged(m).select("conv_id", "turn", "decision", "reason", "severity", "reply")
 
 
 _H = """h AS (SELECT user_id AS chain, event_id AS id, epoch_us(ts) * 1000 AS ts_ns, event_type, replace(props, ' ', '') AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
@@ -204,13 +225,15 @@ def audit_chain_verify(spark: SparkSession, d: str) -> DataFrame:
     return chains.verified(_chain(spark, d).withColumn("payload", F.when(F.col("id") % 499 == 0, F.lit('{"k":-1}')).otherwise(F.col("payload"))))
 
 
-@query("""WITH p AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS d, sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS w, sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS m FROM p)
-SELECT event_id, CASE WHEN round(d, 6) >= 20 THEN 'daily_cap' WHEN round(w, 6) >= 100 THEN 'weekly_cap' WHEN round(m, 6) >= 350 THEN 'monthly_cap' ELSE 'ok' END AS decision FROM s""")
+@query("""WITH p AS (SELECT user_id, event_id, ts, value::DECIMAL(18, 6) AS v FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id, sum(v) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS d, sum(v) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS w, sum(v) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS m FROM p)
+SELECT event_id, CASE WHEN d >= 20 THEN 'daily_cap_hit' WHEN w >= 100 THEN 'weekly_cap_hit' WHEN m >= 350 THEN 'monthly_cap_hit' ELSE 'under_caps' END AS decision, round(d, 4)::DOUBLE AS spent_today, round(w, 4)::DOUBLE AS spent_this_week, round(m, 4)::DOUBLE AS spent_this_month FROM s""")
 def spend_decision(spark: SparkSession, d: str) -> DataFrame:
-    """After each purchase of a user: which cap its last 1, 7 or 30 days reach."""
-    p = _events(spark, d).where("event_type = 'purchase'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    over = lambda days: F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("us").rangeBetween(-days * 86_400_000_000, 0)), 6)
-    return p.select("event_id", over(1).alias("d"), over(7).alias("w"), over(30).alias("m")).select("event_id", R.spend_decision(F.col("d"), F.col("w"), F.col("m")).alias("decision"))
+    """After each purchase of a user: which cap its last 1, 7 or 30 days reach. Decimal sums are compared as they are and rounded for show."""
+    p = _events(spark, d).where("event_type = 'purchase'").withColumns({"us": F.unix_micros(F.col("ts").cast("timestamp")), "v": F.col("value").cast("decimal(18,6)")})
+    over = lambda days: F.sum("v").over(Window.partitionBy("user_id").orderBy("us").rangeBetween(-days * 86_400_000_000, 0))
+    s = p.select("event_id", over(1).alias("d"), over(7).alias("w"), over(30).alias("m"))
+    shown = [F.round(c, 4).cast("double").alias(f"spent_{n}") for c, n in (("d", "today"), ("w", "this_week"), ("m", "this_month"))]
+    return s.select("event_id", R.spend_decision(F.col("d"), F.col("w"), F.col("m")).alias("decision"), *shown)
 
 
 @query("SELECT event_id, round(CASE WHEN value > 15 THEN value ELSE CASE event_id % 3 WHEN 0 THEN user_id * 15e0 + event_id * 75e0 WHEN 1 THEN user_id * 8e-1 + event_id * 4e0 ELSE user_id * 3e0 + event_id * 15e0 END / 1e6 END, 9) AS usd FROM events")
@@ -221,19 +244,20 @@ def usd_estimate(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("event_id", F.round(R.spent(told, R.usd(model, F.col("user_id"), F.col("event_id"))), 9).alias("usd"))
 
 
-@query("""WITH o AS (SELECT l_orderkey, count(*) AS files, sum(l_quantity) AS lines, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_linestatus = 'O' AND l_returnflag <> 'R') AS pending FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN 'head_ref_not_agent' WHEN l_orderkey % 5 = 0 THEN 'needs_review' WHEN files > 5 THEN 'too_many_files' WHEN lines > 100 THEN 'too_many_lines' WHEN l_orderkey % 11 = 0 THEN 'privacy_critical_path' WHEN failed > 0 THEN 'block_failed_checks' WHEN pending > 0 THEN 'wait' ELSE 'merge' END AS gate FROM o""")
+@query("""WITH o AS (SELECT l_orderkey, count(*) AS files, sum(l_quantity) AS lines, count(*) FILTER (l_linenumber > 1) AS checks, count(*) FILTER (l_linenumber > 1 AND l_linestatus = 'O') AS pending, count(*) FILTER (l_linenumber > 1 AND l_linestatus <> 'O' AND l_returnflag = 'R') AS failed FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN 'head_ref_not_agent' WHEN l_orderkey % 5 = 0 THEN 'needs_review' WHEN files > 5 THEN 'too_many_files' WHEN lines > 100 THEN 'too_many_lines' WHEN l_orderkey % 11 = 0 THEN 'privacy_critical_path' WHEN checks = 0 THEN 'no_checks' WHEN pending > 0 THEN 'wait' WHEN failed > 0 THEN 'block_failed_checks' ELSE 'merge' END AS gate,
+  checks, pending, failed FROM o""")
 def merge_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as changes: lines are files, quantities changed lines, returns failed checks and open lines pending ones."""
-    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("files"), F.sum("l_quantity").alias("lines"), F.count("*").alias("checks"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("failed"),
-        F.count(F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") != "R"), 1)).alias("pending"),
-    )
+    """Orders as changes: lines are files, quantities changed lines; every line but the first is a check run that is open, or has failed, passed or been skipped."""
+    line = read(spark, d, "lineitem")
+    state = R.run_state(F.when(F.col("l_linestatus") == "O", "in_progress").otherwise("completed"), F.when(F.col("l_returnflag") == "R", "failure").when(F.col("l_returnflag") == "A", "success").otherwise("skipped"))
+    run = lambda s: F.count(F.when((F.col("l_linenumber") > 1) & (state == s), 1)).alias(s)
+    o = line.groupBy("l_orderkey").agg(F.count("*").alias("files"), F.sum("l_quantity").alias("lines"), F.count(F.when(F.col("l_linenumber") > 1, 1)).alias("checks"), run("pending"), run("failed"))
     key = F.col("l_orderkey")
     c = {n: F.col(n) for n in ("files", "lines", "checks", "failed", "pending")} | {
         "head_ref": F.when(key % 7 == 0, "main").otherwise("agent/fix-1"), "title": F.when(key % 5 == 0, "x [Needs-Review]").otherwise("x"), "body": F.lit(None).cast("string"), "critical": (key % 11 == 0).cast("int"),
     }
-    return o.select(key, R.merge_gate(c, files=5, lines=100).alias("gate"))
+    return o.select(key, R.merge_gate(c, files=5, lines=100).alias("gate"), "checks", "pending", "failed")
 
 
 @query(r"""SELECT page_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug, regexp_full_match(s, '[a-z][a-z0-9-]{1,30}[a-z0-9]') AS valid FROM (SELECT page_id, trim(regexp_replace(regexp_replace(lower(url), '[^\p{L}\p{N} _-]', '', 'g'), '[ _-]+', '-', 'g'), '-') AS s FROM pages)""")
