@@ -1,22 +1,26 @@
-"""Vectors: blocked top-k search, k-means seeding and iterations.
+"""Vectors: blocked top-k search, threshold joins, means, k-means.
 
-Products are numpy in Arrow batches. What is sent to the executors is a block
-of queries or the centroids, both of a size that a parameter sets.
+Products are numpy in Arrow batches. What is sent to the executors is a set of
+pivots or the centroids, both of a size that a parameter sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+from marlstone.session import written
+
+#: Bytes of vectors that a task holds of each side, and of the centroids that every task holds.
+BLOCK_BYTES, CENTROID_BYTES = 16 << 20, 256 << 20
+#: Passes that draw candidates for the first centroids, and how many times k each draws.
+DRAWS, OVERSAMPLED = 3, 2
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -28,41 +32,150 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def checked(rows: DataFrame, dim: int) -> DataFrame:
+    """rows whose embeddings have ``dim`` elements; another length is an error when it is met, a null stays."""
+    right = F.col("embedding").isNull() | (F.size("embedding") == dim)
+    return rows.withColumn("embedding", F.when(right, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"an embedding of another length than {dim}: "), F.size("embedding").cast("string"))).cast(rows.schema["embedding"].dataType)))
+
+
+def _block_rows(rows: DataFrame) -> int:
+    first = rows.select(F.size("embedding").alias("n")).first()
+    return max(1, BLOCK_BYTES // (8 * max(1, first.n))) if first else 1
+
+
+def _blocks(rows: DataFrame, n: Column) -> Column:
+    return F.pmod(F.xxhash64("vec_id"), n).cast("int")
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     """query_id, vec_id, score and place: the ``k`` rows of greatest cosine to each query, itself left out.
 
-    Exact: every row meets every query. Queries go to the executors in blocks
-    of about ``block``, each batch of rows keeps its ``k`` best a query, and a
-    window takes the best of those. Ties go to the smaller vec_id.
+    Exact: every row meets every query. Queries and rows are dealt into blocks of about ``block_rows`` by a hash; each
+    pair of blocks is a group of its own, whose task multiplies the two and keeps ``k`` a query, and a window takes the
+    best of those. Nothing passes through the driver. Ties go to the smaller vec_id.
     """
-    queries, rows = queries.where("embedding IS NOT NULL"), rows.where("embedding IS NOT NULL")
-    n_blocks = max(1, -(-queries.count() // block))
-    found = []
-    for b in range(n_blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id").collect()
-        if not part:
-            continue
-        ids, q = np.array([r.vec_id for r in part]), np.array([r.embedding for r in part], dtype=np.float64)
-        sent = rows.sparkSession.sparkContext.broadcast((ids, _unit(q)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                vec = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(vec):
-                    continue
-                score = np.round(_unit(_matrix(batch.column(1), q.shape[1])) @ q.T, 6) + 0.0
-                score[vec[:, None] == ids[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(vec[:, None], score.shape), -score), axis=0)[:k]
-                own = np.take_along_axis(score, order, axis=0)
-                keep = own > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, own.shape)[keep]), pa.array(vec[order][keep]), pa.array(own[keep])], names=["query_id", "vec_id", "score"])
-
-        found.append(rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
-    if not found:
-        return rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
+    queries, rows = (df.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")) for df in (queries, rows))
+    size = block_rows or _block_rows(rows)
+    n_q, n_r = (max(1, -(-df.count() // size)) for df in (queries, rows))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = queries.select("*", _blocks(queries, F.lit(n_q)).alias("q")).select("*", every(n_r, "r"))
+    right = rows.select("*", _blocks(rows, F.lit(n_r)).alias("r")).select("*", every(n_q, "q"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            ids, vec = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+            dim = len(a.column("embedding")[0])
+            q, m = (_unit(_matrix(t.column("embedding").combine_chunks(), dim)) for t in (a, b))
+            by_id = np.argsort(vec, kind="stable")
+            vec, m = vec[by_id], m[by_id]
+            step = max(1, BLOCK_BYTES // (8 * len(vec)))
+            for at in range(0, len(ids), step):
+                own = ids[at : at + step]
+                score = np.round(q[at : at + step] @ m.T, 6) + 0.0
+                score[own[:, None] == vec[None]] = -np.inf
+                place = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows come by vec_id, so ties do too
+                best = np.take_along_axis(score, place, axis=1)
+                keep = best > -np.inf
+                out.append((np.repeat(own, keep.sum(axis=1)), vec[place][keep], best[keep]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+
+    left = left.toDF(*left.columns)  # columns of its own, as both sides may come from one table
+    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(run, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return reduce(DataFrame.union, found).withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+PAIRS = "a long, b long, score double, compared long"
+
+
+def matches(rows: DataFrame, least: float = 0.92, pivots: int = 64, block_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members, work): all pairs a < b of different vectors with a cosine of ``least`` or more, and its score.
+
+    Equal vectors are one class from the start, named by its least vec_id: members has class and vec_id, pairs are
+    between classes. On the unit sphere a cosine of ``least`` is a distance r. Each vector lives in the cell of its
+    nearest of some pivots (the first by a hash; at most ``pivots`` travel) and visits another cell only if it may lie
+    within r of something there: the half-space between the two pivots and the cell's radius both allow it. Within a
+    cell a home and a visitor are compared only if their distances to its pivot differ by r at most. All three bounds
+    hold in any space of distances, so no pair is lost. Cells are cut into blocks by a hash, homes against visitors,
+    so a cell of any size is many tasks. work has, for each pair of blocks, how many pairs were compared.
+
+    A null vector, or one of zeros, matches nothing.
+    """
+    e = F.col("embedding").cast("array<double>")
+    some = rows.where("embedding IS NOT NULL").select("vec_id", e.alias("embedding")).where(F.exists("embedding", lambda x: x != 0))
+    members = some.groupBy("embedding").agg(F.min("vec_id").alias("class"))
+    classes = written(members.select(F.col("class").alias("vec_id"), "embedding"), "classes")
+    member = some.join(members, "embedding").select("class", "vec_id")
+    picked = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    if not picked:
+        return classes.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(0.0).alias("score")).limit(0), member, classes.select(F.lit(0).alias("cell"), F.lit(0).cast("long").alias("compared")).limit(0)
+    p = _unit(np.array([r.embedding for r in picked], dtype=np.float64))
+    r = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6  # room for rounding: a bound may only keep too much
+    sent = rows.sparkSession.sparkContext.broadcast(p)  # ``pivots`` vectors
+
+    def near(batches: Iterator[pa.RecordBatch], bounds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        gap = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
+        for batch in batches:
+            m = _unit(_matrix(batch.column(1), p.shape[1]))
+            d = np.sqrt(np.maximum(2 - 2 * m @ p.T, 0))
+            home = d.argmin(axis=1)
+            own = d[np.arange(len(m)), home]
+            if bounds is None:
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(own)], names=["cell", "far"])
+                continue
+            # a cell of a larger number is visited if its radius, and the plane half way to its pivot, are within r
+            plane = np.divide(d**2 - (own**2)[:, None], 2 * gap[home], out=np.zeros_like(d), where=gap[home] > 0)
+            visit = (np.arange(len(p))[None] > home[:, None]) & (d - bounds[None] <= r) & (plane <= r)
+            visit[np.arange(len(m)), home] = True
+            who, cell = np.nonzero(visit)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column(0).to_numpy()[who]), pa.array(list(m[who]), pa.list_(pa.float64())), pa.array(cell, pa.int32()), pa.array(d[who, cell]), pa.array(cell == home[who])],
+                names=["vec_id", "embedding", "cell", "far", "home"],
+            )
+
+    radius = np.full(len(p), -1.0)
+    for x in classes.select("vec_id", "embedding").mapInArrow(lambda b: near(b, None), "cell int, far double").groupBy("cell").agg(F.max("far").alias("far")).collect():
+        radius[x.cell] = x.far
+    put = written(classes.select("vec_id", "embedding").mapInArrow(lambda b: near(b, radius), "vec_id long, embedding array<double>, cell int, far double, home boolean"), "cells")
+    size = block_rows or _block_rows(classes)
+    cells = put.groupBy("cell").agg(F.ceil(F.count_if("home") / size).cast("int").alias("homes"), F.ceil(F.count("*") / size).cast("int").alias("visits"))
+    met = put.join(F.broadcast(cells), "cell")  # a row a pivot
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), n - 1)).alias(name)
+    keep = ["cell", "vec_id", "embedding", "far"]
+    left = met.where("home").select(*keep, _blocks(met, F.col("homes")).alias("h"), every(F.col("visits"), "v"))
+    right = met.where("homes > 0").select(*keep, "home", _blocks(met, F.col("visits")).alias("v"), every(F.col("homes"), "h"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found, compared = [], 0
+        if a.num_rows and b.num_rows:
+            dim = len(a.column("embedding")[0])
+            a, b = a.sort_by("far"), b.sort_by("far")
+            x, y = (_matrix(t.column("embedding").combine_chunks(), dim) for t in (a, b))
+            fx, fy = a.column("far").to_numpy(), b.column("far").to_numpy()
+            ix, iy, visitor = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy(), ~b.column("home").to_numpy()
+            step = 256
+            for at in range(0, len(x), step):
+                own = slice(at, at + step)
+                lo, hi = np.searchsorted(fy, fx[own][0] - r), np.searchsorted(fy, fx[own][-1] + r, side="right")
+                for to in range(lo, hi, 8192):
+                    other = slice(to, min(hi, to + 8192))
+                    # two of the same cell meet once, at the one of the greater id; a visitor meets all
+                    right_ = (np.abs(fx[own][:, None] - fy[other][None]) <= r) & (visitor[other][None] | (ix[own][:, None] < iy[other][None]))
+                    compared += int(right_.sum())
+                    score = x[own] @ y[other].T
+                    i, j = np.nonzero(right_ & (score >= least))
+                    found.append((ix[own][i], iy[other][j], score[i, j]))
+        i, j, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        cols = [np.append(np.minimum(i, j), -1), np.append(np.maximum(i, j), -1), np.append(s, 0.0), np.append(np.zeros(len(i), np.int64), compared)]
+        return pa.table([pa.array(c) for c in cols], names=["a", "b", "score", "compared"])
+
+    left = left.toDF(*left.columns)  # columns of its own, as both sides come from one table
+    out = written(left.groupBy("cell", "h", "v").cogroup(right.groupBy("cell", "h", "v")).applyInArrow(run, PAIRS), "matches")
+    work = out.where("a = -1 AND b = -1").select("compared")
+    return out.where("b > a").select("a", "b", "score"), member, work
 
 
 def means(rows: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
@@ -112,8 +225,8 @@ def pick_k(n: int, wanted: int | None = None) -> int:
     return min(n, wanted if wanted else max(2, int(math.sqrt(n / 2))))
 
 
-def nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """vec_id, cluster and distance (squared euclidean) to the nearest centroid, ties to the lowest."""
+def nearest(rows: DataFrame, centroids: np.ndarray, keep: bool = False) -> DataFrame:
+    """vec_id, cluster and distance (squared euclidean) to the nearest centroid, ties to the lowest; with ``keep`` the embedding too."""
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,59 +234,90 @@ def nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
         for batch in batches:
             m = _matrix(batch.column(1), c.shape[1])
             d = np.maximum((m**2).sum(1)[:, None] - 2 * m @ c.T + (c**2).sum(1)[None], 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1))], names=["vec_id", "cluster", "distance"])
+            cols = {"vec_id": batch.column(0), "cluster": pa.array(d.argmin(1), pa.int32()), "distance": pa.array(d.min(1))} | ({"embedding": batch.column(1)} if keep else {})
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    vector = f", embedding {rows.schema['embedding'].dataType.simpleString()}" if keep else ""
+    return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id long, cluster int, distance double" + vector)
+
 
-    return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id long, cluster int, distance double")
+def _weighted_seeds(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` of the points, each drawn in proportion to its weight and squared distance to those before; the first point first."""
+    r = np.random.default_rng(seed)
+    chosen = [0]
+    d = ((points - points[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        w = weights * d
+        total = w.sum()
+        nxt = int(np.searchsorted(np.cumsum(w), r.random() * total, side="right")) if total > 0 else int(d.argmax())
+        chosen.append(min(nxt, len(points) - 1))
+        d = np.minimum(d, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
 
 
 def seeds(rows: DataFrame, k: int, seed: int = 42) -> np.ndarray:
-    """``k`` centroids: the row of least vec_id, then rows drawn in proportion to the squared distance to those so far.
+    """``k`` first centroids in ``DRAWS`` + 2 passes, whatever k.
 
-    The draw is a race: the least ``-ln(u) / distance`` wins, with u from a
-    hash of vec_id, step and seed. One pass a centroid; one row comes back.
+    The row of least vec_id is the first candidate. Each of ``DRAWS`` passes adds ``OVERSAMPLED`` times k rows, drawn
+    without replacement in proportion to their squared distance to the candidates: a race, in which the least
+    ``-ln(u) / distance`` win, with u from a hash of vec_id, pass and seed. One more pass counts the rows nearest to
+    each candidate, and from the candidates with these weights k are drawn on the driver, which holds
+    1 + DRAWS * OVERSAMPLED * k vectors and never more than ``CENTROID_BYTES`` of them.
     """
     first = rows.orderBy("vec_id").select("embedding").first()
-    centroids = np.array([first.embedding], dtype=np.float64)
-    for step in range(1, k):
+    found = np.array([first.embedding], dtype=np.float64)
+    if (1 + DRAWS * OVERSAMPLED * k) * found.shape[1] * 8 > CENTROID_BYTES:
+        raise ValueError(f"{k} clusters of {found.shape[1]} dimensions need more than {CENTROID_BYTES} bytes; name a smaller number")
+    for step in range(DRAWS):
         u = (F.pmod(F.xxhash64("vec_id", F.lit(step), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        race = F.when(F.col("distance") > 0, -F.log(u) / F.col("distance")).otherwise(F.lit(float("inf")))
-        won = nearest(rows, centroids).select("vec_id", race.alias("race")).orderBy("race", "vec_id").limit(1)
-        row = rows.join(F.broadcast(won), "vec_id").select("embedding").first()
-        centroids = np.vstack((centroids, np.array([row.embedding], dtype=np.float64)))
-    return centroids
+        far = nearest(rows, found, keep=True).where("distance > 0")
+        won = far.select("vec_id", "embedding", (-F.log(u) / F.col("distance")).alias("race")).orderBy("race", "vec_id").limit(OVERSAMPLED * k)
+        more = [r.embedding for r in sorted(won.collect(), key=lambda r: (r.race, r.vec_id))]
+        if more:
+            found = np.vstack((found, np.array(more, dtype=np.float64)))
+    n = dict(nearest(rows, found).groupBy("cluster").count().collect())
+    return _weighted_seeds(found, np.array([n.get(i, 0) for i in range(len(found))], dtype=np.float64), k, seed)
 
 
 def kmeans(rows: DataFrame, k: int | None = None, most_rounds: int = 50, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
     """(assignments, centroids): Lloyd's iterations until the centroids move less than ``tolerance``.
 
-    Every batch sends back sums and counts by cluster; an empty cluster keeps
-    its centroid. The driver holds k vectors, whatever the rows.
+    A round is one pass: tasks add up the vectors of each cluster, the sums are added on the executors, and the driver
+    gets a row a cluster. An empty cluster keeps its centroid. The assignments are those that made the last move. With
+    k or fewer rows each is a cluster of its own, in order of vec_id. The driver and each task hold the centroids.
     """
-    rows = rows.where("embedding IS NOT NULL").select("vec_id", "embedding")
-    k = pick_k(rows.count(), k)
+    rows = rows.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = rows.count()
+    k = pick_k(n, k)
     if not k:
         return nearest(rows, np.zeros((1, 1))), np.zeros((0, 0))
+    if k >= n:
+        own = rows.orderBy("vec_id").collect()  # k rows at most
+        place = F.row_number().over(Window.orderBy("vec_id")) - 1
+        return rows.select("vec_id", place.cast("int").alias("cluster"), F.lit(0.0).alias("distance")), np.array([r.embedding for r in own], dtype=np.float64)
     centroids = seeds(rows, k, seed)
     for _ in range(most_rounds):
         sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             c = sent.value
-            total, count = np.zeros_like(c), np.zeros(len(c), np.int64)
+            total = np.zeros((len(c), c.shape[1] + 1))  # the last element counts
+            half = (c**2).sum(1)[None]
             for batch in batches:
                 m = _matrix(batch.column(1), c.shape[1])
-                own = ((c**2).sum(1)[None] - 2 * m @ c.T).argmin(1)
-                np.add.at(total, own, m)
-                count += np.bincount(own, minlength=len(c))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.array(count), pa.array(list(total), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
+                own = (half - 2 * m @ c.T).argmin(1)
+                np.add.at(total, own, np.hstack((m, np.ones((len(m), 1)))))
+            some = np.flatnonzero(total[:, -1])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["cluster", "total"])
 
-        sums = rows.mapInArrow(run, "cluster long, n long, total array<double>").where("n > 0")
-        n = dict(sums.groupBy("cluster").agg(F.sum("n")).collect())
+        parts = rows.mapInArrow(run, "cluster long, total array<double>").select("cluster", F.posexplode("total").alias("i", "x"))
+        sums = parts.groupBy("cluster", "i").agg(F.sum("x").alias("x")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("t"))
         moved = centroids.copy()
-        for r in sums.select("cluster", F.posexplode("total").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x")).collect():
-            moved[r.cluster, r.i] = r.x / n[r.cluster]
+        for r in sums.collect():
+            t = np.array([x.x for x in r.t])
+            moved[r.cluster] = t[:-1] / t[-1]
         shift = float(np.linalg.norm(moved - centroids))
-        centroids = moved
+        before, centroids = centroids, moved
         if shift < tolerance:
             break
-    return nearest(rows, centroids), centroids
+    return nearest(rows, before), centroids

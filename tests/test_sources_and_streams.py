@@ -118,7 +118,7 @@ def test_vectors(spark):
     by = {r.vec_id: r.cluster for r in found.collect()}
     assert all((by[a] == by[b]) == (a % 3 == b % 3) for a in by for b in by) and len(centroids) == 3
     assert [vectors.pick_k(n) for n in (0, 1, 2, 50)] == [0, 1, 2, 5] and vectors.pick_k(3, 9) == 3
-    assert vectors.top_k(rows.where("vec_id = 3"), rows, 2, block=1).orderBy("place").select("vec_id").collect()[0].vec_id == 9
+    assert vectors.top_k(rows.where("vec_id = 3"), rows, 2, block_rows=1).orderBy("place").select("vec_id").collect()[0].vec_id == 9
 
 
 def test_taxonomy_rules(spark):
