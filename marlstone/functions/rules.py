@@ -130,7 +130,7 @@ def safe_refusal(reply: Column) -> Column:
 
 
 def valid_slug(slug: Column) -> Column:
-    return F.rlike(slug, F.lit("^[a-z][a-z0-9-]{1,30}[a-z0-9]$"))
+    return F.rlike(slug, F.lit(r"^[a-z][a-z0-9-]{1,30}[a-z0-9]\z")) & ~slug.contains("--")
 
 
 def token_parts(token: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType
 
 from marlstone.functions import columns as C
 from marlstone.operators import tree
+from marlstone.session import written
 
 TOP_CHUNKS, SNIPPET, EXCERPT, TOP_TYPES = 10, 240, 200, 5
 # fixed values: the sentences of a summary, and the parts of a body
@@ -153,6 +154,48 @@ def marked_stale(pages: DataFrame, events: DataFrame) -> DataFrame:
     return hit.withColumn("is_stale", F.col("is_stale") | F.coalesce("_all", F.lit(False)) | F.coalesce("_one", F.lit(False))).select(pages.columns)
 
 
+def gaps(queries: DataFrame, since: Column, least: int = 3, covered: int = 1) -> DataFrame:
+    """Staleness events (tenant, node_ids, affects_all) for nodes that people keep asking about without an answer.
+
+    queries: tenant, node, ts and hits (passages that the node's page gave). A node of ``least`` or more queries since
+    then with fewer hits than ``covered`` is one; its events are a tenant's, and a query without a node asks for none.
+    """
+    open_ = queries.where(F.col("node").isNotNull() & (F.col("ts") >= since) & (F.coalesce("hits", F.lit(0)) < covered))
+    often = open_.groupBy("tenant", "node").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return often.select("tenant", F.array("node").alias("node_ids"), F.lit(False).alias("affects_all"))
+
+
+def served(pages: DataFrame, tenant: str) -> tuple[DataFrame, DataFrame]:
+    """(a tenant's pages as they are, stale ones included and marked; the nodes to rebuild behind them)."""
+    own = pages.where(F.col("tenant") == tenant)
+    return own, own.where("is_stale").select("tenant", "node")
+
+
+def rebuilt(
+    store: DataFrame, walked: DataFrame, members: DataFrame, chunks: DataFrame, changed: DataFrame, now: Column, least: int = 2, centroids: DataFrame | None = None, types: DataFrame | None = None,
+) -> DataFrame:
+    """The store after the nodes in ``changed`` (tenant, id) have other chunks: what a full build would give, at the cost of the part.
+
+    Small nodes hand chunks up, so a change reaches all nodes above; those and the changed ones are built again, from
+    the members of their trees alone, and take the next version. A page whose node has too few chunks now is gone. All
+    other pages stay as they are, but for the related ids of pages in the same trees.
+    """
+    touched = walked.join(changed.select("tenant", "id").distinct(), ["tenant", "id"], "left_semi").select("tenant", "root").distinct()
+    part = written(walked.join(touched, ["tenant", "root"], "left_semi").select(walked.columns), "part")
+    again = written(tree.with_ancestors(part, changed), "again")
+    ids = part.select("tenant", "id")
+    held = tree.rollup(part, members.join(ids, ["tenant", "id"], "left_semi"), least).join(again, ["tenant", "id"], "left_semi")
+    fresh = build(part, held, chunks, now, least, centroids, types)
+    node = again.select("tenant", F.col("id").alias("node"))
+    old = store.join(node, ["tenant", "node"], "left_semi").select("tenant", "page_id", F.col("version").alias("_old")).dropDuplicates(["tenant", "page_id"])
+    fresh = fresh.join(old, ["tenant", "page_id"], "left").withColumn("version", F.coalesce(F.col("_old") + 1, F.col("version")))
+    kept = store.join(node, ["tenant", "node"], "left_anti")
+    near = ids.select("tenant", F.col("id").alias("node"))
+    plain = [c for c in store.columns if c != "related"]
+    linked = written(kept.join(near, ["tenant", "node"], "left_semi").select(plain).unionByName(fresh.select(plain)), "linked")
+    return kept.join(near, ["tenant", "node"], "left_anti").unionByName(with_related(linked, part).select(store.columns))
+
+
 def groups(pages: DataFrame) -> DataFrame:
     """tenant, grp, place and page_id: pages by their first document type, ``Uncategorized`` without one, by title within."""
     grp = F.coalesce(F.get("doc_types", F.lit(0)), F.lit("Uncategorized"))

@@ -43,6 +43,18 @@ def walk(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
     return found.withColumn("place", place).drop("ords")
 
 
+def with_ancestors(walked: DataFrame, some: DataFrame) -> DataFrame:
+    """tenant and id of ``some`` nodes and of all nodes above them; a level a step."""
+    level = some.select("tenant", "id").distinct().join(walked.select("tenant", "id", "parent_id", "depth"), ["tenant", "id"])
+    level = written(level, "level")
+    found = [level]
+    for _ in range(level.agg(F.max("depth")).first()[0] or 0):
+        above = level.where("parent_id IS NOT NULL").select("tenant", F.col("parent_id").alias("id")).distinct()
+        level = written(above.join(walked.select("tenant", "id", "parent_id", "depth"), ["tenant", "id"]), "level")
+        found.append(level)
+    return reduce(DataFrame.union, found).select("tenant", "id").distinct()
+
+
 def faults(nodes: DataFrame, walked: DataFrame) -> DataFrame:
     """tenant, id and fault of nodes that break the tree: duplicate, dangling (no such parent) or cycle (no root reaches them)."""
     twice = nodes.groupBy("tenant", "id").agg(F.count("*").alias("n")).where("n > 1").select("tenant", "id", F.lit("duplicate").alias("fault"))

@@ -140,3 +140,38 @@ FROM u""")
 def page_bodies(spark: SparkSession, d: str) -> DataFrame:
     joined = lambda c: F.array_join(c, ",").alias(c)
     return built(spark, d).select("tenant", "page_id", "node", "title", "slug", "summary", "n_chunks", "source_uri_count", joined("doc_types"), joined("related"), "body")
+
+
+_NEW = "(tenant IN ('de', 'fr') AND doc_id % 9 = 0)"
+
+
+@query(f"""WITH RECURSIVE {_TREE},
+h1 AS MATERIALIZED ({_UP.format(h="h2", depth=2)}), h AS MATERIALIZED ({_UP.format(h="h1", depth=1)}),
+one AS (SELECT tenant, chunk, max(doc_id) AS doc_id FROM c GROUP BY ALL),
+full_ AS MATERIALIZED (SELECT h.tenant, h.id, h.chunk, c.src, row_number() OVER (PARTITION BY h.tenant, h.id ORDER BY round(coalesce(list_cosine_similarity(c.v, nodes.m), 0e0), 9) DESC, c.doc_id, h.chunk) AS place
+      FROM h JOIN one USING (tenant, chunk) JOIN c ON c.tenant = h.tenant AND c.doc_id = one.doc_id JOIN nodes ON nodes.tenant = h.tenant AND nodes.id = h.id),
+a1 AS (SELECT DISTINCT t.tenant, t.id FROM t JOIN c USING (tenant, cluster) WHERE {_NEW}), a AS (SELECT tenant, id FROM a1 UNION SELECT a.tenant, parent_id FROM a JOIN nodes USING (tenant, id) WHERE parent_id IS NOT NULL)
+SELECT tenant, id AS node, count(*) AS n_chunks, count(DISTINCT src) AS source_uri_count, substr(sha256(string_agg(CASE WHEN place <= 10 THEN chunk END, '|' ORDER BY place)), 1, 16) AS fingerprint, (tenant, id) IN (SELECT tenant, id FROM a) AS rebuilt
+FROM full_ GROUP BY tenant, id HAVING count(*) >= 2""")
+def rebuilt_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of a store that lacks some documents of two languages, after the rebuild of the topics that these fall to."""
+    c, nodes, members = _induced(spark, d)
+    walked = written(tree.walk(nodes), "walked")
+    new = F.col("tenant").isin("de", "fr") & (F.col("position") % 9 == 0)
+    known = O.members(c.where(~new), O.labels(c))
+    now = F.lit(NOW).cast("timestamp_ntz")
+    store = written(P.with_related(written(P.build(walked, tree.rollup(walked, known), c.where(~new), now, centroids=nodes), "pages"), walked).withColumn("version", F.lit(7)), "store")
+    changed = O.members(c.where(new), O.labels(c)).select("tenant", "id")
+    pages = P.rebuilt(store, walked, members, c, changed, now, centroids=nodes)
+    mark = F.regexp_extract("summary", "Content fingerprint: ([0-9a-f]+)", 1)
+    return pages.select("tenant", "node", "n_chunks", "source_uri_count", mark.alias("fingerprint"), (F.col("version") != 7).alias("rebuilt"))
+
+
+@query("""WITH q AS (SELECT d.lang AS tenant, d.source AS node, c.conv_id, c.turn FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE c.turn >= 1)
+SELECT tenant, node FROM q WHERE conv_id % 3 > 0 GROUP BY tenant, node HAVING count(*) >= 3""")
+def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as queries about the source of the document of the conversation's number; turn 0 is too old, every third conversation found an answer."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("lang").alias("tenant"), F.col("source").alias("node"))
+    q = read(spark, d, "conversations").join(docs, "conv_id")
+    q = q.select("tenant", "node", F.timestamp_seconds("turn").alias("ts"), F.when(F.col("conv_id") % 3 == 0, 2).alias("hits"))
+    return P.gaps(q, F.timestamp_seconds(F.lit(1))).select("tenant", F.explode("node_ids").alias("node"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.stub_embedding import stub_embedding
 from marlstone.plans.queries import _BEST, best_types, query, read
+from marlstone.streaming import watch
 
 SINCE = "2024-01-10 00:00:00"
 TOKENS = ("de", "a", "wiki")
@@ -104,3 +105,18 @@ def stub_embeddings(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "documents").select("doc_id", stub_embedding(F.col("text")).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
     return e.select("doc_id", F.size("e").cast("long").alias("dims"), F.round(total, 6).alias("total"), F.round(F.element_at("e", -1), 9).alias("last"))
+
+
+@query("""WITH s AS (SELECT user_id::VARCHAR AS uri, epoch_us(date_trunc('day', ts)) // 86400000000 AS day, count(*)::VARCHAR AS etag FROM events WHERE event_type <> 'view' GROUP BY ALL),
+t AS (SELECT uri, etag, day - min(day) OVER () AS tick FROM s), l AS (SELECT max(tick) AS last FROM t),
+c AS (SELECT coalesce(n.uri, p.uri) AS uri, coalesce(n.tick, p.tick + 1) AS tick, CASE WHEN p.uri IS NULL THEN 'added' WHEN n.uri IS NULL THEN 'deleted' WHEN n.etag <> p.etag THEN 'modified' END AS kind, n.etag AS etag, p.etag AS prior_etag
+  FROM t n FULL JOIN t p ON n.uri = p.uri AND n.tick = p.tick + 1)
+SELECT uri, tick, kind, etag, prior_etag FROM c, l WHERE kind IS NOT NULL AND tick <= last""")
+def change_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """A day is a tick and lists the users with an event that is no view; the number of such events is the etag."""
+    e = read(spark, d, "events").where("event_type <> 'view'")
+    day = F.unix_date(F.col("ts").cast("date")).cast("long")
+    s = e.groupBy(F.col("user_id").cast("string").alias("uri"), day.alias("day")).agg(F.count("*").cast("string").alias("etag"))
+    first = s.agg(F.min("day").alias("first"))
+    t = s.join(F.broadcast(first)).select((F.col("day") - F.col("first")).alias("tick"), "uri", "etag")  # one row on the right
+    return watch.replayed(t).select("uri", "tick", "kind", "etag", "prior_etag")
