@@ -7,8 +7,13 @@ neighbouring tokens are chained, and tokens that repeat or resemble each other
 joined by skip edges, wherever in the document they stand. Tokens of base
 spans are observed; sum-product messages run over chains and skips until they
 settle, for as many rounds as there are tokens at least, so a witness is heard
-throughout a document. A token that is no base span and is more likely some
-kind than none becomes a further span.
+throughout a document. A token that is no base span becomes a further span if
+it is more likely some kind than none. Without a witness, that is a base span
+among the tokens that skip edges lead to, it also has to be as likely as a
+threshold asks that is learned too: on every ``HELD_OUT``-th document of the
+sample the labels are hidden, and the threshold is the least one at which
+``PRECISE`` of the spans found there by form and chains are base spans. So a
+number with the form of a card but a wrong check digit needs a witness.
 
 Weights are learned here by pseudo-likelihood: a softmax over a token's form
 and its neighbours' and twins' labels, from base spans of at most ``TRAIN_DOCS``
@@ -16,8 +21,7 @@ documents of at most ``TRAIN_CHARS`` characters (the first by a hash).
 Tokens are joined to the next of their like, and to the first observed one of
 each kind among their like, so edges stay linear.
 
-Texts without any base span are labelled too, by form and chains alone, so a
-number with the form of a card but a wrong check digit can become a span.
+Texts without any base span are labelled too, by form and chains alone.
 
 Messages that still change after as many rounds as there are tokens and
 ``SWINGS`` more swing for ever: a token that hears one becomes no further span.
@@ -50,6 +54,7 @@ LABELS = len(KINDS) + 1  # 0: none
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 FEATURES = 512
 SETTLED, SWINGS = 1e-4, 200
+HELD_OUT, PRECISE = 4, 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -186,6 +191,7 @@ class Field:
         self.form = np.zeros((FEATURES, LABELS))
         self.chain = np.zeros((LABELS, LABELS))
         self.skip = np.zeros((LABELS, LABELS))
+        self.least = 0.0  # how likely a further span's kind has to be
 
     def unary(self, text: str, toks: list[tuple[int, int]]) -> np.ndarray:
         return np.array([self.form[_form(text, a, b)].sum(axis=0) for a, b in toks])
@@ -233,11 +239,47 @@ class Field:
         seen = observed(toks, spans)
         if (seen > 0).all():
             return []
-        chain = np.array([(i, i + 1) for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] <= 2], dtype=np.int64).reshape(-1, 2)
-        skip = np.array(skips(text, toks, seen), dtype=np.int64).reshape(-1, 2)
+        chain, skip = self.edges(text, toks, seen)
         p = self.beliefs(self.unary(text, toks), seen, chain, skip)
         best = p.argmax(axis=1)
-        return [(toks[i][0], int(best[i]) - 1, toks[i][1]) for i in np.flatnonzero((seen == 0) & (best > 0)).tolist()]
+        heard = seen > 0
+        while len(skip):  # along the skip edges from the base spans on
+            more = heard.copy()
+            more[skip[:, 0]] |= heard[skip[:, 1]]
+            more[skip[:, 1]] |= heard[skip[:, 0]]
+            if (more == heard).all():
+                break
+            heard = more
+        sure = (seen == 0) & (best > 0) & (heard | (p.max(axis=1) >= self.least))
+        return [(toks[i][0], int(best[i]) - 1, toks[i][1]) for i in np.flatnonzero(sure).tolist()]
+
+    @staticmethod
+    def edges(text: str, toks: list[tuple[int, int]], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chain and skip edges of a text's tokens."""
+        chain = np.array([(i, i + 1) for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] <= 2], dtype=np.int64).reshape(-1, 2)
+        return chain, np.array(skips(text, toks, seen), dtype=np.int64).reshape(-1, 2)
+
+
+def least_sure(field: Field, texts: list[str], precise: float = PRECISE) -> float:
+    """The least belief from which on ``precise`` of the kinds that the field gives to hidden tokens are those of the patterns.
+
+    It lies half way to the next belief below; 0 where nothing is to be kept out.
+    """
+    found: list[tuple[float, bool]] = []
+    for t in texts:
+        if toks := tokens(t):
+            none = np.zeros(len(toks), dtype=np.int64)
+            p = field.beliefs(field.unary(t, toks), none, *field.edges(t, toks, none))
+            best, truth = p.argmax(axis=1), observed(toks, base_spans(t))
+            found += [(float(p[i, best[i]]), bool(best[i] == truth[i])) for i in np.flatnonzero(best > 0).tolist()]
+    found.sort(reverse=True)
+    right, least = 0, 1.0
+    for n, (p, ok) in enumerate(found, 1):
+        right += ok
+        after = found[n][0] if n < len(found) else -p  # below the last there is nothing to keep out
+        if right >= precise * n and after < p:
+            least = (p + after) / 2
+    return least if found else 0.0
 
 
 def learn(texts: list[str], rounds: int = 150, rate: float = 0.5, l2: float = 1e-3) -> Field:
@@ -291,7 +333,10 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) ->
     ids = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= chars)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars)
     got = some.groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # one text an id
-    return learn([r["text"] for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))])
+    texts = [r["text"] for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
+    field = learn([t for k, t in enumerate(texts) if k % HELD_OUT])
+    field.least = least_sure(field, texts[::HELD_OUT])
+    return field
 
 
 def _cleaned(text: str, spans: list[Span]) -> str:
