@@ -203,6 +203,13 @@ def groups(pages: DataFrame) -> DataFrame:
     return pages.withColumn("grp", grp).withColumn("place", F.row_number().over(w)).select("tenant", "grp", "place", "page_id")
 
 
+def searched(pages: DataFrame, asked: str) -> DataFrame:
+    """pages whose title or summary holds what is asked for, whatever its case, with their place in the tenant's list; a blank question finds none."""
+    low = asked.strip().lower()
+    hit = F.contains(F.lower("title"), F.lit(low)) | F.contains(F.lower("summary"), F.lit(low)) if low else F.lit(False)
+    return pages.where(hit).withColumn("place", F.row_number().over(Window.partitionBy("tenant").orderBy(F.lower("title"), "page_id")))
+
+
 def listed(pages: DataFrame, tenant: str, slug: str | None = None, node: str | None = None) -> DataFrame:
     """Pages of a tenant by slug, or else by node; one of the two must be given."""
     if slug is None and node is None:

@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import rules
 from marlstone.functions.columns import clamp01
+from marlstone.operators import envelopes
 
 DEFAULT = "general_document"
 
@@ -104,8 +106,32 @@ def merged_alternatives(all_scores: Column, predicted: Column, given: Column, mo
     return F.slice(F.array_sort(top), 1, most)
 
 
-def adjudicate(all_scores: Column, predicted: Column, confidence: Column) -> dict[str, Column]:
-    """Columns confidence (adjusted), reason and the six signals of a classifier's answer."""
+# fixed values: the parts of a prompt, and how much of a text it shows
+PROMPT = "TAXONOMY (pick exactly one):\n%s\n\nSOURCE URI: %s\n\nEXTRACTED FIELDS:\n%s\n\nDOCUMENT TEXT%s:\n%s\n\nRespond with the JSON object as instructed.\n"
+SHOWN = 6000
+
+
+def prompt(text: Column, uri: Column, fields: Column, types: tuple[tuple[str, str], ...], catch_all: tuple[str, ...] = (), most: int = SHOWN) -> Column:
+    """What a model is asked: the types (name, description) in order, catch-alls marked, the extracted fields as sorted JSON, and the text's beginning."""
+    line = lambda name, told: f"- {name}{' (catch-all)' if name in catch_all else ''}: {' '.join(told.strip().split(chr(10)))}"
+    listed = "\n".join(line(*t) for t in types)
+    whole = F.coalesce(text, F.lit(""))
+    cut = F.when(F.length(whole) > most, " (truncated)").otherwise("")
+    source = F.when(F.coalesce(uri, F.lit("")) != "", uri).otherwise("(unknown)")
+    return F.format_string(PROMPT, F.lit(listed), source, F.coalesce(envelopes.canonical(fields), F.lit("{}")), cut, F.left(whole, F.lit(most)))
+
+
+NO_GIVEN = "array<struct<type:string,confidence:double>>"
+
+
+def adjudicate(all_scores: Column, predicted: Column, confidence: Column, given: Column | None = None, error: Column | None = None) -> dict[str, Column]:
+    """Columns confidence (adjusted), reason and the signals of a classifier's answer.
+
+    ``given``: its alternatives. ``error``: its own verdict; NOVEL_PATTERN, for an answer that could not be read, ends
+    the judgement: confidence and verdict stay, and of the signals only three are told.
+    """
+    given = F.array().cast(NO_GIVEN) if given is None else given
+    failed = F.lit(False) if error is None else F.coalesce(error == "NOVEL_PATTERN", F.lit(False))
     top, other, own = best(all_scores), second(all_scores), score_of(all_scores, predicted)
     gap = F.greatest(F.lit(0.0), top["score"] - own)
     novel = (top["score"] >= NOVEL) & (own < NOVEL) & (gap >= DISAGREEMENT)
@@ -114,11 +140,26 @@ def adjudicate(all_scores: Column, predicted: Column, confidence: Column) -> dic
     adjusted = F.when(novel | apart, F.greatest(F.lit(0.0), confidence - gap)).otherwise(confidence)
     reason = F.when(novel, "NOVEL_PATTERN").when(apart | close, "TIE_BETWEEN_TYPES").when(adjusted < LOW_CONFIDENCE, "LOW_CONFIDENCE")
     likely = (top["score"] > 0).cast("int") + (other > 0).cast("int")
+    told = lambda c, otherwise=None: F.when(failed, otherwise).otherwise(c)
     return {
-        "confidence": clamp01(adjusted),
-        "reason": reason,
-        "header_match_score": clamp01(own),
-        "keyword_density": clamp01(top["score"]),
-        "structural_complexity": 1.0 - 1.0 / (1.0 + likely),
-        "heuristic_agreement": clamp01(1.0 - gap),
+        "confidence": F.when(failed, confidence).otherwise(clamp01(adjusted)),
+        "reason": F.when(failed, "NOVEL_PATTERN").otherwise(reason),
+        "header_match_score": told(clamp01(own), clamp01(top["score"])),
+        "keyword_density": told(clamp01(top["score"])),
+        "structural_complexity": told(1.0 - 1.0 / (1.0 + likely)),
+        "llm_confidence": told(clamp01(confidence)),
+        "heuristic_agreement": told(clamp01(1.0 - gap), F.lit(0.0)),
+        "alt_count": told(clamp01(F.size(given) / 3.0)),
+        "llm_error": F.when(failed, 1.0),
     }
+
+
+def classified(docs: DataFrame, types: tuple[DocType, ...] = LANGUAGE_TYPES, most: int = 3) -> DataFrame:
+    """docs (text, uri and answer, a model's reply) with predicted, alternatives and what ``adjudicate`` tells, from text to verdict."""
+    told = rules.answer(F.col("answer"), tuple(t.name for t in types), most)
+    read = docs.select("*", scores(F.col("text"), F.col("uri"), types).alias("_scores"), told.alias("_told"))
+    found = adjudicate(F.col("_scores"), F.col("_told.type"), F.col("_told.confidence"), F.col("_told.alternatives"), F.col("_told.error"))
+    failed = F.coalesce(F.col("_told.error") == "NOVEL_PATTERN", F.lit(False))
+    merged = merged_alternatives(F.col("_scores"), F.col("_told.type"), F.col("_told.alternatives"), most)
+    alternatives = F.when(failed, F.array().cast(NO_GIVEN)).otherwise(F.transform(merged, lambda x: F.struct(x["type"].alias("type"), (-x["less"]).alias("confidence"))))
+    return read.select(*docs.columns, F.col("_told.type").alias("predicted"), alternatives.alias("alternatives"), *[c.alias(n) for n, c in found.items()])

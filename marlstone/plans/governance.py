@@ -30,13 +30,36 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH u AS (SELECT user_id, count(*) AS n, list(event_id % 3) AS f, count(*) FILTER (event_type = 'purchase') AS i, count(*) FILTER (event_type = 'click') AS s {_BY_USER})
 SELECT user_id, least(n, 64) AS depth, {_NODES.format('n')} AS node_count_bucket, least(1e0, {_Q.format('f', '5e-1').replace('e-1e0', 'e-1')}) AS branching_factor_p50, least(1e0, {_Q.format('f', '95e-2').replace('e-2e0', 'e-2')}) AS branching_factor_p95,
   round(CASE WHEN len(list_filter(f, lambda x: x > 0)) > 0 THEN least(1e0, len(list_filter(f, lambda x: x = 0)) / len(list_filter(f, lambda x: x > 0))) ELSE 0 END, 6) AS leaf_to_internal_ratio,
-  CASE WHEN i + s > 0 THEN round(i / (i + s), 6) END AS induced_vs_seed_ratio FROM u""")
+  CASE WHEN i + s > 0 THEN round(i / (i + s), 6) END AS induced_vs_seed_ratio, 'category:' || len(list_filter(f, lambda x: x = 0)) || ',entity:' || len(list_filter(f, lambda x: x = 1)) || ',topic:' || len(list_filter(f, lambda x: x = 2)) AS kind_distribution FROM u""")
 def sig_ontology_shape(spark: SparkSession, d: str) -> DataFrame:
-    """A user's events as nodes: event_id % 3 stands for children, purchases for induced nodes, clicks for seed ones."""
-    n = lambda t: F.count(F.when(F.col("event_type") == t, 1))
-    u = _events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.collect_list((F.col("event_id") % 3).cast("double")).alias("f"), n("purchase").alias("i"), n("click").alias("s"))
-    s = signatures.ontology_shape(F.col("n"), F.col("n"), F.col("f"), F.col("i"), F.col("s"))
-    return u.select("user_id", *[(F.round(c, 6) if n.endswith("ratio") else c).alias(n) for n, c in s.items()])
+    """A user's events as nodes: event_id % 3 stands for children and for the kind, purchases for induced nodes, clicks for seed ones."""
+    e = _events(spark, d).withColumn("f", F.col("event_id") % 3)
+    n = lambda cond, name: F.count_if(cond).alias(name)
+    u = e.groupBy("user_id").agg(F.count("*").alias("n"), n(F.col("event_type") == "purchase", "i"), n(F.col("event_type") == "click", "s"), *[n(F.col("f") == k, f"f{k}") for k in range(3)])
+    u = u.join(signatures.ranked(e, ["user_id"], "f", {"p50": 0.5, "p95": 0.95}), "user_id")
+    kinds = F.create_map(F.lit("category"), F.col("f0"), F.lit("entity"), F.col("f1"), F.lit("topic"), F.col("f2"))
+    s = signatures.ontology_shape(F.col("n"), F.col("n"), F.col("p50"), F.col("p95"), F.col("f0"), F.col("f1") + F.col("f2"), F.col("i"), F.col("s"), kinds)
+    shown = F.array_join(F.transform(F.map_entries(s["kind_distribution"]), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return u.select("user_id", *[(shown if n == "kind_distribution" else F.round(c, 6) if n.endswith("ratio") else c).alias(n) for n, c in s.items()])
+
+
+_GENERIC = {"view": "drawing", "click": "rfi", "purchase": "drawing"}
+_NAMED = "CASE event_type WHEN 'view' THEN 'drawing' WHEN 'click' THEN 'rfi' WHEN 'purchase' THEN 'drawing' ELSE 'other' END"
+_BUCKET = "CASE WHEN {0} = 0 THEN '0' WHEN {0} <= 10 THEN '1-10' WHEN {0} <= 50 THEN '11-50' WHEN {0} <= 200 THEN '51-200' WHEN {0} <= 1000 THEN '201-1000' ELSE '1000+' END"
+
+
+@query("WITH u AS (SELECT user_id, count(*) AS n, list(value / 1e2) AS cs, " + ", ".join(f"count(*) FILTER ({_NAMED} = '{t}') AS {t}" for t in signatures.DOC_TYPES) + f""" FROM events GROUP BY user_id)
+SELECT user_id, {" || ',' || ".join(f"'{t}:' || {_BUCKET.format(t)}" for t in sorted(signatures.DOC_TYPES))} AS generic_type_counts, CASE WHEN n <= 10 THEN '1-10' WHEN n <= 50 THEN '11-50' WHEN n <= 200 THEN '51-200' WHEN n <= 1000 THEN '201-1000' WHEN n <= 10000 THEN '1001-10000' ELSE '10000+' END AS total_documents_bucket,
+round(greatest(0, least(1, {_Q.format('cs', '5e-1').replace('e-1e0', 'e-1')})), 6) AS classifier_confidence_p50, round(greatest(0, least(1, {_Q.format('cs', '1e-1').replace('e-1e0', 'e-1')})), 6) AS classifier_confidence_p10 FROM u""")
+def sig_document_types(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as documents, their types as the tenant's names of types, two of which mean the same; values are confidences."""
+    e = _events(spark, d).withColumn("c", F.col("value") / 100)
+    n = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    u = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("counts"), F.sum("n").alias("n"))  # a pair a type
+    u = u.join(signatures.ranked(e, ["user_id"], "c", {"p50": 0.5, "p10": 0.1}), "user_id", "left")
+    s = signatures.document_types(F.col("counts"), F.col("n"), F.col("p50"), F.col("p10"), _GENERIC)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(s["generic_type_counts"])), lambda x: F.concat(x["key"], F.lit(":"), x["value"])), ",")
+    return u.select("user_id", shown.alias("generic_type_counts"), s["total_documents_bucket"].alias("total_documents_bucket"), *[F.round(s[f"classifier_confidence_{p}"], 6).alias(f"classifier_confidence_{p}") for p in ("p50", "p10")])
 
 
 _RAW = "'<' || event_type || '>-<Phase>_' || CASE WHEN event_id % 5 = 0 THEN '<open' ELSE 'Rev' || (event_id % 10) END"
@@ -71,8 +94,9 @@ _TYPE = "CASE {0} WHEN 'view' THEN 'drawing' WHEN 'click' THEN 'rfi' ELSE 'other
 def sig_relationship_schema(spark: SparkSession, d: str) -> DataFrame:
     """Steps from one event to the user's next are the edges."""
     step = _events(spark, d).select("user_id", F.col("event_type").alias("source"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("target"), F.least(F.lit(1.0), F.col("value") / 100).alias("v"))
-    e = step.where("target IS NOT NULL").groupBy("user_id", "source", "target").agg(F.count("*").alias("n"), F.collect_list("v").alias("confidences"))
-    one = e.select("user_id", "source", "target", F.array(F.struct("source", "target", F.lit("next").alias("relation"), "n", "confidences")).alias("edges"))
+    step = step.where("target IS NOT NULL")
+    e = step.groupBy("user_id", "source", "target").agg(F.count("*").alias("n")).join(signatures.ranked(step, ["user_id", "source", "target"], "v", {"p50": 0.5}), ["user_id", "source", "target"])
+    one = e.select("user_id", "source", "target", F.array(F.struct("source", "target", F.lit("next").alias("relation"), "n", "p50")).alias("edges"))
     s = signatures.relationship_schema(F.col("edges"), {"view": "drawing", "click": "rfi"}, {"next": "references"})
     return one.select(F.col("user_id"), F.concat("source", F.lit(">"), "target").alias("edge"), F.inline(s)).withColumn("confidence_p50", F.round("confidence_p50", 6))
 
@@ -92,9 +116,9 @@ SELECT p.user_id, type_a, type_b, round(confused / n, 6) AS confusion_rate, roun
 def sig_classifier_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     step = e.select("user_id", F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("b")).where("b IS NOT NULL").groupBy("user_id", "a", "b").agg(F.count("*").alias("confused"))
-    t = e.groupBy("user_id").agg(F.count("*").alias("n"), F.collect_list(F.least(F.lit(1.0), F.col("value") / 100)).alias("cs"))
+    t = e.groupBy("user_id").agg(F.count("*").alias("n")).join(signatures.ranked(e.withColumn("v", F.least(F.lit(1.0), F.col("value") / 100)), ["user_id"], "v", {"p10": 0.1}), "user_id")
     u = step.join(t, "user_id").withColumn("pairs", F.array(F.struct("a", "b", "confused", F.col("n").alias("total"))))
-    s = signatures.classifier_uncertainty(F.col("pairs"), F.col("cs"), F.col("n"), {"view": "drawing", "click": "rfi"})
+    s = signatures.classifier_uncertainty(F.col("pairs"), F.col("p10"), F.col("n"), {"view": "drawing", "click": "rfi"})
     out = u.select("user_id", F.inline(s["uncertain_pairs"]), F.round(s["overall_confidence_p10"], 6).alias("overall_confidence_p10"), s["sampled_documents_bucket"].alias("sampled_documents_bucket"))
     return out.withColumn("confusion_rate", F.round("confusion_rate", 6))
 
@@ -104,8 +128,9 @@ SELECT tenant, {_Q.format('ns', '5e-1').replace('e-1e0', 'e-1')}::INT AS chunks_
 def sig_pipeline_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Conversations are documents and their turns chunks; one with a system turn counts as failed, one of a single turn as unassigned."""
     c = read(spark, d, "conversations").groupBy((F.col("conv_id") % 10).alias("tenant"), "conv_id").agg(F.count("*").cast("double").alias("n"), F.bool_or(F.col("role") == "system").alias("sys"))
-    t = c.groupBy("tenant").agg(F.collect_list("n").alias("ns"), F.count("*").alias("docs"), F.count(F.when(F.col("sys"), 1)).alias("failed"), F.count(F.when(F.col("n") < 2, 1)).alias("un"))
-    s = signatures.pipeline_metrics(F.col("ns"), F.col("docs"), F.col("failed"), F.col("un"))
+    t = c.groupBy("tenant").agg(F.count("*").alias("docs"), F.count(F.when(F.col("sys"), 1)).alias("failed"), F.count(F.when(F.col("n") < 2, 1)).alias("un"))
+    t = t.join(signatures.ranked(c, ["tenant"], "n", {"p50": 0.5, "p95": 0.95}), "tenant")
+    s = signatures.pipeline_metrics(F.col("p50"), F.col("p95"), F.col("docs"), F.col("failed"), F.col("un"))
     return t.select("tenant", *[(F.round(x, 6) if k.endswith("rate") else x).alias(k) for k, x in s.items()])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import ontology as O
 from marlstone.operators import pages as P
 from marlstone.operators import tree
-from marlstone.plans.queries import _BEST, best_types, query, read
+from marlstone.plans.queries import _BEST, ORACLE, best_types, query, read
 from marlstone.plans.wiki import NOW
 from marlstone.session import written
 
@@ -175,3 +175,9 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     q = read(spark, d, "conversations").join(docs, "conv_id")
     q = q.select("tenant", "node", F.timestamp_seconds("turn").alias("ts"), F.when(F.col("conv_id") % 3 == 0, 2).alias("hits"))
     return P.gaps(q, F.timestamp_seconds(F.lit(1))).select("tenant", F.explode("node_ids").alias("node"))
+
+
+@query(f"""SELECT tenant, node, title, row_number() OVER (PARTITION BY tenant ORDER BY lower(title), page_id) AS place FROM ({ORACLE['page_bodies']}) WHERE contains(lower(title), 'cluster_e') OR contains(lower(summary), 'cluster_e')""")
+def wiki_search(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose title or summary holds a string, whatever its case, in the order of a tenant's list."""
+    return P.searched(built(spark, d), " Cluster_E").select("tenant", "node", "title", "place")

@@ -101,12 +101,48 @@ k AS (SELECT *, greatest(0e0, top - own) AS gap FROM g),
 r AS (SELECT *, top >= 5e-2 AND own < 5e-2 AND gap >= 25e-2 AS novel, predicted <> best AND gap >= 25e-2 AS apart, top > 0 AND nxt > 0 AND top - nxt < 1e-1 AND given < 55e-2 + 15e-2 AS tied FROM k),
 c AS (SELECT *, CASE WHEN novel OR apart THEN greatest(0e0, given - gap) ELSE given END AS adjusted FROM r)
 SELECT doc_id, predicted, round(least(1e0, adjusted), 6) AS confidence, CASE WHEN novel THEN 'NOVEL_PATTERN' WHEN apart OR tied THEN 'TIE_BETWEEN_TYPES' WHEN adjusted < 55e-2 THEN 'LOW_CONFIDENCE' END AS reason,
-       round(own, 6) AS header_match_score, round(top, 6) AS keyword_density, round(1 - 1 / (1 + (top > 0)::INT + (nxt > 0)::INT)::DOUBLE, 6) AS structural_complexity, round(1 - gap, 6) AS heuristic_agreement FROM c""")
+       round(own, 6) AS header_match_score, round(top, 6) AS keyword_density, round(1 - 1 / (1 + (top > 0)::INT + (nxt > 0)::INT)::DOUBLE, 6) AS structural_complexity, round(1 - gap, 6) AS heuristic_agreement, round(given, 6) AS llm_confidence, 0e0 AS alt_count, NULL::DOUBLE AS llm_error FROM c""")
 def adjudicate(spark: SparkSession, d: str) -> DataFrame:
     found = taxonomy.adjudicate(F.col("scores"), F.col("predicted"), F.col("given"))
     return _answers(spark, d).select("doc_id", "predicted", *[(c if n == "reason" else F.round(c, 6)).alias(n) for n, c in found.items()])
 
 
+_LISTED = (("english", "Prose in\nEnglish "), ("general_document", "Anything else"))
+
+
+@query(f"""SELECT doc_id, sha256('TAXONOMY (pick exactly one):' || chr(10) || '- english: Prose in English' || chr(10) || '- general_document (catch-all): Anything else' || chr(10) || chr(10) || 'SOURCE URI: ' || CASE WHEN doc_id % 4 = 0 THEN '(unknown)' ELSE doc_id || '.txt' END || chr(10) || chr(10) || 'EXTRACTED FIELDS:' || chr(10)
+|| '{{"a": ' || doc_id || ', "lang": "' || lang || '"}}' || chr(10) || chr(10) || 'DOCUMENT TEXT' || CASE WHEN length(text) > {taxonomy.SHOWN} THEN ' (truncated)' ELSE '' END || ':' || chr(10) || left(text, {taxonomy.SHOWN}) || chr(10) || chr(10) || 'Respond with the JSON object as instructed.' || chr(10)) AS prompt_sha256 FROM documents""")
+def classify_prompts(spark: SparkSession, d: str) -> DataFrame:
+    uri = F.when(F.col("doc_id") % 4 > 0, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    fields = F.format_string('{"lang":"%s","a":%d}', "lang", "doc_id")
+    told = taxonomy.prompt(F.col("text"), uri, fields, _LISTED, ("general_document",))
+    return read(spark, d, "documents").select("doc_id", F.sha2(told, 256).alias("prompt_sha256"))
+
+
+@query(f"""WITH {_SCORES}, m AS (SELECT doc_id, doc_id % 7 AS k, (doc_id % 11) / 1e1 AS c FROM documents),
+p AS (SELECT doc_id, k, CASE WHEN k IN (5, 6) THEN 'unclassified' ELSE ['english', 'french_text', 'german_text', 'spanish'][k % 4 + 1] END AS predicted, CASE k WHEN 6 THEN 0e0 WHEN 3 THEN 5e-1 ELSE c END AS given, k = 6 AS failed, CASE WHEN k IN (3, 4) THEN 1 ELSE 0 END AS alts FROM m),
+h AS (SELECT s.*, predicted, given, failed, alts, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS place FROM s JOIN p USING (doc_id)),
+g AS (SELECT doc_id, predicted, given, failed, alts, max(score) AS top, max(CASE WHEN place = 1 THEN CASE WHEN score > 0 THEN type ELSE 'general_document' END END) AS best, max(CASE WHEN place = 2 THEN score END) AS nxt, coalesce(max(CASE WHEN type = predicted THEN score END), 0) AS own FROM h GROUP BY ALL),
+k AS (SELECT *, greatest(0e0, top - own) AS gap FROM g),
+r AS (SELECT *, top >= 5e-2 AND own < 5e-2 AND gap >= 25e-2 AS novel, predicted <> best AND gap >= 25e-2 AS apart, top > 0 AND nxt > 0 AND top - nxt < 1e-1 AND given < 55e-2 + 15e-2 AS tied FROM k),
+c AS (SELECT *, CASE WHEN novel OR apart THEN greatest(0e0, given - gap) ELSE given END AS adjusted FROM r),
+a AS (SELECT doc_id, type, score FROM h WHERE score > 0 AND type <> predicted AND NOT failed UNION ALL SELECT doc_id, 'spanish', 35e-2 FROM p WHERE alts = 1 AND predicted <> 'spanish'),
+t AS (SELECT doc_id, type, max(score) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY max(score) DESC, type) AS place FROM a GROUP BY doc_id, type),
+l AS (SELECT doc_id, string_agg(type, ',' ORDER BY place) AS alternatives FROM t WHERE place <= 3 GROUP BY doc_id)
+SELECT doc_id, predicted, coalesce(alternatives, '') AS alternatives, round(CASE WHEN failed THEN given ELSE least(1e0, adjusted) END, 6) AS confidence, CASE WHEN failed OR novel THEN 'NOVEL_PATTERN' WHEN apart OR tied THEN 'TIE_BETWEEN_TYPES' WHEN adjusted < 55e-2 THEN 'LOW_CONFIDENCE' END AS reason,
+  round(CASE WHEN failed THEN top ELSE own END, 6) AS header_match_score, round(CASE WHEN failed THEN 0 ELSE 1 - gap END, 6) AS heuristic_agreement, CASE WHEN NOT failed THEN round(alts / 3e0, 6) END AS alt_count, CASE WHEN failed THEN 1e0 END AS llm_error FROM c LEFT JOIN l USING (doc_id)""")
+def classified_documents(spark: SparkSession, d: str) -> DataFrame:
+    """From text and a model's reply to the verdict: replies with and without alternatives and confidence, of an unknown type, and unreadable ones."""
+    k, c = F.col("doc_id") % 7, F.format_string("%.1f", (F.col("doc_id") % 11) / 10.0)
+    name = F.get(F.array(*[F.lit(t.name) for t in taxonomy.LANGUAGE_TYPES]), (k % 4).cast("int"))
+    alts = F.lit(', "alternatives": [{"type": "spanish", "confidence": 0.35}, {"type": "klingon", "confidence": 0.9}]')
+    told = F.concat(F.lit('Here: {"type": "'), F.when(k == 5, "klingon").otherwise(name), F.lit('"'), F.when(k == 3, "").otherwise(F.concat(F.lit(', "confidence": '), c)), F.when(k.isin(3, 4), alts).otherwise(""), F.lit("} done"))
+    docs = read(spark, d, "documents").select("doc_id", "text", F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("uri"), F.when(k == 6, "sorry").otherwise(told).alias("answer"))
+    r = lambda n: F.round(n, 6).alias(n)
+    names = F.array_join(F.transform("alternatives", lambda x: x["type"]), ",").alias("alternatives")
+    return taxonomy.classified(docs).select("doc_id", "predicted", names, r("confidence"), "reason", r("header_match_score"), r("heuristic_agreement"), r("alt_count"), "llm_error")
+
+
 @query(_ANSWERS + """, c AS (SELECT doc_id, type, score FROM h WHERE score > 0 AND type <> predicted UNION ALL SELECT DISTINCT doc_id, 'spanish', given FROM h WHERE predicted <> 'spanish'),
 t AS (SELECT doc_id, type, max(score) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY max(score) DESC, type) AS place FROM c GROUP BY doc_id, type)
 SELECT doc_id, type, score, place FROM t WHERE place <= 3""")
@@ -215,9 +251,10 @@ def signature_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"SELECT * FROM ({_GROUPS}) WHERE tenants >= 3 AND observations >= 25 AND confidence >= 0.4")
+@query(f"SELECT * FROM ({_GROUPS}) WHERE tenants >= 3 AND observations >= 25 AND confidence >= CASE WHEN domain = 0 THEN 3e-1 ELSE 65e-2 END")
 def threshold_groups(spark: SparkSession, d: str) -> DataFrame:
-    return signature_groups(spark, d).where("tenants >= 3 AND observations >= 25 AND confidence >= 0.4")
+    """The default thresholds, and a domain with a mean confidence of its own."""
+    return signature_groups(spark, d).where("tenants >= 3 AND observations >= 25 AND confidence >= CASE WHEN domain = 0 THEN 0.3D ELSE 0.65D END")
 
 
 @query("SELECT event_id, " + ", ".join(f"round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {n * 86400000000} PRECEDING AND CURRENT ROW), 4) AS spent_{n}d" for n in (1, 7, 30)) + " FROM events WHERE event_type = 'purchase'")

@@ -2,7 +2,8 @@
 
 The tree of each language is a tenant's: its sources are the roots, bands of
 text length the nodes below, and bands of a finer step the leaves; a document
-is a chunk of its leaf.
+is a chunk of its leaf. Documents without an id, a language or a source are in
+no tree.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 # DuckDB has no crc32, so the SQL names nodes by their label paths; the ids are compared with it in pytest
-_D = "d AS (SELECT lang AS tenant, source, 'band_' || (n_chars // 2000) AS band, 'leaf_' || (n_chars // 500) AS leaf, doc_id, sha256(text) AS chunk FROM documents)"
+_D = "d AS (SELECT lang AS tenant, source, 'band_' || (coalesce(n_chars, 0) // 2000) AS band, 'leaf_' || (coalesce(n_chars, 0) // 500) AS leaf, doc_id, sha256(coalesce(text, '')) AS chunk FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)"
 _N = _D + """, n AS (SELECT DISTINCT tenant, source AS path, 0 AS depth, NULL::VARCHAR AS up FROM d UNION SELECT tenant, source || '/' || band, 1, source FROM d
 UNION SELECT tenant, source || '/' || band || '/' || leaf, 2, source || '/' || band FROM d)"""
 _H = _N + """, h2 AS (SELECT tenant, source || '/' || band || '/' || leaf AS path, chunk FROM d),

@@ -123,3 +123,33 @@ def database_row(base: Column, fields: Column) -> Column:
     """One map of both; a field takes the place of a base value of its name."""
     kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(fields), k))
     return F.map_concat(kept, fields)
+
+
+_TAXONOMY = (
+    "document_types map<string, struct<display_name: string, description: string, file_patterns: array<string>, fields_hints: map<string, struct<values: array<string>>>, keywords: array<string>>>, "
+    "settings struct<unclassified_type: string, default_type: string>"
+)
+
+
+def taxonomy_types(files: DataFrame) -> DataFrame:
+    """uri, ord, name, display_name, description, patterns and keywords of every type in taxonomy files (uri, text), as written.
+
+    A file is one JSON object with document_types and settings (of YAML, its JSON form alone). Keywords are the names
+    and values of a type's field hints, its own name and its keywords, in lower case, each once; the catch-all types
+    that a file does not describe come last. A file without types, or that cannot be read, gives no rows.
+    """
+    t = files.select("uri", F.from_json("text", _TAXONOMY).alias("t")).where(F.size("t.document_types") > 0)
+    no = F.array().cast("array<string>")
+    low = lambda c: F.transform(F.coalesce(c, no), lambda x: F.lower(x))
+    each = t.select("uri", "t.settings", F.map_keys("t.document_types").alias("names"), F.posexplode("t.document_types").alias("ord", "name", "spec"))
+    hints = F.flatten(F.transform(F.coalesce(F.map_entries("spec.fields_hints"), F.array().cast("array<struct<key:string,value:struct<values:array<string>>>>")), lambda e: F.concat(F.array(e["key"]), F.coalesce(e["value"]["values"], no))))
+    told = each.select(
+        "uri", "ord", "name", F.coalesce("spec.display_name", "name").alias("display_name"), F.coalesce("spec.description", F.lit("")).alias("description"),
+        low(F.col("spec.file_patterns")).alias("patterns"), F.array_distinct(F.concat(low(F.concat(hints, F.array("name"))), low(F.col("spec.keywords")))).alias("keywords"),
+    )
+    default, other = F.coalesce("settings.default_type", F.lit("general_document")), F.coalesce("settings.unclassified_type", F.lit("unclassified"))
+    rest = each.where("ord = 0").select("uri", "names", F.posexplode(F.array_distinct(F.array(default, other))).alias("k", "name")).where(~F.array_contains("names", F.col("name")))
+    first = F.col("k") == 0
+    display = F.when(first, "General Document").otherwise("Unclassified")
+    described = F.when(first, "Unclassified or miscellaneous document").otherwise("Document the classifier could not assign with confidence.")
+    return told.union(rest.select("uri", (F.size("names") + F.col("k")).alias("ord"), "name", display, described, no, F.array(F.lower("name"))))
