@@ -177,7 +177,7 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     return P.gaps(q, F.timestamp_seconds(F.lit(1))).select("tenant", F.explode("node_ids").alias("node"))
 
 
-@query(f"""SELECT tenant, node, title, row_number() OVER (PARTITION BY tenant ORDER BY lower(title), page_id) AS place FROM ({ORACLE['page_bodies']}) WHERE contains(lower(title), 'cluster_e') OR contains(lower(summary), 'cluster_e')""")
+@query(f"""SELECT tenant, node, title, row_number() OVER (PARTITION BY tenant ORDER BY lower(title), page_id) AS place FROM ({ORACLE['page_bodies']}) WHERE contains(lower(title), 'cluster_d') OR contains(lower(summary), 'cluster_d')""")
 def wiki_search(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose title or summary holds a string, whatever its case, in the order of a tenant's list."""
-    return P.searched(built(spark, d), " Cluster_E").select("tenant", "node", "title", "place")
+    return P.searched(built(spark, d), " Cluster_D").select("tenant", "node", "title", "place")
