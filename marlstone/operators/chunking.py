@@ -92,6 +92,11 @@ def is_code(uri: Column, mime: Column) -> Column:
     return suffix.isin(*CODE_SUFFIXES) | ((kind.startswith("text/x-") | kind.startswith("application/x-")) & marked)
 
 
+def unseen(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs (file_hash, text) that have a text and whose hash is not among ``known`` (file_hash); a null hash is never known."""
+    return docs.where(F.rlike("text", F.lit(r"\S"))).join(known.where("file_hash IS NOT NULL").select("file_hash").distinct(), "file_hash", "left_anti")
+
+
 def chunk(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], normalize: bool = True) -> DataFrame:
     """doc_id, position, text, start_char, end_char and chunk_hash of every chunk.
 

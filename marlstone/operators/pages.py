@@ -197,10 +197,19 @@ def rebuilt(
 
 
 def groups(pages: DataFrame) -> DataFrame:
-    """tenant, grp, place and page_id: pages by their first document type, ``Uncategorized`` without one, by title within."""
+    """tenant, grp, grp_place, place and page_id: pages by their first document type, ``Uncategorized`` without one; groups by name, pages by title, whatever their case."""
     grp = F.coalesce(F.get("doc_types", F.lit(0)), F.lit("Uncategorized"))
     w = Window.partitionBy("tenant", "grp").orderBy(F.lower("title"), "page_id")
-    return pages.withColumn("grp", grp).withColumn("place", F.row_number().over(w)).select("tenant", "grp", "place", "page_id")
+    return pages.withColumn("grp", grp).withColumn("place", F.row_number().over(w)).withColumn("grp_place", F.dense_rank().over(Window.partitionBy("tenant").orderBy(F.lower("grp"), "grp"))).select("tenant", "grp", "grp_place", "place", "page_id")
+
+
+def related_cards(pages: DataFrame) -> DataFrame:
+    """tenant, page_id, place, slug and title of the pages that each page refers to, in order; ids without a page are left out."""
+    asked = pages.select("tenant", "page_id", F.posexplode("related").alias("i", "other"))
+    cards = pages.select("tenant", F.col("page_id").alias("other"), "slug", "title")
+    met = asked.join(cards, ["tenant", "other"])
+    place = F.row_number().over(Window.partitionBy("tenant", "page_id").orderBy("i"))
+    return met.select("tenant", "page_id", place.alias("place"), "slug", "title")
 
 
 def searched(pages: DataFrame, asked: str) -> DataFrame:

@@ -140,7 +140,8 @@ BODY = (
 NO_SHAPE = "- (no shape examples)"
 # fixed values: numbers that a skill's text may hold
 ALLOWED_NUMBERS = r"^(?:0|1-10|11-50|51-200|201-1000|1001-10000|1000\+|10000\+|3-10|11-100|101-1000|200\+|0(?:\.\d{1,4})?|1(?:\.0{1,4})?)$"
-LONGEST_TEXT, LONGEST_TOKEN = 64_000, 240
+LONGEST_TEXT, LONGEST_TOKEN, MOST_VERSIONS = 64_000, 240, 10_000
+TITLE = r"^[A-Z][a-zA-Z0-9 -]{3,80}\z"
 
 
 def skill_body(domain: Column, kind: Column, shapes: Column, tenants: Column, mean: Column) -> Column:
@@ -175,3 +176,37 @@ def skill_text_fault(text: Column) -> Column:
         .when(has(R.FOUND_EMAIL), "NER_HIT_EMAIL").when(has(R.FOUND_PHONE), "NER_HIT_PHONE").when(has(R.FOUND_SSN), "NER_HIT_SSN").when(has(R.FOUND_URL), "NER_HIT_URL")
         .when(raw, "RAW_NUMERIC").when(F.exists(tokens, lambda t: F.length(t) > LONGEST_TOKEN), "STRING_TOO_LONG")
     )
+
+
+def drafted(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """groups that cross their thresholds with title, version, relpath, outcome, reason and body_sha256.
+
+    groups: see ``groups``, with a column body where a writer has made the text; the stub's otherwise. files: domain,
+    kind, slug and version of the library's files. All or nothing for each group: a text that the checker rejects, or
+    a draft whose title, text, ids or version are not allowed, leaves a reason and the hash of the text and no file. A new text never takes an
+    old one's path. The stub names the number of tenants, which its own checker does not let pass.
+    """
+    crossing = groups.where("crossing")
+    text = skill_body(F.col("domain"), F.col("kind"), F.col("shapes"), F.col("tenants"), F.col("mean_confidence"))
+    text = F.coalesce("body", text) if "body" in groups.columns else text
+    named = crossing.withColumns({"body": text, "title": R.group_title(F.col("domain"), F.col("kind"))}).withColumn("slug", R.skill_slug(F.col("title")))
+    placed = next_versions(files, named)
+    fault = skill_text_fault(F.col("body"))
+    length = F.length("body")
+    invalid = ~F.rlike("title", F.lit(TITLE)) | (length == 0) | (length > LONGEST_TEXT) | (F.size("observation_ids") == 0) | (F.col("version") > MOST_VERSIONS)
+    outcome = F.when(invalid, "draft_invalid").when(fault.isNotNull(), "checker_rejected").otherwise("written")
+    told = placed.withColumns({"outcome": outcome, "reason": F.when(invalid, "DRAFT_INVALID").otherwise(fault), "body_sha256": F.sha2("body", 256)})
+    return told.withColumn("relpath", F.when(F.col("outcome") == "written", F.col("relpath")))
+
+
+def next_versions(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (domain, kind, slug) with the version and relpath that a new file takes."""
+    top = files.groupBy("domain", "kind", "slug").agg(F.max("version").alias("_top"))
+    v = wanted.join(top, ["domain", "kind", "slug"], "left").withColumn("version", F.coalesce(F.col("_top") + 1, F.lit(1))).drop("_top")
+    return v.withColumn("relpath", F.concat("domain", F.lit("/"), "kind", F.lit("__"), "slug", F.lit("__v"), F.col("version").cast("string"), F.lit(".md")))
+
+
+def library(files: DataFrame, drafts: DataFrame) -> DataFrame:
+    """The library (domain, kind, slug, title, version, path, body, modified) after what was written joins it."""
+    new = drafts.where("outcome = 'written'").select("domain", "kind", "slug", "title", "version", F.col("relpath").alias("path"), "body", F.unix_micros(F.current_timestamp()).alias("modified"))
+    return files.unionByName(new)

@@ -181,3 +181,9 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
 def wiki_search(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose title or summary holds a string, whatever its case, in the order of a tenant's list."""
     return P.searched(built(spark, d), " Cluster_D").select("tenant", "node", "title", "place")
+
+
+@query(f"""WITH p AS ({ORACLE['page_bodies']}), r AS (SELECT tenant, page_id, unnest(string_split(related, ',')) AS other, generate_subscripts(string_split(related, ','), 1) AS i FROM p WHERE related <> '')
+SELECT r.tenant AS tenant, r.page_id AS page_id, row_number() OVER (PARTITION BY r.tenant, r.page_id ORDER BY i) AS place, p.slug AS slug, p.title AS title FROM r JOIN p ON p.tenant = r.tenant AND p.page_id = r.other""")
+def related_cards(spark: SparkSession, d: str) -> DataFrame:
+    return P.related_cards(written(built(spark, d), "built"))

@@ -163,7 +163,7 @@ def stale_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_BEST + """, t AS (SELECT d.lang AS tenant, b.source AS page_id, b.type, count(*) AS n FROM b JOIN documents d USING (doc_id) GROUP BY ALL),
 f AS (SELECT tenant, page_id, type AS grp FROM t QUALIFY row_number() OVER (PARTITION BY tenant, page_id ORDER BY n DESC, type) = 1)
-SELECT tenant, grp, page_id, row_number() OVER (PARTITION BY tenant, grp ORDER BY lower(page_id), page_id) AS place FROM f""")
+SELECT tenant, grp, dense_rank() OVER (PARTITION BY tenant ORDER BY lower(grp), grp) AS grp_place, page_id, row_number() OVER (PARTITION BY tenant, grp ORDER BY lower(page_id), page_id) AS place FROM f""")
 def page_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each language's sources as pages, grouped by their most frequent document type."""
     docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("tenant"))

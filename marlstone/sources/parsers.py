@@ -106,13 +106,6 @@ def skill_files(texts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.where(F.col("kind").isin(*kinds) & ~F.rlike("slug", F.lit("^-|--|-$")))
 
 
-def next_versions(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (domain, kind, slug) with the version and relpath that a new file takes."""
-    top = files.groupBy("domain", "kind", "slug").agg(F.max("version").alias("_top"))
-    v = wanted.join(top, ["domain", "kind", "slug"], "left").withColumn("version", F.coalesce(F.col("_top") + 1, F.lit(1))).drop("_top")
-    return v.withColumn("relpath", F.concat("domain", F.lit("/"), "kind", F.lit("__"), "slug", F.lit("__v"), F.col("version").cast("string"), F.lit(".md")))
-
-
 def parse_confidence(fields: Column) -> Column:
     """Share of fields with a value, two digits; 0.1 where there are none."""
     filled = F.size(F.filter(F.map_values(fields), lambda v: v.isNotNull() & (v != "")))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules as R
-from marlstone.operators import chunking, stores, taxonomy
+from marlstone.operators import chunking, skills, stores, taxonomy
 from marlstone.sources import files, parsers
 from marlstone.streaming import feeds
 
@@ -94,3 +94,14 @@ def test_answers_that_cannot_be_read_end_the_judgement(spark):
     docs = spark.createDataFrame([("the and of that with this", "x0.txt", "no json"), (None, None, None)], "text string, uri string, answer string")
     for r in taxonomy.classified(docs).collect():
         assert (r.predicted, r.confidence, r.reason, r.alternatives, r.heuristic_agreement, r.llm_error, r.alt_count) == ("unclassified", 0.0, "NOVEL_PATTERN", [], 0.0, 1.0, None)
+
+
+def test_drafts_are_all_or_nothing(spark):
+    rows = [("AEC", "query-pattern", "plain words"), ("AEC", "naming-convention", "mail a@b.org"), ("AEC", "ontology-shape", ""), ("AEC", "classifier-strategy", None), ("4", "x", "plain words")]
+    groups = spark.createDataFrame([(d, k, b, True, 3, 0.5, [], ["o"]) for d, k, b in rows] + [("AEC", "late", "plain", False, 3, 0.5, [], ["o"])], "domain string, kind string, body string, crossing boolean, tenants long, mean_confidence double, shapes array<string>, observation_ids array<string>")
+    files = spark.createDataFrame([("AEC", "query-pattern", "aec-query-pattern", 2)], "domain string, kind string, slug string, version int")
+    got = {r.kind: (r.outcome, r.reason, r.relpath) for r in skills.drafted(groups, files).collect()}
+    assert got == {
+        "query-pattern": ("written", None, "AEC/query-pattern__aec-query-pattern__v3.md"), "naming-convention": ("checker_rejected", "NER_HIT_EMAIL", None),
+        "ontology-shape": ("draft_invalid", "DRAFT_INVALID", None), "classifier-strategy": ("checker_rejected", "RAW_NUMERIC", None), "x": ("draft_invalid", "DRAFT_INVALID", None),
+    }

@@ -57,7 +57,7 @@ def test_parsers(spark):
     f = spark.createDataFrame([("l/AEC/query-pattern__a-b__v2.md", "t"), ("l/AEC/bad__a__v1.md", "t"), ("l/AEC/query-pattern__a--b__v1.md", "t")], "uri string, text string")
     got = parsers.skill_files(f, ("query-pattern",))
     assert [(r.domain, r.slug, r.version) for r in got.collect()] == [("AEC", "a-b", 2)]
-    assert parsers.next_versions(got, spark.createDataFrame([("AEC", "query-pattern", "a-b")], "domain string, kind string, slug string")).first().relpath == "AEC/query-pattern__a-b__v3.md"
+    assert skills.next_versions(got, spark.createDataFrame([("AEC", "query-pattern", "a-b")], "domain string, kind string, slug string")).first().relpath == "AEC/query-pattern__a-b__v3.md"
     assert one(spark, parsers.parse_confidence(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("")))) == 0.5
     assert one(spark, parsers.database_row(F.create_map(F.lit("a"), F.lit("1")), F.create_map(F.lit("a"), F.lit("2")))) == {"a": "2"}
 
