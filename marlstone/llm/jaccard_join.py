@@ -52,6 +52,8 @@ SHINGLE = 5
 #: Star rounds go on while at least one comparison in STAR_YIELD finds a link, MOST_TURNS at most; each has PIVOTS leaders a group.
 STAR_YIELD, MOST_TURNS, PIVOTS = 8, 4, 4
 SCAN = 1 / 16
+#: Members of a fan: pairs of one document that meet one copy of its text.
+FAN = 512
 #: Earlier keys that an entry of the last round carries, to meet a pair once: one that shares more of them may be met again.
 WINDOW = 64
 
@@ -197,33 +199,53 @@ def _groups(postings: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with linked: whether their sets' similarity is 3/4 or more.
 
-    ``docs``: one row for each text of a doc_id (see ``_texts``).
+    ``docs``: one row for each text of a doc_id (see ``_texts``). Of a pair, the document that stands in more pairs is
+    the middle of a fan, the other a member. Texts are looked up once, and a middle's text travels once for each
+    ``FAN`` members, not once a pair: a task holds the sets of one middle and streams its members past them.
     """
-    one = docs.select("doc_id", "text")
-    joined = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    joined = joined.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).groupBy("doc_id").agg(F.count("*").alias("pairs"))
+    of = lambda c: ends.select(F.col("doc_id").alias(c), F.col("pairs").alias(f"n{c}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    first = F.col("na") >= F.col("nb")
+    middle, member = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    fans = F.ceil(F.greatest("na", "nb") / FAN)
+    asked = written(met.select(middle.alias("middle"), F.pmod(F.xxhash64(member), fans).alias("fan"), member.alias("member")), "fans")
+    none = F.lit(None).cast("long").alias("member")
+    rows = asked.select("middle", "fan").distinct().select(F.col("middle").alias("doc_id"), "middle", "fan", none).union(asked.select(F.col("member").alias("doc_id"), "middle", "fan", "member"))
+    texts = rows.join(docs.select("doc_id", "text"), "doc_id").select("middle", "fan", "member", "text")
+    # nulls first: the middle's own texts come before its members'
+    dealt = texts.repartition(width(docs.sparkSession), "middle", "fan").sortWithinPartitions("middle", "fan", "member")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
         for batch in source:
-            left, right = as_bytes(batch.column(2)), as_bytes(batch.column(3))
-            linked = []
-            both = [t for pair in zip(left, right, strict=True) for t in pair]
-            size = [len(x or b"") + len(y or b"") for x, y in zip(left, right, strict=True)]
-            at = 0
-            while at < len(left):
-                to, total = at, 0
-                while to < len(left) and (to == at or total + size[to] <= 4 << 20):
-                    total += size[to]
-                    to += 1
-                h, bound = sets_of(both[2 * at : 2 * to])
-                for k in range(to - at):
-                    x, y = h[bound[2 * k] : bound[2 * k + 1]], h[bound[2 * k + 1] : bound[2 * k + 2]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(common > 0 and 100 * common >= 75 * (len(x) + len(y) - common))
-                at = to
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    return joined.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+            middles, fan, members = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            texts = as_bytes(batch.column(3))
+            low, high, linked = [], [], []
+            for lo, hi in slices(texts):
+                h, bound = sets_of(texts[lo:hi])
+                for k in range(lo, hi):
+                    own = h[bound[k - lo] : bound[k - lo + 1]]
+                    if (middles[k], fan[k]) != current:
+                        current, held = (middles[k], fan[k]), []
+                    if members[k] is None:
+                        held.append(own.copy())  # not a view that keeps the slice
+                        continue
+                    low.append(min(middles[k], members[k]))
+                    high.append(max(middles[k], members[k]))
+                    linked.append(any(_linked(own, other) for other in held))
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return dealt.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are alike."""
+    if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= 75 * (len(x) + len(y) - common)
 
 
 def placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
