@@ -96,7 +96,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     rows = _named(docs).mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by (lang, term) once: the sums here and over all sources later need no other exchange
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -121,8 +122,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 def cells_and_groups(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """Kept terms of the groups that have them: (gid, lang, term, p, p0, q); all groups: (gid, lang, source, v, p0)."""
-    term = Window.partitionBy("lang", "term")  # one row a source of the language
-    counts = term_counts(docs).withColumns({"in_lang": F.sum("docs").over(term), "lang_n": F.sum("n").over(term), "nth": F.row_number().over(term.orderBy("source"))})
+    term = Window.partitionBy("lang", "term").orderBy("source")  # one row a source of the language; one order, so one sort
+    whole = term.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = term_counts(docs).withColumns({"in_lang": F.sum("docs").over(whole), "lang_n": F.sum("n").over(whole), "nth": F.row_number().over(term)})
     kept = written(counts.where(F.col("in_lang") >= least_docs).select("lang", "source", "term", "n", "lang_n", "nth"), "kept-terms")
     one = F.when(F.col("nth") == 1, F.col("lang_n"))
     langs = kept.groupBy("lang").agg(F.count(one).alias("v"), F.sum(one).alias("lang_total"))
