@@ -53,7 +53,7 @@ SHINGLE = 5
 STAR_YIELD, MOST_TURNS, PIVOTS = 8, 4, 4
 SCAN = 1 / 16
 #: Members of a fan: pairs of one document that meet one copy of its text.
-FAN = 512
+FAN, FAN_ROWS = 512, 200_000
 #: Earlier keys that an entry of the last round carries, to meet a pair once: one that shares more of them may be met again.
 WINDOW = 64
 
@@ -213,7 +213,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = written(met.select(middle.alias("middle"), F.pmod(F.xxhash64(member), fans).alias("fan"), member.alias("member")), "fans")
     none = F.lit(None).cast("long").alias("member")
     rows = asked.select("middle", "fan").distinct().select(F.col("middle").alias("doc_id"), "middle", "fan", none).union(asked.select(F.col("member").alias("doc_id"), "middle", "fan", "member"))
-    texts = rows.join(docs.select("doc_id", "text"), "doc_id").select("middle", "fan", "member", "text")
+    # up to FAN_ROWS pairs, counted, what is asked for goes to the texts; beyond it both sides are shuffled
+    rows = F.broadcast(rows) if asked.count() <= FAN_ROWS else rows
+    texts = docs.select("doc_id", "text").join(rows, "doc_id").select("middle", "fan", "member", "text")
     # nulls first: the middle's own texts come before its members'
     dealt = texts.repartition(width(docs.sparkSession), "middle", "fan").sortWithinPartitions("middle", "fan", "member")
 

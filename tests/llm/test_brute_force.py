@@ -259,3 +259,29 @@ def test_pii_numbers_without_a_witness_need_the_threshold():
     assert sum(bool(field.more_spans(t, [])) for t in (f"order {w} sent" for w in wrong)) == 0
     twins = [(c, f"paid by {c} on day 1, again {w} today") for c, w in zip(cards[100:], wrong)]
     assert all([(s[1], t[s[0] : s[2]]) for s in field.more_spans(t, pii.base_spans(t))] == [(2, c[:-1] + str((int(c[-1]) + 3) % 10))] for c, t in twins)
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_pairs_are_judged_in_fans(spark, monkeypatch, rows):
+    """One middle with many members in several fans, ids with several texts, and pairs of none, against sets."""
+    from marlstone.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "FAN", 7)
+    monkeypatch.setattr(jaccard_join, "FAN_ROWS", rows)
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(40)]
+    texts = {}
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 9])):
+            w[r.randrange(40)] = f"x{r.randrange(99)}"
+        texts[i] = [" ".join(w)]
+    texts[7].append("other words of the same id entirely")
+    texts[59] = ["", "a b"]
+    docs = spark.createDataFrame([(i, t) for i, ts in texts.items() for t in ts], "doc_id long, text string")
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in [(0, k) for k in range(1, 60)] + [(r.randrange(60), r.randrange(60)) for _ in range(120)] if a != b})
+    sets = {i: [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set() for t in ts] for i, ts in texts.items()}
+    alike = lambda x, y: len(x & y) > 0 and 100 * len(x & y) >= 75 * len(x | y)
+    got = jaccard_join._verified(docs, spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((x.a, x.b, x.linked) for x in got) == [(a, b, any(alike(x, y) for x in sets[a] for y in sets[b])) for a, b in pairs]
+    assert any(x.linked for x in got) and not all(x.linked for x in got)
