@@ -51,14 +51,18 @@ def write_observations(rows: DataFrame, path: str) -> None:
 
 
 def read_observations(
-    spark: SparkSession, path: str, tenant: str | None = None, kind: str | None = None, since: datetime | None = None, until: datetime | None = None
+    spark: SparkSession, path: str, tenant: str | None = None, kind: str | None = None, since: datetime | None = None, until: datetime | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Rows that meet every filter given (both times included); lines that are no JSON object are left out."""
-    rows = spark.read.schema(OBSERVATION).option("mode", "DROPMALFORMED").json(path)
+    """Rows that meet every filter given (both times included), the first ``limit`` by time and id.
+
+    Lines that are no JSON object, or lack an id, a tenant or a kind, are left out.
+    """
+    rows = spark.read.schema(OBSERVATION).option("mode", "DROPMALFORMED").json(path).where("event_id IS NOT NULL AND tenant IS NOT NULL AND kind IS NOT NULL")
     for name, value in (("tenant", tenant), ("kind", kind)):
         rows = rows.where(F.col(name) == value) if value is not None else rows
     rows = rows.where(F.col("observed_at") >= F.lit(since)) if since else rows
-    return rows.where(F.col("observed_at") <= F.lit(until)) if until else rows
+    rows = rows.where(F.col("observed_at") <= F.lit(until)) if until else rows
+    return rows.orderBy("observed_at", "event_id").limit(limit) if limit is not None else rows
 
 
 def count_observations(spark: SparkSession, path: str) -> int:

@@ -105,3 +105,11 @@ def test_drafts_are_all_or_nothing(spark):
         "query-pattern": ("written", None, "AEC/query-pattern__aec-query-pattern__v3.md"), "naming-convention": ("checker_rejected", "NER_HIT_EMAIL", None),
         "ontology-shape": ("draft_invalid", "DRAFT_INVALID", None), "classifier-strategy": ("checker_rejected", "RAW_NUMERIC", None), "x": ("draft_invalid", "DRAFT_INVALID", None),
     }
+
+
+def test_scan_of_observations(spark, tmp_path):
+    lines = [{"event_id": f"{k}", "tenant": "t", "kind": "k", "observed_at": f"2024-01-0{9 - k}T00:00:00Z"} for k in range(1, 6)] + [{"event_id": "9", "tenant": "t"}, {"kind": "k"}]
+    (tmp_path / "o.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n{broken\n\n")
+    assert [r.event_id for r in files.read_observations(spark, str(tmp_path), limit=2).collect()] == ["5", "4"]
+    assert files.read_observations(spark, str(tmp_path)).count() == 5 and files.read_observations(spark, str(tmp_path), limit=0).count() == 0
+    assert files.count_observations(spark, str(tmp_path)) == 8
