@@ -73,24 +73,30 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 8, share: float = SHA
     qw = written(qw.join(whole, "query_id").select("query_id", "word", "idf", (F.col("most") / F.col("whole")).alias("most"), "whole", "salts"), "query-words")
     salted = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
-    def keyword(pairs: DataFrame) -> DataFrame:
-        """pairs (query_id, vec_id) with their keyword score."""
-        by_word = pairs.join(qw.select("query_id", "word", "whole", "salts"), "query_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
+    def keyword(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """pairs (query_id, vec_id) with their keyword score by the words in ``asked``."""
+        by_word = pairs.select("query_id", "vec_id").join(asked.select("query_id", "word", "whole", "salts"), "query_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
         hits = by_word.join(postings, ["word", "salt", "vec_id"]).groupBy("query_id", "vec_id").agg((F.sum("weight") / F.first("whole")).alias("keyword"))
         return pairs.join(hits, ["query_id", "vec_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
 
     full = lambda cos, key: share * cos + (1 - share) * key
-    first = written(keyword(near.select("query_id", "vec_id")).join(near, ["query_id", "vec_id"]).withColumn("score", full(F.col("cos"), F.col("keyword"))), "first")
+    first = written(keyword(near.select("query_id", "vec_id"), qw).join(near, ["query_id", "vec_id"]).withColumn("score", full(F.col("cos"), F.col("keyword"))), "first")
     # k scores are known; any other chunk has the least cosine of them at most
     bar = first.groupBy("query_id").agg(F.min("score").alias("bar"), F.min("cos").alias("cos"), F.count("*").alias("n"))
     need = F.when(F.col("n") >= k, (F.col("bar") - share * F.col("cos")) / (1 - share) - SLACK).otherwise(-1.0) if share < 1 else F.lit(2.0)
     needs = queries.select("query_id").distinct().join(bar, "query_id", "left").select("query_id", F.coalesce(need, F.lit(-1.0)).alias("need"))
     # words from the lightest up: those whose weights together stay below the need are not essential
     up = Window.partitionBy("query_id").orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0)
-    essential = qw.withColumn("together", F.sum("most").over(up)).join(needs, "query_id").where(F.col("together") >= F.col("need"))
-    met = salted(essential.select("query_id", "word", "salts")).join(postings.select("word", "salt", "vec_id"), ["word", "salt"]).select("query_id", "vec_id").distinct()
-    fresh = met.join(near.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
-    strong = written(keyword(fresh).join(needs, "query_id").where(F.col("keyword") >= F.col("need")).select("query_id", "vec_id", "keyword"), "strong")
+    judged = written(qw.withColumn("together", F.sum("most").over(up)).join(needs, "query_id").withColumn("essential", F.col("together") >= F.col("need")), "judged-words")
+    essential, light = judged.where("essential"), judged.where("NOT essential")
+    # one pass over the essential words' postings adds up what they give; the light ones complete what can still reach the need
+    met = salted(essential.select("query_id", "word", "whole", "need", "salts")).join(postings, ["word", "salt"])
+    parts = met.groupBy("query_id", "vec_id").agg((F.sum("weight") / F.first("whole")).alias("part"), F.first("need").alias("need"))
+    rest = light.groupBy("query_id").agg(F.sum("most").alias("rest"))
+    able = parts.join(rest, "query_id", "left").where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("need"))
+    able = written(able.join(near.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti").select("query_id", "vec_id", "part", "need"), "able")
+    done = keyword(able, light).withColumn("keyword", F.col("keyword") + F.col("part"))
+    strong = written(done.where(F.col("keyword") >= F.col("need")).select("query_id", "vec_id", "keyword"), "strong")
     ask = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
     like = F.when(F.col("q").isNotNull() & F.col("embedding").isNotNull(), F.greatest(F.round(C.cosine(F.col("q"), F.col("embedding").cast("array<double>")), 6), F.lit(0.0))).otherwise(0.0)
     second = strong.join(vec, "vec_id").join(ask, "query_id").select("query_id", "vec_id", full(like, F.col("keyword")).alias("score"))
