@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from marlstone.operators import search, vectors
+from marlstone.plans import search as plans_search
 
 VEC = "vec_id long, embedding array<float>"
 
@@ -61,6 +62,14 @@ def test_matches_of_equal_and_no_vectors(spark):
     assert [df.count() for df in vectors.matches(rows.limit(0))] == [0, 0, 0]
 
 
+def test_classes_compare_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "matches", None)
+    got = plans_search.signature_classes(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len({x.vec_id for x in got}) > 0 and all(x["class"] <= x.vec_id for x in got)
+    rows = spark.createDataFrame([(5, [1.0]), (3, [1.0]), (4, [2.0]), (6, [0.0]), (7, None)], VEC)
+    assert {(x["class"], x.vec_id) for x in vectors.equal_classes(rows).collect()} == {(3, 5), (3, 3), (4, 4)}
+
+
 def test_seeding_in_few_passes(spark, monkeypatch):
     r = np.random.default_rng(5)
     m = np.vstack([c + r.normal(size=(40, 8)) for c in r.normal(size=(25, 8)) * 6])
