@@ -62,6 +62,11 @@ def test_matches_of_equal_and_no_vectors(spark):
     assert [df.count() for df in vectors.matches(rows.limit(0))] == [0, 0, 0]
 
 
+def test_a_cosine_of_exactly_the_threshold_matches(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0, 5.0]), (2, [5.0, 4.0, 3.0]), (3, [1.0, 0.0, 0.0])], VEC)  # 46 / 50, as a product of units 0.9199999999999999
+    assert [(x.a, x.b) for x in vectors.matches(rows)[0].collect()] == [(1, 2)]
+
+
 def test_classes_compare_nothing(spark, monkeypatch):
     monkeypatch.setattr(vectors, "matches", None)
     got = plans_search.signature_classes(spark, "/root/testdata/sf0.001").collect()
