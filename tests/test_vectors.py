@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.operators import search, vectors
@@ -75,6 +76,17 @@ def test_classes_compare_nothing(spark, monkeypatch):
     assert {(x["class"], x.vec_id) for x in vectors.equal_classes(rows).collect()} == {(3, 5), (3, 3), (4, 4)}
 
 
+def test_distances_of_a_step_are_bounded(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"vec_id": list(range(10_000))})
+    for centroids in (1, 1000, 100_000):
+        parts = list(vectors._steps(batch, centroids))
+        assert sum(p.num_rows for p in parts) == 10_000 and all(p.num_rows * centroids * 8 <= vectors.BLOCK_BYTES for p in parts)
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], VEC)
+    whole = sorted(vectors.nearest(rows, np.array([[0.0, 1.0], [6.0, 1.0]])).collect())
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 48)
+    assert sorted(vectors.nearest(rows, np.array([[0.0, 1.0], [6.0, 1.0]])).collect()) == whole and len(whole) == 50
+
+
 def test_seeding_in_few_passes(spark, monkeypatch):
     r = np.random.default_rng(5)
     m = np.vstack([c + r.normal(size=(40, 8)) for c in r.normal(size=(25, 8)) * 6])
