@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import normalized
+from marlstone.session import bounded
 
 # fixed values: separators from coarse to fine; an empty one means fixed slices
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -26,6 +27,8 @@ PROSE, CODE = (1500, 150), (2000, 200)
 CODE_SUFFIXES = (
     "py", "pyi", "js", "jsx", "ts", "tsx", "go", "rs", "java", "kt", "rb", "c", "h", "cc", "cpp", "hpp", "cs", "swift", "php", "sh", "bash", "zsh", "sql",
 )
+#: Characters of chunks that a task holds before it hands them on.
+BATCH_CHARS = 1 << 20
 SCHEMA = "doc_id long, position int, text string, start_char int, end_char int, chunk_hash string"
 
 
@@ -102,20 +105,37 @@ def chunk(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], normal
 
     Texts are normalised first, in the same pass; a null text, or one of blanks alone, has no chunks.
     """
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    named = [f.split()[0] for f in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in kinds]
+        held = 0
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=named)
+            for c in cols:
+                c.clear()
+            return out
+
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, x in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time becomes a string of Python
+                t = x.as_py()
                 if t is None or not t.strip(" \t\n\x0b\f\r"):
                     continue
                 t = normalized(t) if normalize else t
                 for k, c in enumerate(chunks_of(t, size, overlap)):
                     own = t[c.start : c.end]
-                    for col, v in zip(cols, (d, k, own, c.start, c.end, hashlib.sha256(own.encode()).hexdigest()), strict=True):
+                    for col, v in zip(cols, (d.as_py(), k, own, c.start, c.end, hashlib.sha256(own.encode()).hexdigest()), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
-
+                    held += len(own)
+                    if held >= BATCH_CHARS:
+                        yield told()
+                        held = 0
+        if cols[0]:
+            yield told()
+
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 

@@ -80,6 +80,15 @@ def test_chunks_are_of_normalised_text(spark):
     assert [(r.doc_id, r.text) for r in chunking.chunk(docs).collect()] == [(1, "a\n\nb")]
 
 
+def test_chunks_hold_little_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 2000) for i in range(5)] + [(9, None)], "doc_id long, text string")
+    whole = sorted(chunking.chunk(docs).collect())
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 2000)  # a batch for every second chunk
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(chunking.chunk(docs).collect()) == whole and len(whole) > 30
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
