@@ -3,8 +3,7 @@
 DataFrame functions only. The grams of a text are its words and the pairs of
 its neighbouring words' last three characters, hashed into ``buckets``. Two
 smoothed multinomials are counted: one over the raw corpus (every document),
-one over the trusted target (documents labelled as good; a documented bound
-limits the labelled rows, never the corpus). A document's score is the sum of
+one over the trusted target (every document labelled as good). A document's score is the sum of
 log p_target - log p_raw over its grams, divided by their number, and a
 document is kept when the score reaches the threshold.
 
@@ -28,7 +27,6 @@ from marlstone.llm.tables import table
 
 WINDOW = 8
 BUCKETS = 8192
-TRUSTED_ROWS = 20_000
 THRESHOLD = -0.15
 _BLANKS = r"[\x20\x09-\x0D]+"
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -113,21 +111,18 @@ def bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log p_target - log p_raw of each bucket.
 
-    ``trusted``: doc_id of good documents. At most ``rows`` of them, the first
-    by a hash, make the target; all documents make the raw corpus. The driver
-    gets one row a bucket.
+    ``trusted``: doc_id of good documents. All of them make the target, all
+    documents make the raw corpus. The driver gets one row a bucket.
     """
-    target = (
-        trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("_good", F.lit(1))
-    )
-    read = hashed(docs.select("doc_id", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("_words")))
+    target = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_good", F.lit(1))
+    # the ids meet first, so that a shuffle, where there are too many to broadcast, carries no hashes
+    marked = docs.select("doc_id", "text").join(target, "doc_id", "left")
+    read = hashed(marked.select("_good", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("_words")))
     counts = (
-        read.join(F.broadcast(target), "doc_id", "left")  # at most ``rows`` rows
-        .select("_good", F.explode(grams()).alias("gram"))
+        read.select("_good", F.explode(grams()).alias("gram"))
         .groupBy(bucket(F.col("gram"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     )
     raw, good = [0] * buckets, [0] * buckets
@@ -139,9 +134,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, rows
     return [round(math.log((g + 1) / n_good) - math.log((r + 1) / n_raw), 6) for g, r in zip(good, raw, strict=True)]
 
 
-def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """docs with the base counts, base_failed, score and kept (columns of docs stay)."""
-    ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in log_ratios(docs, trusted, buckets, rows))), ",").cast("array<double>")
+    ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in log_ratios(docs, trusted, buckets))), ",").cast("array<double>")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     a = base(docs.select(row, "text")).withColumn("_grams", grams())
     total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.get(ratios, bucket(g, buckets)))

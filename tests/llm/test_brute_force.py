@@ -285,3 +285,9 @@ def test_pairs_are_judged_in_fans(spark, monkeypatch, rows):
     got = jaccard_join._verified(docs, spark.createDataFrame(pairs, "a long, b long")).collect()
     assert sorted((x.a, x.b, x.linked) for x in got) == [(a, b, any(alike(x, y) for x in sets[a] for y in sets[b])) for a, b in pairs]
     assert any(x.linked for x in got) and not all(x.linked for x in got)
+
+
+def test_quality_rules_learn_from_all_trusted_documents(spark):
+    docs = spark.range(20_300).selectExpr("id AS doc_id", "concat('w', id % 500) AS text")
+    # where all documents are trusted, the target is the corpus
+    assert set(quality_rules.log_ratios(docs, docs.select("doc_id"))) == {0.0}
