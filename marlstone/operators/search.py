@@ -1,4 +1,4 @@
-"""Hybrid search: an inverted index as a table, and an exact fusion of its leg with the vector leg that ends early.
+"""Hybrid search: an inverted index as a table, and an exact fusion of its leg with the vector leg.
 
 The reference names a hybrid search but defines no score; this definition is
 ours. With the words of a query q and a chunk d,
@@ -7,27 +7,29 @@ ours. With the words of a query q and a chunk d,
                     divided by the greatest value that the query's words allow,
     score(q, d)   = share * max(0, cosine(q, d)) + (1 - share) * keyword(q, d).
 
-The vector leg gives the k nearest chunks of a query, whose full scores set a
-bar. Any other chunk has at most the k-th cosine, so it needs a keyword score
-that is known before a posting is read. Words are taken from the weightiest
-down until the rest together could not reach that score: only postings of
-these essential words are read, which rarely include the common ones. The
-candidates are scored in full, so nothing is lost. All steps are joins by
-word, by (query, chunk) or by chunk; postings of common words are salted.
+Exact: queries and chunks are dealt into blocks by a hash, and each pair of
+blocks is a group of its own. Its task adds up the postings of the queries'
+words in a matrix of a few queries by the block's chunks, adds the cosines and
+keeps the k best of each query; a window takes the best of those. So pairs of a
+query and a chunk live only within a task, and neither shuffles nor tables hold
+them; postings of words that nobody asks for do not travel.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import columns as C
-from marlstone.operators import vectors
 from marlstone.session import written
 
-K1, B, SHARE, SLACK = 1.2, 0.75, 0.5, 2e-6
+K1, B, SHARE = 1.2, 0.75, 0.5
 #: Postings of a word that stand under one salt.
 POSTINGS = 100_000
+#: Queries and chunks of a block, and bytes of a task's matrix of scores.
+QUERIES, CHUNKS, SCORE_BYTES = 16_384, 4096, 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -62,44 +64,75 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 8, share: float = SHA
     a query without known words a keyword score of 0, and a chunk of score 0 is no result. ``built``: the index of the chunks' texts, if there is one.
     """
     postings, terms = built or index(chunks)
-    vec = chunks.select("vec_id", "embedding")
-    asked = queries.select(F.col("query_id").alias("vec_id"), "embedding")
-    # the vector leg; a chunk that is the query itself counts like any other
-    near = vectors.top_k(asked.withColumn("vec_id", -F.col("vec_id") - 1), vec, k).select((-F.col("query_id") - 1).alias("query_id"), "vec_id", F.greatest("score", F.lit(0.0)).alias("cos"), "place")
-    near = written(near, "near")
-    qw = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(terms, "word")
+    qw = written(queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(terms.select("word", "idf"), "word"), "query-words")
     # the greatest keyword score of a query: each word at idf * (K1 + 1)
-    whole = qw.groupBy("query_id").agg(F.sum(F.col("idf") * (K1 + 1)).alias("whole"))
-    qw = written(qw.join(whole, "query_id").select("query_id", "word", "idf", (F.col("most") / F.col("whole")).alias("most"), "whole", "salts"), "query-words")
-    salted = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-
-    def keyword(pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """pairs (query_id, vec_id) with their keyword score by the words in ``asked``."""
-        by_word = pairs.select("query_id", "vec_id").join(asked.select("query_id", "word", "whole", "salts"), "query_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
-        hits = by_word.join(postings, ["word", "salt", "vec_id"]).groupBy("query_id", "vec_id").agg((F.sum("weight") / F.first("whole")).alias("keyword"))
-        return pairs.join(hits, ["query_id", "vec_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
-
-    full = lambda cos, key: share * cos + (1 - share) * key
-    first = written(keyword(near.select("query_id", "vec_id"), qw).join(near, ["query_id", "vec_id"]).withColumn("score", full(F.col("cos"), F.col("keyword"))), "first")
-    # k scores are known; any other chunk has the least cosine of them at most
-    bar = first.groupBy("query_id").agg(F.min("score").alias("bar"), F.min("cos").alias("cos"), F.count("*").alias("n"))
-    need = F.when(F.col("n") >= k, (F.col("bar") - share * F.col("cos")) / (1 - share) - SLACK).otherwise(-1.0) if share < 1 else F.lit(2.0)
-    needs = queries.select("query_id").distinct().join(bar, "query_id", "left").select("query_id", F.coalesce(need, F.lit(-1.0)).alias("need"))
-    # words from the lightest up: those whose weights together stay below the need are not essential
-    up = Window.partitionBy("query_id").orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0)
-    judged = written(qw.withColumn("together", F.sum("most").over(up)).join(needs, "query_id").withColumn("essential", F.col("together") >= F.col("need")), "judged-words")
-    essential, light = judged.where("essential"), judged.where("NOT essential")
-    # one pass over the essential words' postings adds up what they give; the light ones complete what can still reach the need
-    met = salted(essential.select("query_id", "word", "whole", "need", "salts")).join(postings, ["word", "salt"])
-    parts = met.groupBy("query_id", "vec_id").agg((F.sum("weight") / F.first("whole")).alias("part"), F.first("need").alias("need"))
-    rest = light.groupBy("query_id").agg(F.sum("most").alias("rest"))
-    able = parts.join(rest, "query_id", "left").where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("need"))
-    able = written(able.join(near.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti").select("query_id", "vec_id", "part", "need"), "able")
-    done = keyword(able, light).withColumn("keyword", F.col("keyword") + F.col("part"))
-    strong = written(done.where(F.col("keyword") >= F.col("need")).select("query_id", "vec_id", "keyword"), "strong")
-    ask = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
-    like = F.when(F.col("q").isNotNull() & F.col("embedding").isNotNull(), F.greatest(F.round(C.cosine(F.col("q"), F.col("embedding").cast("array<double>")), 6), F.lit(0.0))).otherwise(0.0)
-    second = strong.join(vec, "vec_id").join(ask, "query_id").select("query_id", "vec_id", full(like, F.col("keyword")).alias("score"))
+    ask = qw.groupBy("query_id").agg(F.sum(F.col("idf") * (K1 + 1)).alias("whole"), F.collect_list("word").alias("words"))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    ask = queries.select("query_id", vector).join(ask, "query_id", "left").select(F.col("query_id").alias("id"), "embedding", "words", F.lit(None).cast("array<double>").alias("weights"), "whole")
+    known = postings.join(qw.select("word").distinct(), "word", "left_semi").groupBy("vec_id").agg(F.collect_list(F.struct("word", "weight")).alias("p"))
+    held = chunks.select("vec_id", vector).join(known, "vec_id", "left").select(F.col("vec_id").alias("id"), "embedding", F.col("p.word").alias("words"), F.col("p.weight").alias("weights"), F.lit(None).cast("double").alias("whole"))
+    n_q, n_d = max(1, -(-queries.count() // QUERIES)), max(1, -(-chunks.count() // CHUNKS))
+    block = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = ask.select("*", block(n_q, "q")).select("*", every(n_d, "d"))
+    right = held.select("*", block(n_d, "d")).select("*", every(n_q, "q"))
+    found = left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInArrow(lambda a, b: _best(a, b, k, share), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    every = first.select("query_id", "vec_id", "score").union(second).withColumn("score", F.round("score", 6)).where("score > 0")
-    return every.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each element of a column of lists, and the elements."""
+    lists = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+
+def _units(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors of length 1; of zeros where there is none."""
+    at, x = _lists(column)
+    m = np.zeros((len(column), dim))
+    m[np.unique(at)] = np.asarray(x, dtype=np.float64).reshape(-1, dim)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _best(a: pa.Table, b: pa.Table, k: int, share: float) -> pa.Table:
+    """The k best chunks of ``b`` of every query of ``a``, whose scores are made a few queries at a time."""
+    out = []
+    if a.num_rows and b.num_rows:
+        b = b.sort_by("id")  # ties go to the smaller id
+        ids, vec = a.column("id").to_numpy(), b.column("id").to_numpy()
+        dim = max(pc.max(pc.list_value_length(t.column("embedding"))).as_py() or 1 for t in (a, b))
+        q, m = (_units(t.column("embedding"), dim) for t in (a, b))
+        (qa, qx), (da, dx) = _lists(a.column("words")), _lists(b.column("words"))
+        weight = _lists(b.column("weights"))[1].to_numpy(zero_copy_only=False)
+        whole = a.column("whole").to_numpy()
+        # the postings of a word stand together
+        number = pc.index_in(qx, value_set=(names := pc.unique(dx)))
+        of = pc.index_in(dx, value_set=names).to_numpy(zero_copy_only=False)
+        by = np.argsort(of, kind="stable")
+        da, weight, ends = da[by], weight[by], np.searchsorted(of[by], np.arange(len(names) + 1))
+        met = pc.is_valid(number).to_numpy(zero_copy_only=False)
+        qa, word = qa[met], pc.fill_null(number, -1).to_numpy(zero_copy_only=False)[met]
+        step = max(1, SCORE_BYTES // (8 * len(vec)))
+        for at in range(0, len(ids), step):
+            cos = np.maximum(np.round(q[at : at + step] @ m.T, 6), 0.0)
+            key = np.zeros_like(cos)
+            lo, hi = np.searchsorted(qa, [at, at + step])
+            for row, w in zip(qa[lo:hi] - at, word[lo:hi], strict=True):
+                key[row, da[ends[w] : ends[w + 1]]] += weight[ends[w] : ends[w + 1]]
+            key /= np.where(whole[at : at + step] > 0, whole[at : at + step], 1.0)[:, None]
+            score = np.floor((share * cos + (1 - share) * key) * 1e6 + 0.5) / 1e6  # halves go up, as in SQL: half a rounded cosine often is one
+            if score.shape[1] > 2 * k:  # only what reaches the k-th score is sorted
+                least = np.partition(score, -k, axis=1)[:, -k]
+                row, col = np.nonzero((score >= least[:, None]) & (score > 0))
+            else:
+                row, col = np.nonzero(score > 0)
+            s = score[row, col]
+            order = np.lexsort((col, -s, row))
+            row, col, s = row[order], col[order], s[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((ids[at : at + step][row[keep]], vec[col[keep]], s[keep]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])

@@ -170,3 +170,17 @@ def test_hybrid_against_all_pairs(spark, monkeypatch, seed, share, salted):
     assert [(a[0], a[3]) for a in got] == [(b[0], b[3]) for b in want]
     assert [x[2] for x in sorted(got, key=lambda x: (x[0], x[3]))] == pytest.approx([x[2] for x in sorted(want, key=lambda x: (x[0], x[3]))], abs=2e-6)
     assert sum(a == b for a, b in zip(got, want)) >= len(want) - 2  # scores a rounding step apart may change places
+
+
+def test_hybrid_keeps_no_pairs_of_a_query_and_a_chunk(spark, monkeypatch):
+    """Only words and the best of each block are written or shuffled, whatever the number of pairs, and halves are rounded up."""
+    names = []
+    plain = search.written
+    monkeypatch.setattr(search, "written", lambda df, name: names.append((name, df.columns)) or plain(df, name))
+    monkeypatch.setattr(search, "CHUNKS", 7)
+    monkeypatch.setattr(search, "QUERIES", 2)
+    c = spark.createDataFrame([(i, "the word", [1.0, float(i)]) for i in range(40)], "vec_id long, text string, embedding array<double>")
+    got = search.hybrid(c.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), c, 3).collect()
+    assert len(got) == 15 and not any({"query_id", "vec_id"} <= set(columns) for _, columns in names)
+    one = search.hybrid(c.where("vec_id = 1").selectExpr("vec_id AS query_id", "'unknown' AS text", "embedding"), c, 40).collect()
+    assert {x.vec_id: x.score for x in one}[0] == 0.353554  # half of 0.707107
