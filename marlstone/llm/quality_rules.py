@@ -111,15 +111,23 @@ def bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
+def _marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, text and _good (1 or null) of docs.
+
+    The ids meet before anything is hashed, so that the shuffle carries texts alone. They are not broadcast where they
+    are few: their number grows with the corpus.
+    """
+    target = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_good", F.lit(1))
+    return docs.select("doc_id", "text").join(target.hint("shuffle_hash"), "doc_id", "left")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log p_target - log p_raw of each bucket.
 
     ``trusted``: doc_id of good documents. All of them make the target, all
     documents make the raw corpus. The driver gets one row a bucket.
     """
-    target = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_good", F.lit(1))
-    # the ids meet first, so that a shuffle, where there are too many to broadcast, carries no hashes
-    marked = docs.select("doc_id", "text").join(target, "doc_id", "left")
+    marked = _marked(docs, trusted)
     read = hashed(marked.select("_good", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("_words")))
     counts = (
         read.select("_good", F.explode(grams()).alias("gram"))

@@ -291,3 +291,12 @@ def test_quality_rules_learn_from_all_trusted_documents(spark):
     docs = spark.range(20_300).selectExpr("id AS doc_id", "concat('w', id % 500) AS text")
     # where all documents are trusted, the target is the corpus
     assert set(quality_rules.log_ratios(docs, docs.select("doc_id"))) == {0.0}
+
+
+def test_trusted_ids_meet_texts_in_the_same_way_at_every_size(spark):
+    docs = spark.createDataFrame([(k, "a b c") for k in range(4)] + [(None, "d")], "doc_id long, text string")
+    met = quality_rules._marked(docs, docs.where("doc_id < 2 OR doc_id IS NULL").union(docs).where("doc_id < 2 OR doc_id IS NULL").select("doc_id"))
+    assert sorted((r.doc_id, r._good) for r in met.where("doc_id IS NOT NULL").collect()) == [(0, 1), (1, 1), (2, None), (3, None)]
+    assert [r._good for r in met.where("doc_id IS NULL").collect()] == [None]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
