@@ -56,6 +56,19 @@ def test_matches_lose_no_pair(spark, least, pivots, block_rows):
         assert compared < len(ids) * (len(ids) - 1) // 2 / 2  # blocks that a bound rules out never meet
 
 
+def test_matches_write_and_shuffle_no_pairs(spark, monkeypatch):
+    """Only classes and their blocks are written, each vector once, and blocks meet without an exchange."""
+    wrote = []
+    plain = vectors.written
+    monkeypatch.setattr(vectors, "written", lambda df, name: wrote.append(plain(df, name)) or wrote[-1])
+    rows = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(300)], VEC)
+    pairs, _, work = vectors.matches(rows, 0.9, 3, 16)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert pairs.count() == 300 * 299 // 2 == work.agg({"compared": "sum"}).first()[0]
+    assert len(wrote) == 2 and all(df.count() <= 300 for df in wrote) and wrote[1].selectExpr("sum(length(ids)) / 8").first()[0] == 300
+
+
 def test_matches_of_equal_and_no_vectors(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(60, [2.0, 0.0])], VEC)
     pairs, members, _ = vectors.matches(rows)
