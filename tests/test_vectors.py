@@ -197,3 +197,23 @@ def test_hybrid_keeps_no_pairs_of_a_query_and_a_chunk(spark, monkeypatch):
     assert len(got) == 15 and not any({"query_id", "vec_id"} <= set(columns) for _, columns in names)
     one = search.hybrid(c.where("vec_id = 1").selectExpr("vec_id AS query_id", "'unknown' AS text", "embedding"), c, 40).collect()
     assert {x.vec_id: x.score for x in one}[0] == 0.353554  # half of 0.707107
+
+
+def test_hybrid_segments_meet_blocks_without_a_shuffle(spark, monkeypatch):
+    """A row a segment and a block is written, and only each task's best are exchanged; a repeated id is read by its greatest text."""
+    wrote = []
+    plain = search.written
+    monkeypatch.setattr(search, "written", lambda df, name: wrote.append(plain(df, name)) or wrote[-1])
+    monkeypatch.setattr(search, "CHUNKS", 16)
+    monkeypatch.setattr(search, "QUERIES", 4)
+    c = spark.createDataFrame([(i, f"the word w{i % 5}", [1.0, float(i)] if i % 3 else None) for i in range(96)], "vec_id long, text string, embedding array<double>").repartition(2)
+    q = c.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
+    found = search.hybrid(q, c, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "CartesianProduct" in plan
+    assert found.count() == 27 and sum(df.count() for df in wrote) <= 96 // 16 + 2 + 9 // 4 + 5
+    texts = {i: f"the word w{i % 5}" for i in range(96)} | {3: "the word w9"}
+    twice = c.union(spark.createDataFrame([(3, "the word w9", None)], c.schema))
+    want = plain_hybrid([(r.query_id, r.text, r.embedding) for r in q.collect()], [(r.vec_id, texts[r.vec_id], r.embedding) for r in c.collect()], 3, 0.0)
+    got = search.hybrid(q.where("query_id <> 3"), twice, 3, 0.0)
+    assert sorted((r.query_id, r.vec_id, r.place) for r in got.collect()) == sorted((a, b, p) for a, b, _, p in want if a != 3)
