@@ -35,7 +35,7 @@ POSTINGS = 2_000_000
 #: Queries of a block, chunks of a segment (65,536 at most) and bytes of a task's matrix of scores.
 QUERIES, CHUNKS, SCORE_BYTES = 4096, 16_384, 8 << 20
 #: A word of more than this share of a segment's chunks is added as a whole row.
-COMMON = 0.25
+COMMON = 0.1
 #: More than rounding can change a score by.
 ROOM = 2e-6
 SEGMENT = "n long, total long, ids binary, lens binary, counts binary, names array<string>, ends binary, at binary, tf binary, embedded int, m binary"
@@ -212,23 +212,31 @@ def _met(pair: dict, best: np.ndarray, vec: np.ndarray, k: int, share: float, av
     n_m, n_q = pair["embedded"].as_py(), pair["q_embedded"].as_py()
     m, q = (cell(c, np.float64).reshape(n, -1) if n else None for c, n in (("m", n_m), ("q_m", n_q)))
     whole, rows, idf = cell("q_whole", np.float64), cell("q_rows", np.int64), cell("q_idf", np.float64)
-    word = pc.fill_null(pc.index_in(pair["q_words"].values, value_set=pair["names"].values), -1).to_numpy(zero_copy_only=False)
+    coded = pair["q_words"].values.dictionary_encode()  # the fewer words are looked up by the more
+    met = pc.index_in(pair["names"].values, value_set=coded.dictionary)
+    spot = np.full(len(coded.dictionary) + 1, -1)
+    spot[pc.fill_null(met, len(coded.dictionary)).to_numpy(zero_copy_only=False)] = np.arange(len(met))
+    spot[-1] = -1
+    word = spot[coded.indices.to_numpy(zero_copy_only=False)]
     rows, idf, word = rows[word >= 0], idf[word >= 0], word[word >= 0]
+    asked = list(zip(rows.tolist(), word.tolist(), idf.tolist(), ends[word].tolist(), ends[word + 1].tolist(), strict=True))
+    most = COMMON * len(ids)
     wide: dict[int, np.ndarray] = {}
+    whole_row = np.empty(len(ids))
     step = max(1, SCORE_BYTES // (8 * len(ids)))
     for first in range(0, len(whole), step):
         own = slice(first, first + step)
         key = np.zeros((len(whole[own]), len(ids)))
         lo, hi = np.searchsorted(rows, [first, first + step])
-        for row, w, x in zip(rows[lo:hi] - first, word[lo:hi], idf[lo:hi], strict=True):
-            of = slice(ends[w], ends[w + 1])
-            if of.stop - of.start <= COMMON * len(ids):
-                key[row, at[of]] += x * part[of]
+        for row, w, x, a, b in asked[lo:hi]:
+            own_row = key[row - first]
+            if b - a <= most:
+                np.add.at(own_row, at[a:b], part[a:b] * x)
                 continue
             if w not in wide:
                 wide[w] = np.zeros(len(ids))
-                wide[w][at[of]] = part[of]
-            key[row] += x * wide[w]
+                wide[w][at[a:b]] = part[a:b]
+            own_row += np.multiply(wide[w], x, out=whole_row)
         key /= np.where(whole[own] > 0, whole[own], 1.0)[:, None]
         key *= 1 - share
         some, score = min(max(n_q - first, 0), len(key)), key
